@@ -21,15 +21,12 @@ compose, first within each split and then over the splits of a file.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import char_class, decode_utf8_lossy, separator_count
 from ..session import work_dir
 
-OUTCOME = ("file", "part", "seq", "zone", "rec", "value", "separators", "status", "suspect")
-
-
 # Line checks ------------------------------------------------------------------------
 
 
@@ -145,73 +142,79 @@ def _exit_map(text: str, sep: str) -> Column:
 
 # Entry states -----------------------------------------------------------------------
 
+NO_BLOCK = -1
+
 
 def entry_states(split: DataFrame) -> DataFrame:
-    """(file, part, seq, entry, opener): pending count at the start of each block, and the
-    block whose tail began the pending record.
+    """(file, part, seq, entry, closes, opener): pending count at the start of each block,
+    whether the block closes a record, and the earlier block whose tail began the one pending.
 
-    Works on a few integers per block. Maps are composed within each split first, so what
+    Works on a few integers per block. Steps are composed within each split first, so what
     meets in one group per file is one row per split.
     """
-    block = F.struct("seq", "exits", "lead_separators", "expected")
+    block = F.struct("seq", "part", "expected", "lead_separators", "exits")
     parts = split.groupBy("file", "part").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
-    part_maps = parts.select("file", "part", _composed("blocks").alias("exits"))
-    part_entry = part_maps.groupBy("file").applyInPandas(_fold_parts, "file string, part long, entry int")
+    same = F.size(F.array_distinct("step")) == 1
+    part_steps = parts.select("file", "part", _part_step().alias("step")).withColumn(
+        "step", F.when(same, F.slice("step", 1, 1)).otherwise(F.col("step"))
+    )
+    part_entry = part_steps.groupBy("file").applyInPandas(
+        _fold_parts, "file string, part long, entry int, open_part long, open_seq long"
+    )
 
-    def entry_of(blk: Column, i: Column) -> Column:
-        before = F.slice("blocks", F.lit(1), i)
-        state = F.aggregate(before, F.col("entry"), lambda st, b: _apply(b["exits"], st))
-        return F.struct(blk["seq"].alias("seq"), state.alias("entry"), (state + blk["lead_separators"] >= blk["expected"]).alias("closes"))
+    def at_block(block: Column, i: Column) -> Column:
+        start = _state(F.col("entry"), F.col("open_part"), F.col("open_seq"))
+        state = F.aggregate(F.slice("blocks", F.lit(1), i), start, _step)
+        return F.struct(block["seq"].alias("seq"), state.alias("state"), _closes(state, block).alias("closes"))
 
-    entries = (
+    return (
         parts.join(part_entry, ["file", "part"])
-        .select("file", "part", F.explode(F.transform("blocks", entry_of)).alias("b"))
-        .select("file", "part", "b.*")
+        .select("file", "part", F.explode(F.transform("blocks", at_block)).alias("b"))
+        .select(
+            "file", "part", "b.seq", "b.state.entry", "b.closes",
+            F.struct(F.col("b.state.open_part").alias("part"), F.col("b.state.open_seq").alias("seq")).alias("opener"),
+        )
     )
-    return _with_opener(entries)
 
 
-def _apply(exits: Column, state: Column) -> Column:
-    return F.when(F.size(exits) == 1, exits[0]).otherwise(F.get(exits, state))
+def _state(entry: Column, part: Column, seq: Column) -> Column:
+    return F.struct(entry.cast("int").alias("entry"), part.cast("long").alias("open_part"), seq.cast("long").alias("open_seq"))
 
 
-def _composed(blocks: str) -> Column:
-    identity = F.sequence(F.lit(0), F.greatest(F.col(blocks)[0]["expected"] - 1, F.lit(0)))
-    return F.aggregate(
-        blocks,
-        identity,
-        lambda acc, b: F.when(F.size(b["exits"]) == 1, b["exits"]).otherwise(
-            F.transform(acc, lambda state: F.get(b["exits"], state))
-        ),
+def _closes(state: Column, block: Column) -> Column:
+    return state["entry"] + block["lead_separators"] >= block["expected"]
+
+
+def _step(state: Column, block: Column) -> Column:
+    """State after a block from the state before it."""
+    exits, closes = block["exits"], _closes(state, block)
+    after = F.when(F.size(exits) == 1, exits[0]).otherwise(F.get(exits, state["entry"]))
+    return _state(
+        after,
+        F.when(closes, block["part"]).otherwise(state["open_part"]),
+        F.when(closes, block["seq"]).otherwise(state["open_seq"]),
     )
 
 
+def _part_step() -> Column:
+    """States after a split for every pending count before it."""
+    counts = F.sequence(F.lit(0), F.greatest(F.col("blocks")[0]["expected"] - 1, F.lit(0)))
+    start = F.transform(counts, lambda n: _state(n, F.lit(NO_BLOCK), F.lit(NO_BLOCK)))
+    return F.aggregate("blocks", start, lambda states, block: F.transform(states, lambda state: _step(state, block)))
+
+
 def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entry state of each split of one file."""
+    """State at the start of each split of one file."""
     pdf = pdf.sort_values("part")
-    entry, state = [], 0
-    for exits in pdf["exits"]:
-        entry.append(state)
-        state = int(exits[0] if len(exits) == 1 else exits[state])
-    return pd.DataFrame({"file": pdf["file"], "part": pdf["part"], "entry": entry})
-
-
-def _with_opener(entries: DataFrame) -> DataFrame:
-    """Add the last earlier block of the file that closed a record, looked up within the
-    split, else over the splits before it."""
-    before = (Window.unboundedPreceding, -1)
-    closer = F.when(F.col("closes"), F.struct("part", "seq"))
-    in_part = Window.partitionBy("file", "part").orderBy("seq").rowsBetween(*before)
-    over_parts = Window.partitionBy("file").orderBy("part").rowsBetween(*before)
-    part_closer = entries.groupBy("file", "part").agg(F.max(closer).alias("closer"))
-    earlier = part_closer.select("file", "part", F.last("closer", ignorenulls=True).over(over_parts).alias("earlier"))
-    none = F.struct(F.lit(-1).cast("long").alias("part"), F.lit(-1).cast("long").alias("seq"))
-    return (
-        entries.withColumn("opener", F.last(closer, ignorenulls=True).over(in_part))
-        .join(earlier, ["file", "part"])
-        .withColumn("opener", F.coalesce("opener", "earlier", none))
-        .drop("earlier")
-    )
+    rows, entry, opener = [], 0, (NO_BLOCK, NO_BLOCK)
+    for steps in pdf["step"]:
+        rows.append((entry, *opener))
+        after = steps[0] if len(steps) == 1 else steps[entry]
+        entry = after["entry"]
+        if after["open_seq"] != NO_BLOCK:
+            opener = (after["open_part"], after["open_seq"])
+    states = pd.DataFrame(rows, columns=["entry", "open_part", "open_seq"], index=pdf.index)
+    return pd.concat([pdf[["file", "part"]], states], axis=1)
 
 
 # Reassembly -------------------------------------------------------------------------
@@ -224,34 +227,30 @@ def reassemble_records(split: DataFrame, sep: str = "|") -> DataFrame:
     or `short`; `suspect` marks records that begin with a line without separators, whose
     text may belong to the last field of the record before.
     """
+    edges = _edges(split, sep)
+    raw = _within(split, 2).unionByName(_within(edges, 1)).unionByName(_spanning(edges))
+    return _label(raw, sep)
+
+
+def _within(blocks: DataFrame, zone: int) -> DataFrame:
+    """Records that begin and end in one block. With no separators a blank line would be one."""
+    records = blocks.select("file", "part", "seq", "expected", F.posexplode("records").alias("rec", "raw"))
+    return records.filter(F.col("raw") != "\n").withColumn("zone", F.lit(zone))
+
+
+def _edges(split: DataFrame, sep: str) -> DataFrame:
+    """Leads cut, by what was pending, into a closing text, whole records and an open rest."""
     s = char_class(sep)
-    body = split.select(
-        "file", "part", "seq", "expected", F.lit(2).alias("zone"), F.posexplode("records").alias("rec", "raw")
-    ).filter(F.col("raw") != "\n")
-    edges = (
+    missing = (F.col("expected") - F.col("entry")).cast("string")
+    closing = F.call_function("regexp_extract", "lead", F.concat(F.lit(rf"\A(?:[^{s}]*+{s}){{"), missing, F.lit(r"}+[^\n]*+\n")), F.lit(0))
+    return (
         split.select("file", "part", "seq", "expected", "synced", "lead", "tail")
         .join(entry_states(split), ["file", "part", "seq"])
-        .withColumn("closing", F.when(F.col("closes"), _closing_text(s)).otherwise(F.col("lead")))
+        .withColumn("closing", F.when(F.col("closes"), closing).otherwise(F.col("lead")))
         .withColumn("rest", _after("lead", F.length("closing")))
         .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(0)))
         .withColumn("open", F.when(F.col("synced"), F.col("tail")).otherwise(_after("rest", _total_length("records"))))
     )
-    inner = edges.select(
-        "file", "part", "seq", "expected", F.lit(1).alias("zone"), F.posexplode("records").alias("rec", "raw")
-    ).filter(F.col("raw") != "\n")
-    return (
-        body.unionByName(inner)
-        .unionByName(_spanning(edges).filter(~F.col("raw").rlike(r"\A\n*\z")))
-        .transform(_label, sep)
-        .select(*OUTCOME)
-    )
-
-
-def _closing_text(s: str) -> Column:
-    """The start of a lead that completes what was pending."""
-    missing = (F.col("expected") - F.col("entry")).cast("string")
-    pattern = F.concat(F.lit(rf"\A(?:[^{s}]*+{s}){{"), missing, F.lit(r"}+[^\n]*+\n"))
-    return F.call_function("regexp_extract", "lead", pattern, F.lit(0))
 
 
 def _spanning(edges: DataFrame) -> DataFrame:
@@ -260,35 +259,41 @@ def _spanning(edges: DataFrame) -> DataFrame:
     Each group is the pieces of one record. The last group of a file has no closing text
     and is the unfinished rest.
     """
-    closing = edges.select("file", "part", "seq", "expected", "opener", F.lit(0).alias("piece"), "closes", F.col("closing").alias("text"))
-    opening = edges.filter("closes AND open <> ''").select(
-        "file", "part", "seq", "expected", F.struct("part", "seq").alias("opener"), F.lit(1).alias("piece"),
-        F.lit(False).alias("closes"), F.col("open").alias("text"),
-    )
-    pieces = F.sort_array(F.collect_list(F.struct("part", "seq", "piece", "text")))
+    closing = F.struct("opener", F.lit(0).alias("piece"), "closes", F.col("closing").alias("text"))
+    opening = F.struct(F.struct("part", "seq").alias("opener"), F.lit(1).alias("piece"), F.lit(False).alias("closes"), F.col("open").alias("text"))
+    pieces = F.when(F.col("closes") & (F.col("open") != ""), F.array(closing, opening)).otherwise(F.array(closing))
+    in_order = F.sort_array(F.collect_list(F.struct("part", "seq", "piece", "text")))
     return (
-        closing.unionByName(opening)
+        edges.select("file", "part", "seq", "expected", F.explode(pieces).alias("p"))
+        .select("file", "part", "seq", "expected", "p.*")
         .groupBy("file", "opener")
-        .agg(F.max(F.struct("part", "seq")).alias("at"), F.max("expected").alias("expected"), F.bool_or("closes").alias("closed"), pieces.alias("pieces"))
+        .agg(
+            F.max(F.struct("part", "seq")).alias("at"), F.max("expected").alias("expected"),
+            F.bool_or("closes").alias("closed"), in_order.alias("pieces"),
+        )
         .select(
             "file", "at.part", "at.seq", "expected", F.when(F.col("closed"), 0).otherwise(3).alias("zone"), F.lit(0).alias("rec"),
             F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("raw"),
         )
+        .filter(~F.col("raw").rlike(r"\A\n*\z"))
     )
 
 
 def _label(raw: DataFrame, sep: str) -> DataFrame:
-    s = char_class(sep)
-    lines = F.regexp_replace(F.regexp_replace("raw", r"\A\n+", ""), r"\n\z", "")
-    plain = F.substr("raw", F.lit(1), F.length("raw") - 1)
-    whole = F.instr("raw", "\n") == F.length("raw")
+    """Raw texts to outcomes: blank lines before a record and the last line end dropped,
+    lines joined by a space, separators counted."""
+    one_line = F.instr("raw", "\n") == F.length("raw")
+    trimmed = F.regexp_replace(F.regexp_replace("raw", r"\A\n+", ""), r"\n\z", "")
+    lines = F.when(one_line, F.substr("raw", F.lit(1), F.length("raw") - 1)).otherwise(trimmed)
     count, expected = F.col("separators"), F.col("expected")
+    status = F.when(count > expected, "overflow").when(count < expected, "short").otherwise("record")
+    suspect = (expected > 0) & F.col("lines").rlike(rf"\A[^{char_class(sep)}\n]+\n")
     return (
-        raw.withColumn("lines", F.when(whole, plain).otherwise(lines))
-        .withColumn("separators", separator_count(F.col("lines"), sep))
-        .withColumn("value", F.replace("lines", F.lit("\n"), F.lit(" ")))
-        .withColumn("status", F.when(count > expected, "overflow").when(count < expected, "short").otherwise("record"))
-        .withColumn("suspect", (expected > 0) & F.col("lines").rlike(rf"\A[^{s}\n]+\n"))
+        raw.select("file", "part", "seq", "zone", "rec", "expected", lines.alias("lines"), separator_count(F.col("raw"), sep).alias("separators"))
+        .select(
+            "file", "part", "seq", "zone", "rec", F.replace("lines", F.lit("\n"), F.lit(" ")).alias("value"),
+            "separators", status.alias("status"), suspect.alias("suspect"),
+        )
     )
 
 

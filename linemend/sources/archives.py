@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import file_name
-from .lines import BLOCK_BYTES, BLOCK_SCHEMA
-
-BLOCKS_PER_PART = 32
+from .lines import BLOCK_BYTES, BLOCK_SCHEMA, BLOCKS_PER_PART, block_batch
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -33,10 +31,7 @@ def inflate_archives(archives: DataFrame, limit_bytes: int | None = None, block_
         for batch in batches:
             for key, path in zip(batch.column("catalog_key").to_pylist(), batch.column("zip_path").to_pylist()):
                 for n, text in enumerate(_member_blocks(path, limit_bytes, block_bytes)):
-                    yield pa.RecordBatch.from_pydict(
-                        {"file": [key], "part": [n // BLOCKS_PER_PART], "seq": [n], "text": [text]},
-                        schema=pa.schema([("file", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("text", pa.binary())]),
-                    )
+                    yield block_batch(key, n // BLOCKS_PER_PART, n, text)
 
     paths = archives.select("catalog_key", "zip_path")
     one_per_task = paths.repartitionByRange(max(paths.count(), 1), "catalog_key")

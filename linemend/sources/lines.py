@@ -5,7 +5,9 @@ and `id` rises along the split, so `(part, id)` is the order of lines in a file.
 
 A *block* row is `(file, part, seq, text)`: about `BLOCK_BYTES` of whole lines of one
 split, each ended by a newline. Blocks let the record repair run without moving lines
-between tasks: the order of lines inside a block needs no sort and no window.
+between tasks: the order of lines inside a block needs no sort and no window. The part of
+a block is a byte offset too, the same for at most `BLOCKS_PER_PART` blocks, also where
+a split cannot be cut (a compressed file).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+BLOCKS_PER_PART = 32
 BLOCK_SCHEMA = "file string, part long, seq long, text binary"
 
 
@@ -35,11 +38,11 @@ def scan_lines(spark: SparkSession, path: str | list[str], file: Column | None =
 def lines_of_rows(df: DataFrame, file: Column, value: Column) -> DataFrame:
     """Rows that already hold pipe text (possibly with line breaks) as a line source.
 
-    The file order is the row order of `df`; part is the task that holds the row.
+    The file order is the row order of `df`; each task's rows are one split.
     """
     return df.select(
         file.cast("string").alias("file"),
-        F.spark_partition_id().cast("long").alias("part"),
+        F.shiftleft(F.spark_partition_id().cast("long"), 40).alias("part"),
         F.monotonically_increasing_id().alias("id"),
         value.alias("value"),
     )
@@ -49,21 +52,24 @@ def pack_blocks(lines: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Join the lines of each split into blocks; a narrow pass over Arrow batches."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, pending, size = None, 0, [], 0
+        split = part = first = None
+        done = blocks = size = 0  # bytes and blocks of this split so far, bytes of the pending block
+        pending: list[bytes] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
             for start, stop in _runs(batch, block_bytes):
-                row_key = (batch.column("file")[start].as_py(), batch.column("part")[start].as_py())
-                if pending and (row_key != key or size >= block_bytes):
-                    yield _block(key, first, pending)
-                    pending, size = [], 0
+                key = (batch.column("file")[start].as_py(), batch.column("part")[start].as_py())
+                if pending and (key != split or size >= block_bytes):
+                    yield block_batch(split[0], part, first, b"".join(pending))
+                    done, blocks, pending, size = done + size, blocks + 1, [], 0
+                if key != split:
+                    split, done, blocks = key, 0, 0
                 if not pending:
-                    key, first = row_key, batch.column("id")[start].as_py()
+                    first = batch.column("id")[start].as_py()
+                    part = split[1] + done if blocks % BLOCKS_PER_PART == 0 else part
                 pending.append(_joined(batch.column("value").slice(start, stop - start)))
                 size += len(pending[-1])
         if pending:
-            yield _block(key, first, pending)
+            yield block_batch(split[0], part, first, b"".join(pending))
 
     return lines.select(
         F.coalesce("file", F.lit("")).alias("file"),
@@ -75,6 +81,8 @@ def pack_blocks(lines: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def _runs(batch: pa.RecordBatch, block_bytes: int) -> list[tuple[int, int]]:
     """Stretches of equal (file, part) of at most about `block_bytes`."""
+    if not batch.num_rows:
+        return []
     part = batch.column("part").to_numpy()
     name = batch.column("file").dictionary_encode().indices.to_numpy()
     filled = np.cumsum(pc.binary_length(batch.column("value")).to_numpy().astype("int64") + 1) // block_bytes
@@ -89,8 +97,9 @@ def _joined(values: pa.Array) -> bytes:
     return joined[0].as_py() + b"\n"
 
 
-def _block(key: tuple[str, int], first: int, pieces: list[bytes]) -> pa.RecordBatch:
+def block_batch(file: str, part: int, seq: int, text: bytes) -> pa.RecordBatch:
+    """One block as an Arrow batch."""
     return pa.RecordBatch.from_pydict(
-        {"file": [key[0]], "part": [key[1]], "seq": [first], "text": [b"".join(pieces)]},
+        {"file": [file], "part": [part], "seq": [seq], "text": [text]},
         schema=pa.schema([("file", pa.string()), ("part", pa.int64()), ("seq", pa.int64()), ("text", pa.binary())]),
     )
