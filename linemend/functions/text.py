@@ -19,7 +19,15 @@ def char_class(sep: str) -> str:
 
 
 def separator_count(col: Column, sep: str = "|") -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit(sep), F.lit("")))
+    """Occurrences of a character, from the byte lengths with and without it."""
+    dropped = F.octet_length(col) - F.octet_length(F.replace(col, F.lit(sep), F.lit("")))
+    width = len(sep.encode())
+    return dropped if width == 1 else (dropped / width).cast("int")
+
+
+def after_bytes(col: Column, n: Column) -> Column:
+    """The text behind its first n bytes; does not walk over the characters before them."""
+    return F.substring(col.cast("binary"), n + 1, F.octet_length(col)).cast("string")
 
 
 def decode_utf8_lossy(col: Column) -> Column:

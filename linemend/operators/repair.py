@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import char_class, decode_utf8_lossy, separator_count
+from ..functions import after_bytes, char_class, decode_utf8_lossy, separator_count
 from ..session import work_dir
 
 # Line checks ------------------------------------------------------------------------
@@ -71,7 +71,10 @@ def route_clean_or_repair(lines: DataFrame, status: DataFrame) -> tuple[DataFram
 
 
 def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> DataFrame:
-    """Lead, body records and tail of each block, and its effect on the pending count."""
+    """Lead, body records and tail of each block, and its effect on the pending count.
+
+    `exact` says that no body record has too many separators, so none need be counted again.
+    """
     s = char_class(sep)
     e = _column(expected).cast("int")
     e_text = e.cast("string")
@@ -83,14 +86,17 @@ def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> D
         blocks.select("file", "part", "seq", e.alias("expected"), decoded.alias("text"))
         .withColumn("lead", F.call_function("regexp_extract", "text", lead_pattern, F.lit(0)))
         .withColumn("synced", F.col("lead") != "")
-        .withColumn("rest", F.when(F.col("synced"), _after("text", F.length("lead"))).otherwise(""))
-        .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(0)))
+        .withColumn("rest", F.when(F.col("synced"), after_bytes(F.col("text"), F.octet_length("lead"))).otherwise(""))
+        .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1)))
     )
     lead = F.when(F.col("synced"), F.col("lead")).otherwise(F.col("text"))
-    tail = _after("rest", _total_length("records"))
+    tail = after_bytes(F.col("rest"), _taken("records"))
     return (
-        cut.select("file", "part", "seq", "expected", "synced", lead.alias("lead"), tail.alias("tail"), "records")
+        cut.select("file", "part", "seq", "expected", "synced", lead.alias("lead"), tail.alias("tail"), "records", "rest")
+        .withColumn("body_separators", separator_count(F.col("rest"), sep) - separator_count(F.col("tail"), sep))
+        .withColumn("exact", F.col("body_separators") == F.col("expected") * F.size("records"))
         .withColumn("lead_separators", separator_count(F.col("lead"), sep))
+        .drop("rest", "body_separators")
         .withColumn(
             "exits",
             F.when(F.col("synced"), F.array(separator_count(F.col("tail"), sep))).otherwise(_exit_map("lead", sep)),
@@ -117,19 +123,17 @@ def stage_split(blocks: DataFrame, expected: Column | int, sep: str = "|", path:
 
 
 def _record_pattern(expected: Column, s: str) -> Column:
-    """One record: up to the end of the line that holds its expected-th separator.
+    """One record, its last line end left out: up to the end of the line that holds its
+    expected-th separator.
 
     `\\G` keeps matches adjacent, so the scan stops at the first unfinished record.
     """
-    return F.concat(F.lit(rf"\G(?:[^{s}]*+{s}){{"), expected.cast("string"), F.lit(r"}+[^\n]*+\n"))
-
-
-def _after(text: str, n: Column) -> Column:
-    return F.substr(F.col(text), n + F.lit(1))
+    return F.concat(F.lit(rf"\G((?:[^{s}]*+{s}){{"), expected.cast("string"), F.lit(r"}+[^\n]*+)\n"))
 
 
-def _total_length(texts: str) -> Column:
-    return F.aggregate(texts, F.lit(0), lambda total, text: total + F.length(text))
+def _taken(records: str) -> Column:
+    """Bytes of the text the records were taken from, with a line end each."""
+    return F.when(F.size(records) > 0, F.octet_length(F.array_join(records, "\n")) + 1).otherwise(0)
 
 
 def _exit_map(text: str, sep: str) -> Column:
@@ -234,8 +238,8 @@ def reassemble_records(split: DataFrame, sep: str = "|") -> DataFrame:
 
 def _within(blocks: DataFrame, zone: int) -> DataFrame:
     """Records that begin and end in one block. With no separators a blank line would be one."""
-    records = blocks.select("file", "part", "seq", "expected", F.posexplode("records").alias("rec", "raw"))
-    return records.filter(F.col("raw") != "\n").withColumn("zone", F.lit(zone))
+    records = blocks.select("file", "part", "seq", F.lit(zone).alias("zone"), "expected", "exact", F.posexplode("records").alias("rec", "raw"))
+    return records.filter(F.col("raw") != "")
 
 
 def _edges(split: DataFrame, sep: str) -> DataFrame:
@@ -247,9 +251,10 @@ def _edges(split: DataFrame, sep: str) -> DataFrame:
         split.select("file", "part", "seq", "expected", "synced", "lead", "tail")
         .join(entry_states(split), ["file", "part", "seq"])
         .withColumn("closing", F.when(F.col("closes"), closing).otherwise(F.col("lead")))
-        .withColumn("rest", _after("lead", F.length("closing")))
-        .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(0)))
-        .withColumn("open", F.when(F.col("synced"), F.col("tail")).otherwise(_after("rest", _total_length("records"))))
+        .withColumn("rest", after_bytes(F.col("lead"), F.octet_length("closing")))
+        .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1)))
+        .withColumn("exact", F.lit(False))
+        .withColumn("open", F.when(F.col("synced"), F.col("tail")).otherwise(after_bytes(F.col("rest"), _taken("records"))))
     )
 
 
@@ -263,6 +268,7 @@ def _spanning(edges: DataFrame) -> DataFrame:
     opening = F.struct(F.struct("part", "seq").alias("opener"), F.lit(1).alias("piece"), F.lit(False).alias("closes"), F.col("open").alias("text"))
     pieces = F.when(F.col("closes") & (F.col("open") != ""), F.array(closing, opening)).otherwise(F.array(closing))
     in_order = F.sort_array(F.collect_list(F.struct("part", "seq", "piece", "text")))
+    text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
     return (
         edges.select("file", "part", "seq", "expected", F.explode(pieces).alias("p"))
         .select("file", "part", "seq", "expected", "p.*")
@@ -273,27 +279,25 @@ def _spanning(edges: DataFrame) -> DataFrame:
         )
         .select(
             "file", "at.part", "at.seq", "expected", F.when(F.col("closed"), 0).otherwise(3).alias("zone"), F.lit(0).alias("rec"),
-            F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("raw"),
+            F.lit(False).alias("exact"), F.regexp_replace(text, r"\n\z", "").alias("raw"),
         )
         .filter(~F.col("raw").rlike(r"\A\n*\z"))
     )
 
 
 def _label(raw: DataFrame, sep: str) -> DataFrame:
-    """Raw texts to outcomes: blank lines before a record and the last line end dropped,
-    lines joined by a space, separators counted."""
-    one_line = F.instr("raw", "\n") == F.length("raw")
-    trimmed = F.regexp_replace(F.regexp_replace("raw", r"\A\n+", ""), r"\n\z", "")
-    lines = F.when(one_line, F.substr("raw", F.lit(1), F.length("raw") - 1)).otherwise(trimmed)
-    count, expected = F.col("separators"), F.col("expected")
-    status = F.when(count > expected, "overflow").when(count < expected, "short").otherwise("record")
-    suspect = (expected > 0) & F.col("lines").rlike(rf"\A[^{char_class(sep)}\n]+\n")
-    return (
-        raw.select("file", "part", "seq", "zone", "rec", "expected", lines.alias("lines"), separator_count(F.col("raw"), sep).alias("separators"))
-        .select(
-            "file", "part", "seq", "zone", "rec", F.replace("lines", F.lit("\n"), F.lit(" ")).alias("value"),
-            "separators", status.alias("status"), suspect.alias("suspect"),
-        )
+    """Raw texts to outcomes: blank lines before a record dropped, lines joined by a space."""
+    one_line = ~F.contains("raw", F.lit("\n"))
+    lines = F.regexp_replace("raw", r"\A\n+", "")
+    exact, expected = F.col("exact"), F.col("expected")
+    count = F.when(exact, expected).otherwise(separator_count(F.col("raw"), sep))
+    status = F.when(exact, "record").when(count > expected, "overflow").when(count < expected, "short").otherwise("record")
+    starts_bare = F.col("raw").rlike(rf"\A\n*+[^{char_class(sep)}\n]++\n")
+    return raw.select(
+        "file", "part", "seq", "zone", "rec",
+        F.when(one_line, F.col("raw")).otherwise(F.replace(lines, F.lit("\n"), F.lit(" "))).alias("value"),
+        count.alias("separators"), status.alias("status"),
+        F.when(one_line | (expected == 0), False).otherwise(starts_bare).alias("suspect"),
     )
 
 

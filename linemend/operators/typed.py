@@ -38,10 +38,15 @@ def apply_schema(
         message = F.concat(F.lit(f"more than {len(columns)} fields: "), F.array_join("fields", "|"))
         records = records.withColumn("fields", F.when(too_long, F.raise_error(message)).otherwise(F.col("fields")))
     return records.select(
-        *keep, *((lenient_cast(field(i), c) if cast else field(i)).alias(c.name) for i, c in enumerate(columns))
+        *keep, *((typed_field(i, c) if cast else field(i)).alias(c.name) for i, c in enumerate(columns))
     )
 
 
+def typed_field(i: int, spec: ColumnSpec) -> Column:
+    """Field i in its type; a blank is no number, so it needs no test of its own."""
+    return field(i) if spec.precision is None else lenient_cast(F.get("fields", F.lit(i)), spec)
+
+
 def lenient_cast(col: Column, spec: ColumnSpec) -> Column:
     return col if spec.precision is None else lenient_decimal(col, spec.precision, spec.scale)
 
