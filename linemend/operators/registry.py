@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import HEADER_MARKER, MAX_DECIMAL_PRECISION, numeric_precision, numeric_scale, strip
@@ -72,9 +73,17 @@ def expected_by_dataset(registry: DataFrame) -> DataFrame:
     return registry.groupBy("dataset").agg((F.count("*") - 1).alias("expected"))
 
 
-def dataset_columns(registry: DataFrame, dataset: str) -> list[ColumnSpec]:
-    """Columns of one dataset for building a projection; one row per column is collected."""
-    rows = registry.filter(F.col("dataset") == dataset).orderBy("ordinal").collect()
+def dataset_rows(registry: DataFrame) -> dict[str, list[Row]]:
+    """Registry rows by dataset, in column order, for building projections. One row per
+    column is collected: call it on the datasets that are needed."""
+    found: dict[str, list[Row]] = {}
+    for row in registry.orderBy("dataset", "ordinal").collect():
+        found.setdefault(row["dataset"], []).append(row)
+    return found
+
+
+def column_specs(dataset: str, rows: Sequence[Row]) -> list[ColumnSpec]:
+    """Columns of one dataset. Fails where there are none, or two of one name."""
     names = [row["column_name"] for row in rows]
     repeated = sorted({name for name in names if names.count(name) > 1})
     if not rows:
@@ -89,6 +98,11 @@ def dataset_columns(registry: DataFrame, dataset: str) -> list[ColumnSpec]:
     ]
 
 
+def dataset_columns(registry: DataFrame, dataset: str) -> list[ColumnSpec]:
+    """Columns of one dataset, looked up in the registry."""
+    return column_specs(dataset, dataset_rows(registry.filter(F.col("dataset") == dataset)).get(dataset, []))
+
+
 def oversized_columns(registry: DataFrame) -> DataFrame:
     """Columns whose declared precision no decimal can hold; they stay text."""
     return registry.filter((F.col("precision") > MAX_DECIMAL_PRECISION) | (F.col("scale") > F.col("precision")))

@@ -138,16 +138,26 @@ def _taken(records: str) -> Column:
 
 def _exit_map(text: str, sep: str) -> Column:
     """Pending count after the text for each pending count 0..E-1 before it."""
-    states = F.sequence(F.lit(0), F.greatest(F.col("expected") - 1, F.lit(0)))
     counts = F.transform(F.split(text, "\n"), lambda line: separator_count(line, sep))
-    step = lambda state, k: F.when(state + k >= F.col("expected"), F.lit(0)).otherwise(state + k)
-    return F.aggregate(counts, states, lambda acc, k: F.transform(acc, lambda state: step(state, k)))
+    return F.aggregate(
+        counts, F.expr(_COUNTS.format("expected")), lambda states, k: F.transform(states, lambda n: F.when(n + k < F.col("expected"), n + k).otherwise(0))
+    )
 
 
 # Entry states -----------------------------------------------------------------------
 
 NO_BLOCK = -1
 
+# Every count that can be pending.
+_COUNTS = "sequence(0, greatest({} - 1, 0))"
+
+# `s` is the state before block `b`: the pending count, and the block that opened the record.
+_CLOSES = "s.entry + b.lead_separators >= b.expected"
+_STEP = f"""named_struct(
+  'entry', IF(size(b.exits) = 1, b.exits[0], get(b.exits, s.entry)),
+  'open_part', IF({_CLOSES}, b.part, s.open_part),
+  'open_seq', IF({_CLOSES}, b.seq, s.open_seq))"""
+
 
 def entry_states(split: DataFrame) -> DataFrame:
     """(file, part, seq, entry, closes, opener): pending count at the start of each block,
@@ -156,57 +166,27 @@ def entry_states(split: DataFrame) -> DataFrame:
     Works on a few integers per block. Steps are composed within each split first, so what
     meets in one group per file is one row per split.
     """
-    block = F.struct("seq", "part", "expected", "lead_separators", "exits")
-    parts = split.groupBy("file", "part").agg(F.sort_array(F.collect_list(block)).alias("blocks"))
-    same = F.size(F.array_distinct("step")) == 1
-    part_steps = parts.select("file", "part", _part_step().alias("step")).withColumn(
-        "step", F.when(same, F.slice("step", 1, 1)).otherwise(F.col("step"))
+    parts = split.groupBy("file", "part").agg(
+        F.expr("sort_array(collect_list(struct(seq, part, expected, lead_separators, exits)))").alias("blocks")
     )
-    part_entry = part_steps.groupBy("file").applyInPandas(
-        _fold_parts, "file string, part long, entry int, open_part long, open_seq long"
+    after_part = f"""transform({_COUNTS.format("blocks[0].expected")}, n -> aggregate(blocks,
+      named_struct('entry', n, 'open_part', {NO_BLOCK}L, 'open_seq', {NO_BLOCK}L), (s, b) -> {_STEP}))"""
+    steps = parts.selectExpr("file", "part", f"{after_part} AS step").selectExpr(
+        "file", "part", "IF(size(array_distinct(step)) = 1, slice(step, 1, 1), step) AS step"
     )
-
-    def at_block(block: Column, i: Column) -> Column:
-        start = _state(F.col("entry"), F.col("open_part"), F.col("open_seq"))
-        state = F.aggregate(F.slice("blocks", F.lit(1), i), start, _step)
-        return F.struct(block["seq"].alias("seq"), state.alias("state"), _closes(state, block).alias("closes"))
-
+    part_entry = steps.groupBy("file").applyInPandas(_fold_parts, "file string, part long, entry int, open_part long, open_seq long")
+    at_blocks = f"""transform(blocks, (at, i) -> struct(at AS b, aggregate(slice(blocks, 1, i),
+      named_struct('entry', entry, 'open_part', open_part, 'open_seq', open_seq), (s, b) -> {_STEP}) AS s))"""
     return (
         parts.join(part_entry, ["file", "part"])
-        .select("file", "part", F.explode(F.transform("blocks", at_block)).alias("b"))
-        .select(
-            "file", "part", "b.seq", "b.state.entry", "b.closes",
-            F.struct(F.col("b.state.open_part").alias("part"), F.col("b.state.open_seq").alias("seq")).alias("opener"),
+        .selectExpr("file", "part", f"inline({at_blocks})")
+        .selectExpr(
+            "file", "part", "b.seq AS seq", "s.entry AS entry", f"{_CLOSES} AS closes",
+            "struct(s.open_part AS part, s.open_seq AS seq) AS opener",
         )
     )
 
 
-def _state(entry: Column, part: Column, seq: Column) -> Column:
-    return F.struct(entry.cast("int").alias("entry"), part.cast("long").alias("open_part"), seq.cast("long").alias("open_seq"))
-
-
-def _closes(state: Column, block: Column) -> Column:
-    return state["entry"] + block["lead_separators"] >= block["expected"]
-
-
-def _step(state: Column, block: Column) -> Column:
-    """State after a block from the state before it."""
-    exits, closes = block["exits"], _closes(state, block)
-    after = F.when(F.size(exits) == 1, exits[0]).otherwise(F.get(exits, state["entry"]))
-    return _state(
-        after,
-        F.when(closes, block["part"]).otherwise(state["open_part"]),
-        F.when(closes, block["seq"]).otherwise(state["open_seq"]),
-    )
-
-
-def _part_step() -> Column:
-    """States after a split for every pending count before it."""
-    counts = F.sequence(F.lit(0), F.greatest(F.col("blocks")[0]["expected"] - 1, F.lit(0)))
-    start = F.transform(counts, lambda n: _state(n, F.lit(NO_BLOCK), F.lit(NO_BLOCK)))
-    return F.aggregate("blocks", start, lambda states, block: F.transform(states, lambda state: _step(state, block)))
-
-
 def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     """State at the start of each split of one file."""
     pdf = pdf.sort_values("part")
@@ -238,8 +218,9 @@ def reassemble_records(split: DataFrame, sep: str = "|") -> DataFrame:
 
 def _within(blocks: DataFrame, zone: int) -> DataFrame:
     """Records that begin and end in one block. With no separators a blank line would be one."""
-    records = blocks.select("file", "part", "seq", F.lit(zone).alias("zone"), "expected", "exact", F.posexplode("records").alias("rec", "raw"))
-    return records.filter(F.col("raw") != "")
+    return blocks.selectExpr(
+        "file", "part", "seq", f"{zone} AS zone", "expected", "exact", "posexplode(records) AS (rec, raw)"
+    ).filter("raw <> ''")
 
 
 def _edges(split: DataFrame, sep: str) -> DataFrame:
@@ -247,14 +228,16 @@ def _edges(split: DataFrame, sep: str) -> DataFrame:
     s = char_class(sep)
     missing = (F.col("expected") - F.col("entry")).cast("string")
     closing = F.call_function("regexp_extract", "lead", F.concat(F.lit(rf"\A(?:[^{s}]*+{s}){{"), missing, F.lit(r"}+[^\n]*+\n")), F.lit(0))
+    rest = after_bytes(F.col("lead"), F.octet_length("closing"))
+    records = F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1))
+    opening = F.when(F.col("synced"), F.col("tail")).otherwise(after_bytes(F.col("rest"), _taken("records")))
     return (
-        split.select("file", "part", "seq", "expected", "synced", "lead", "tail")
-        .join(entry_states(split), ["file", "part", "seq"])
-        .withColumn("closing", F.when(F.col("closes"), closing).otherwise(F.col("lead")))
-        .withColumn("rest", after_bytes(F.col("lead"), F.octet_length("closing")))
-        .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1)))
-        .withColumn("exact", F.lit(False))
-        .withColumn("open", F.when(F.col("synced"), F.col("tail")).otherwise(after_bytes(F.col("rest"), _taken("records"))))
+        split.join(entry_states(split), ["file", "part", "seq"])
+        .select("file", "part", "seq", "expected", "synced", "lead", "tail", "closes", "opener", F.expr("false AS exact"),
+                F.when(F.col("closes"), closing).otherwise(F.col("lead")).alias("closing"))
+        .withColumn("rest", rest)
+        .withColumn("records", records)
+        .withColumn("open", opening)
     )
 
 
@@ -264,24 +247,20 @@ def _spanning(edges: DataFrame) -> DataFrame:
     Each group is the pieces of one record. The last group of a file has no closing text
     and is the unfinished rest.
     """
-    closing = F.struct("opener", F.lit(0).alias("piece"), "closes", F.col("closing").alias("text"))
-    opening = F.struct(F.struct("part", "seq").alias("opener"), F.lit(1).alias("piece"), F.lit(False).alias("closes"), F.col("open").alias("text"))
-    pieces = F.when(F.col("closes") & (F.col("open") != ""), F.array(closing, opening)).otherwise(F.array(closing))
-    in_order = F.sort_array(F.collect_list(F.struct("part", "seq", "piece", "text")))
-    text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
+    closing = "struct(opener, 0 AS piece, closes, closing AS text)"
+    opening = "struct(struct(part, seq) AS opener, 1 AS piece, false AS closes, open AS text)"
     return (
-        edges.select("file", "part", "seq", "expected", F.explode(pieces).alias("p"))
-        .select("file", "part", "seq", "expected", "p.*")
+        edges.selectExpr("file", "part", "seq", "expected", f"inline(IF(closes AND open <> '', array({closing}, {opening}), array({closing})))")
         .groupBy("file", "opener")
         .agg(
-            F.max(F.struct("part", "seq")).alias("at"), F.max("expected").alias("expected"),
-            F.bool_or("closes").alias("closed"), in_order.alias("pieces"),
+            F.expr("max(struct(part, seq)) AS at"), F.expr("max(expected) AS expected"), F.expr("bool_or(closes) AS closed"),
+            F.expr("sort_array(collect_list(struct(part, seq, piece, text))) AS pieces"),
         )
-        .select(
-            "file", "at.part", "at.seq", "expected", F.when(F.col("closed"), 0).otherwise(3).alias("zone"), F.lit(0).alias("rec"),
-            F.lit(False).alias("exact"), F.regexp_replace(text, r"\n\z", "").alias("raw"),
+        .selectExpr(
+            "file", "at.part AS part", "at.seq AS seq", "IF(closed, 0, 3) AS zone", "expected", "false AS exact", "0 AS rec",
+            r"regexp_replace(array_join(pieces.text, ''), r'\n\z', '') AS raw",
         )
-        .filter(~F.col("raw").rlike(r"\A\n*\z"))
+        .filter(r"NOT raw RLIKE r'\A\n*\z'")
     )
 
 

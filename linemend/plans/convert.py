@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import skip_existing
-from ..operators.registry import ColumnSpec, dataset_columns
+from ..operators.registry import ColumnSpec, column_specs, dataset_rows
 from ..operators.repair import kept_records, reassemble_records, reject_overflow, stage_split
 from ..operators.typed import apply_schema, cast_losses, read_as_strings
 from ..session import drop_work_dir, work_dir
@@ -31,22 +31,24 @@ def convert_catalog(
     others and small ones fill the cores that a large one leaves.
     """
     pending = [row.asDict() for row in skip_existing(catalog, finished_keys(catalog, out)).collect()]
+    keys = spark.createDataFrame([(row["catalog_key"],) for row in pending], "catalog_key string")
+    schemas = dataset_rows(registry.join(keys, F.col("dataset") == F.col("catalog_key"), "left_semi"))
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        rows = list(pool.map(lambda row: _convert_one(spark, row, registry, out, sep), pending))
-    skipped = catalog.join(spark.createDataFrame([(r["catalog_key"],) for r in pending], "catalog_key string"), "catalog_key", "left_anti")
+        rows = list(pool.map(lambda row: _convert_one(spark, row, schemas, out, sep), pending))
+    skipped = catalog.join(keys, "catalog_key", "left_anti")
     return spark.createDataFrame(rows, STATUS).unionByName(
         skipped.select("catalog_key", F.lit("skipped").alias("status")), allowMissingColumns=True
     )
 
 
-def _convert_one(spark: SparkSession, row: dict, registry: DataFrame, out: str, sep: str) -> dict:
+def _convert_one(spark: SparkSession, row: dict, schemas: dict[str, list[Row]], out: str, sep: str) -> dict:
     key = row["catalog_key"]
     status = {"catalog_key": key, "status": "failed"}
     try:
-        columns = dataset_columns(registry, key)
+        columns = column_specs(key, schemas.get(key, []))
         archive = spark.createDataFrame([(key, row["zip_path"])], "catalog_key string, zip_path string")
         # The hash exchange hands blocks from the one inflating task to all others.
-        blocks = inflate_archives(archive).repartition("file", "part", "seq")
+        blocks = inflate_archives(archive, tasks=1).repartition("file", "part", "seq")
         status.update(convert_blocks(blocks, columns, out, key, sep), status="converted")
     except Exception as error:  # noqa: BLE001 - reported, and the other datasets go on
         status["error"] = f"{type(error).__name__}: {error}"[:2000]

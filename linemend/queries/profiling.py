@@ -8,7 +8,7 @@ from ..operators import profile
 from ..session import work_dir
 from ..sinks import write_dataset
 from ..sources import lines_of_rows, pack_blocks, scan_parquet
-from .tables import TABLES, table
+from .tables import TABLES, spread, table
 
 
 def _frames(spark, folder):
@@ -44,7 +44,7 @@ def written_dataset(spark, folder):
 
 def encoding_audit(spark, folder):
     """French documents are stored as Latin-1, the others as UTF-8; a file per language."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
     latin = F.encode(F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "?"), "ISO-8859-1")
     raw = F.when(F.col("lang") == "fr", latin).otherwise(F.encode("text", "UTF-8"))
     return profile.encoding_audit(pack_blocks(lines_of_rows(docs, F.col("lang"), raw)))

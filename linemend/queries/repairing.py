@@ -149,9 +149,10 @@ def line_endings(spark, folder):
 
 def sampled_head(spark, folder):
     """Whether every sampled line of the first block is a line of the table."""
-    head = sample_head(document_blocks(spark, folder), 1)
+    docs = table(spark, folder, "documents")
+    head = sample_head(pack_blocks(lines_of_rows(docs, F.lit("documents"), document_text(True))), 1)
     texts = head.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("value")).filter("value <> ''")
-    known = table(spark, folder, "documents").select(F.explode(F.split(document_text(True), "\n")).alias("value")).distinct()
+    known = docs.select(F.explode(F.split(document_text(True), "\n")).alias("value")).distinct()
     return texts.join(known, "value", "left_anti").agg(F.count("*").alias("n_unknown"))
 
 

@@ -17,6 +17,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out the rows of an input that has fewer splits than there are cores, by a key
+    of many values.
+
+    A small table is one split and would keep one core busy. A large one has more splits
+    than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def money(col: str):
     """A two-digit amount as text."""
     return F.col(col).cast("decimal(15,2)").cast("string")
@@ -59,7 +70,7 @@ def ordered_document_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_blocks(spark: SparkSession, folder: str, plain: bool = True) -> DataFrame:
     """Blocks of all documents as one file, in table order."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
     return pack_blocks(lines_of_rows(docs, F.lit("documents"), document_text(plain)))
 
 

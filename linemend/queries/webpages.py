@@ -21,13 +21,13 @@ from ..operators.registry import build_registry
 from ..session import work_dir
 from ..sinks import descriptor_texts, write_schema_descriptors
 from ..sources import accumulate_pages, scan_pages
-from .tables import table
+from .tables import spread, table
 
 LINK = r'<a href="/([^"]*)">([^<]*)</a>'
 
 
 def _pages(spark, folder):
-    return scan_pages(spark, f"{folder}/pages.parquet")
+    return spread(scan_pages(spark, f"{folder}/pages.parquet"), "page_id")
 
 
 def page_links(spark, folder):
@@ -65,7 +65,7 @@ def _schema_pages(spark, folder):
 
     Documents of the first label value have no name, so their pages are incomplete.
     """
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"), "doc_id")
     name = F.when(F.col("lang") == "de", "").otherwise(F.concat("source", F.lit(" (2025년 12월)")))
     html = F.concat(
         F.lit(f"<html><body><div class=p><div>{SERVICE_LABEL}</div><div><b>"), name, F.lit("</b></div>"),

@@ -19,12 +19,15 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", file_name(F.col("path")).alias("name"), F.col("length").alias("size"))
 
 
-def inflate_archives(archives: DataFrame, limit_bytes: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def inflate_archives(
+    archives: DataFrame, limit_bytes: int | None = None, block_bytes: int = BLOCK_BYTES, tasks: int | None = None
+) -> DataFrame:
     """Blocks of the first member of each zip archive in `(catalog_key, zip_path)` rows.
 
     A deflate stream can only be read from its start, so one task reads one archive. The
     task does nothing else: it cuts the stream at line ends and hands the blocks on.
-    `limit_bytes` reads only the head of each member.
+    `limit_bytes` reads only the head of each member; `tasks` is the number of archives,
+    counted where it is not given.
     """
 
     def inflate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +37,7 @@ def inflate_archives(archives: DataFrame, limit_bytes: int | None = None, block_
                     yield block_batch(key, n // BLOCKS_PER_PART, n, text)
 
     paths = archives.select("catalog_key", "zip_path")
-    one_per_task = paths.repartitionByRange(max(paths.count(), 1), "catalog_key")
+    one_per_task = paths.repartitionByRange(tasks or max(paths.count(), 1), "catalog_key")
     return one_per_task.mapInArrow(inflate, BLOCK_SCHEMA)
 
 
