@@ -35,6 +35,17 @@ def _bag(columns, rows):
     return [columns[i] for i in order], Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def type_difference(df, connection, sql: str) -> str | None:
+    """None when column types agree, else the columns that do not."""
+    expected = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    actual = {name: TYPES.get(kind, kind.upper()) for name, kind in df.dtypes}
+    wrong = {name: (kind, expected.get(name)) for name, kind in actual.items() if expected.get(name) != kind}
+    return str(wrong) if wrong else None
+
+
 def difference(df, connection, sql: str) -> str | None:
     """None when equal, else what differs."""
     result = connection.execute(sql)
