@@ -110,16 +110,18 @@ def stage_split(blocks: DataFrame, expected: Column | int, sep: str = "|", path:
     Staging makes the cut points final: a lost task cannot see other blocks than the
     ones its neighbours were matched with.
     """
-    spark = blocks.sparkSession
-    path = path or work_dir(spark, "split")
+    return _written(split_blocks(blocks, expected, sep), path or work_dir(blocks.sparkSession, "split"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """A table in the shared folder. Rows can be large, so the writer looks at its sizes often."""
     (
-        split_blocks(blocks, expected, sep)
-        .write.option("parquet.block.size", 32 << 20)
+        df.write.option("parquet.block.size", 32 << 20)
         .option("parquet.block.size.row.check.min", 1)
         .option("parquet.page.size.row.check.min", 1)
         .parquet(path)
     )
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _record_pattern(expected: Column, s: str) -> Column:
@@ -163,7 +165,7 @@ def entry_states(split: DataFrame) -> DataFrame:
     """(file, part, seq, entry, closes, opener): pending count at the start of each block,
     whether the block closes a record, and the earlier block whose tail began the one pending.
 
-    Works on a few integers per block. Steps are composed within each split first, so what
+    Works on a few integers per block and is itself as small. Steps are composed within each split first, so what
     meets in one group per file is one row per split.
     """
     parts = split.groupBy("file", "part").agg(
@@ -187,6 +189,11 @@ def entry_states(split: DataFrame) -> DataFrame:
     )
 
 
+def stage_states(split: DataFrame, path: str | None = None) -> DataFrame:
+    """Write `entry_states`, which every kind of record at a block border is joined with."""
+    return _written(entry_states(split), path or work_dir(split.sparkSession, "states"))
+
+
 def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     """State at the start of each split of one file."""
     pdf = pdf.sort_values("part")
@@ -204,14 +211,14 @@ def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 # Reassembly -------------------------------------------------------------------------
 
 
-def reassemble_records(split: DataFrame, sep: str = "|") -> DataFrame:
+def reassemble_records(split: DataFrame, states: DataFrame, sep: str = "|") -> DataFrame:
     """Every record, rejected record and unfinished rest of staged blocks, once each.
 
     `(part, seq, zone, rec)` is the order within a file. `status` is `record`, `overflow`
     or `short`; `suspect` marks records that begin with a line without separators, whose
     text may belong to the last field of the record before.
     """
-    edges = _edges(split, sep)
+    edges = _edges(split, states, sep)
     raw = _within(split, 2).unionByName(_within(edges, 1)).unionByName(_spanning(edges))
     return _label(raw, sep)
 
@@ -223,7 +230,7 @@ def _within(blocks: DataFrame, zone: int) -> DataFrame:
     ).filter("raw <> ''")
 
 
-def _edges(split: DataFrame, sep: str) -> DataFrame:
+def _edges(split: DataFrame, states: DataFrame, sep: str) -> DataFrame:
     """Leads cut, by what was pending, into a closing text, whole records and an open rest."""
     s = char_class(sep)
     missing = (F.col("expected") - F.col("entry")).cast("string")
@@ -232,7 +239,7 @@ def _edges(split: DataFrame, sep: str) -> DataFrame:
     records = F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1))
     opening = F.when(F.col("synced"), F.col("tail")).otherwise(after_bytes(F.col("rest"), _taken("records")))
     return (
-        split.join(entry_states(split), ["file", "part", "seq"])
+        split.join(states, ["file", "part", "seq"])
         .select("file", "part", "seq", "expected", "synced", "lead", "tail", "closes", "opener", F.expr("false AS exact"),
                 F.when(F.col("closes"), closing).otherwise(F.col("lead")).alias("closing"))
         .withColumn("rest", rest)
@@ -290,9 +297,11 @@ def reject_overflow(outcome: DataFrame) -> DataFrame:
     return outcome.filter(F.col("status") == "overflow").withColumn("reason", F.lit("more separators than the schema allows"))
 
 
-def repair_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> DataFrame:
-    """Blocks to outcomes, with the split staged in the shared work folder."""
-    return reassemble_records(stage_split(blocks, expected, sep), sep)
+def repair_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|", path: str | None = None) -> DataFrame:
+    """Blocks to outcomes; split and states are staged below `path` in the shared folder."""
+    path = path or work_dir(blocks.sparkSession, "repair")
+    split = stage_split(blocks, expected, sep, f"{path}/split")
+    return reassemble_records(split, stage_states(split, f"{path}/states"), sep)
 
 
 def _column(value: Column | int) -> Column:

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import skip_existing
 from ..operators.registry import ColumnSpec, column_specs, dataset_rows
-from ..operators.repair import kept_records, reassemble_records, reject_overflow, stage_split
+from ..operators.repair import kept_records, reject_overflow, repair_blocks
 from ..operators.typed import apply_schema, cast_losses, read_as_strings
 from ..session import drop_work_dir, work_dir
 from ..sinks import finished_keys, write_dataset
 from ..sources.archives import inflate_archives
 
+# How much larger than its archive a text may be, and the text one task should repair.
+INFLATION = 8
+PARTITION_BYTES = 64 << 20
+
 STATUS = (
-    "catalog_key string, status string, rows_out long, short long, suspect long, rejected long, "
+    "catalog_key string, status string, rows_in long, rows_out long, short long, suspect long, rejected long, "
     "cast_nulls map<string,long>, error string"
 )
 
@@ -47,8 +51,9 @@ def _convert_one(spark: SparkSession, row: dict, schemas: dict[str, list[Row]],
     try:
         columns = column_specs(key, schemas.get(key, []))
         archive = spark.createDataFrame([(key, row["zip_path"])], "catalog_key string, zip_path string")
-        # The hash exchange hands blocks from the one inflating task to all others.
-        blocks = inflate_archives(archive, tasks=1).repartition("file", "part", "seq")
+        # The exchange hands blocks from the one inflating task to as many as its size needs.
+        tasks = 1 + (row.get("zip_size_bytes") or 0) * INFLATION // PARTITION_BYTES
+        blocks = inflate_archives(archive, tasks=1).repartition(tasks, "part", "seq")
         status.update(convert_blocks(blocks, columns, out, key, sep), status="converted")
     except Exception as error:  # noqa: BLE001 - reported, and the other datasets go on
         status["error"] = f"{type(error).__name__}: {error}"[:2000]
@@ -62,9 +67,9 @@ def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, k
     staged split only if there were any.
     """
     spark = blocks.sparkSession
-    stage = work_dir(spark, "split")
+    stage = work_dir(spark, "repair")
     try:
-        outcome = reassemble_records(stage_split(blocks, len(columns) - 1, sep, stage), sep)
+        outcome = repair_blocks(blocks, len(columns) - 1, sep, stage)
         counters, losses = Observation(), Observation()
         counted = outcome.observe(
             counters,
@@ -79,6 +84,7 @@ def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, k
             typed = typed.observe(losses, *(count.alias(f"c{i}") for i, count in enumerate(lost.values())))
         write_dataset(typed.drop("fields"), out, key)
         status = dict(counters.get)
+        status["rows_in"] = status["rows_out"] + status["rejected"]
         status["cast_nulls"] = {name: losses.get[f"c{i}"] for i, name in enumerate(lost)}
         if status["rejected"]:
             reject_overflow(outcome).write.mode("overwrite").parquet(f"{out}/_rejects/{key}")

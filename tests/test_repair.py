@@ -127,7 +127,7 @@ def test_no_text_leaves_its_task_but_block_edges(spark):
     edges = split.select(F.sum(F.length("lead") + F.length("tail"))).first()[0]
     body = split.select(F.sum(F.aggregate("records", F.lit(0), lambda n, r: n + F.length(r)))).first()[0]
     assert edges < body / 50
-    assert repair.reassemble_records(split).count() == 20000
+    assert repair.reassemble_records(split, repair.stage_states(split)).count() == 20000
 
 
 def test_line_checks(spark):
@@ -145,5 +145,5 @@ def test_line_checks(spark):
 def test_other_separator(spark):
     frame = spark.createDataFrame([("a^b",), ("c|d^e",)], "value string").coalesce(1)
     blocks = pack_blocks(lines_of_rows(frame, F.lit("f"), F.col("value")))
-    rows = repair.reassemble_records(repair.stage_split(blocks, 2, "^"), "^").collect()
+    rows = repair.repair_blocks(blocks, 2, "^").collect()
     assert [r["value"] for r in rows] == ["a^b c|d^e"]
