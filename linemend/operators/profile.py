@@ -40,17 +40,16 @@ def profile_all(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[st
     parts = []
     for name, df in sorted(frames.items()):
         whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        counts = df.agg(F.count("*").alias("n_rows"))
-        first = preview(df, 1, order.get(name, ())).select(whole.alias("first_row"))
-        parts.append(
-            counts.join(first, how="left", on=F.lit(True)).select(
-                F.lit(name).alias("dataset"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "first_row"
-            )
-        )
-    result, *others = parts
-    for other in others:
-        result = result.unionByName(other)
-    return result
+        label = F.lit(name).alias("dataset")
+        parts.append(row_count(df).select(label, "n_rows", F.lit(None).cast("string").alias("first_row")))
+        parts.append(preview(df, 1, order.get(name, ())).select(label, F.lit(None).cast("long").alias("n_rows"), whole.alias("first_row")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    n_columns = F.create_map(*(F.lit(x) for name, df in frames.items() for x in (name, len(df.columns))))
+    return rows.groupBy("dataset").agg(F.max("n_rows").alias("n_rows"), F.max("first_row").alias("first_row")).select(
+        "dataset", "n_rows", F.element_at(n_columns, F.col("dataset")).alias("n_columns"), "first_row"
+    ).orderBy("dataset")
 
 
 def lookup_by_key(df: DataFrame, key: str, value: object) -> DataFrame:

@@ -27,7 +27,7 @@ STATUS = (
 
 
 def convert_catalog(
-    spark: SparkSession, catalog: DataFrame, registry: DataFrame, out: str, sep: str = "|", workers: int = 8
+    spark: SparkSession, catalog: DataFrame, registry: DataFrame, out: str, sep: str = "|", workers: int = 4
 ) -> DataFrame:
     """Convert every dataset without finished output; returns one status row per dataset.
 
