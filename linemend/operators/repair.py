@@ -73,33 +73,33 @@ def route_clean_or_repair(lines: DataFrame, status: DataFrame) -> tuple[DataFram
 def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> DataFrame:
     """Lead, body records and tail of each block, and its effect on the pending count.
 
+    A body of clean lines only is split at line ends; any other is cut record by record.
     `exact` says that no body record has too many separators, so none need be counted again.
     """
     s = char_class(sep)
-    e = _column(expected).cast("int")
-    e_text = e.cast("string")
-    lead_pattern = F.concat(
-        F.lit(rf"\A(?:(?!(?:[^{s}\n]*+{s}){{"), e_text, F.lit(r"}+)[^\n]*+\n)*+[^\n]*+\n")
-    )
+    e = F.col("expected").cast("string")
+    lead_pattern = F.concat(F.lit(rf"\A(?:(?!(?:[^{s}\n]*+{s}){{"), e, F.lit(r"}+)[^\n]*+\n)*+[^\n]*+\n"))
+    clean_pattern = F.concat(F.lit(rf"\A(?:(?:[^{s}\n]*+{s}){{"), e, F.lit(rf"}}+[^{s}\n]*+\n)++\z"))
     decoded = F.replace(decode_utf8_lossy(F.col("text")), F.lit("\r\n"), F.lit("\n"))
-    cut = (
-        blocks.select("file", "part", "seq", e.alias("expected"), decoded.alias("text"))
+
+    synced, clean, rest = F.col("synced"), F.col("clean"), F.col("rest")
+    lines = F.split(F.substring(rest.cast("binary"), F.lit(1), F.octet_length(rest) - 1).cast("string"), "\n")
+    records = F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1))
+    body_separators = separator_count(rest, sep) - separator_count(F.col("tail"), sep)
+    return (
+        blocks.select("file", "part", "seq", _column(expected).cast("int").alias("expected"), decoded.alias("text"))
         .withColumn("lead", F.call_function("regexp_extract", "text", lead_pattern, F.lit(0)))
         .withColumn("synced", F.col("lead") != "")
-        .withColumn("rest", F.when(F.col("synced"), after_bytes(F.col("text"), F.octet_length("lead"))).otherwise(""))
-        .withColumn("records", F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1)))
-    )
-    lead = F.when(F.col("synced"), F.col("lead")).otherwise(F.col("text"))
-    tail = after_bytes(F.col("rest"), _taken("records"))
-    return (
-        cut.select("file", "part", "seq", "expected", "synced", lead.alias("lead"), tail.alias("tail"), "records", "rest")
-        .withColumn("body_separators", separator_count(F.col("rest"), sep) - separator_count(F.col("tail"), sep))
-        .withColumn("exact", F.col("body_separators") == F.col("expected") * F.size("records"))
-        .withColumn("lead_separators", separator_count(F.col("lead"), sep))
-        .drop("rest", "body_separators")
-        .withColumn(
-            "exits",
-            F.when(F.col("synced"), F.array(separator_count(F.col("tail"), sep))).otherwise(_exit_map("lead", sep)),
+        .withColumn("rest", F.when(synced, after_bytes(F.col("text"), F.octet_length("lead"))).otherwise(""))
+        .withColumn("clean", F.call_function("rlike", rest, clean_pattern))
+        .withColumn("records", F.when(clean, lines).otherwise(records))
+        .withColumn("tail", F.when(clean, "").otherwise(after_bytes(rest, _taken("records"))))
+        .withColumn("lead", F.when(synced, F.col("lead")).otherwise(F.col("text")))
+        .select(
+            "file", "part", "seq", "expected", "synced", "lead", "tail", "records",
+            F.when(clean, True).otherwise(body_separators == F.col("expected") * F.size("records")).alias("exact"),
+            separator_count(F.col("lead"), sep).alias("lead_separators"),
+            F.when(synced, F.array(separator_count(F.col("tail"), sep))).otherwise(_exit_map("lead", sep)).alias("exits"),
         )
     )
 
