@@ -108,5 +108,10 @@ QUERIES = {
         """SELECT 1 AS run, 'converted' AS status, count(*) AS rows_out, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS lost_ids FROM documents
         UNION ALL VALUES (1, 'failed', NULL, NULL, NULL), (2, 'skipped', NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL)""",
     ),
-    "analyze_head": (sampled_archives, None),
+    "analyze_head": (
+        sampled_archives,
+        """WITH lines AS (SELECT unnest(string_split(concat_ws('|', doc_id, lang, source, replace(text, '|', '/'), n_chars), chr(10))) AS line FROM documents)
+        SELECT TRY_CAST(f[1] AS DECIMAL(18,0)) AS doc_id, nullif(f[2], '') AS lang, nullif(f[3], '') AS source, nullif(f[4], '') AS text,
+        TRY_CAST(f[5] AS DECIMAL(9,0)) AS n_chars FROM (SELECT string_split(line, '|') AS f FROM lines WHERE line <> '')""",
+    ),
 }

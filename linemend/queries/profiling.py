@@ -43,7 +43,14 @@ def written_dataset(spark, folder):
 
 
 def encoding_audit(spark, folder):
-    """French documents are stored as Latin-1, the others as UTF-8; a file per language."""
+    """A file per language; in the French ones each full stop is a byte no UTF-8 text holds."""
+    docs = spread(table(spark, folder, "documents"), "doc_id")
+    raw = F.when(F.col("lang") == "fr", F.replace("text", F.lit("."), F.lit(b"\xff").cast("string"))).otherwise(F.col("text"))
+    return profile.encoding_audit(pack_blocks(lines_of_rows(docs, F.col("lang"), raw)), ("utf-8", "ascii", "iso-8859-1", "utf-8"))
+
+
+def korean_encodings(spark, folder):
+    """French documents are stored as Latin-1, the others as UTF-8; the usual candidates."""
     docs = spread(table(spark, folder, "documents"), "doc_id")
     latin = F.encode(F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "?"), "ISO-8859-1")
     raw = F.when(F.col("lang") == "fr", latin).otherwise(F.encode("text", "UTF-8"))
@@ -74,5 +81,13 @@ QUERIES = {
         || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}' AS record FROM customer WHERE c_custkey = 42""",
     ),
     "write_dataset": (written_dataset, "SELECT * FROM orders"),
-    "encoding_audit": (encoding_audit, None),
+    "encoding_audit": (
+        encoding_audit,
+        """WITH lines AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+        counts AS (SELECT lang AS file, count(*) AS n_lines, count(*) FILTER (lang = 'fr' AND contains(line, '.')) AS stops,
+          count(*) FILTER (strlen(line) <> length(line) OR (lang = 'fr' AND contains(line, '.'))) AS beyond FROM lines GROUP BY lang)
+        SELECT file, 'utf-8' AS encoding, n_lines, stops AS n_bad FROM counts
+        UNION ALL SELECT file, 'ascii', n_lines, beyond FROM counts UNION ALL SELECT file, 'iso-8859-1', n_lines, 0 FROM counts""",
+    ),
+    "korean_encodings": (korean_encodings, None),
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import decode_utf8_lossy, separator_count
 from ..operators import repair
 from ..operators.typed import type_records
-from ..sources import lines_of_rows, pack_blocks, sample_head
+from ..session import work_dir
+from ..sources import lines_of_rows, pack_blocks, sample_head, scan_lines
 from .tables import (
     DOCUMENT_COLUMNS,
     DOCUMENT_SEPARATORS,
@@ -16,6 +17,7 @@ from .tables import (
     document_lines,
     document_text,
     ordered_document_blocks,
+    spread,
     table,
 )
 
@@ -62,6 +64,14 @@ def repair_documents(spark, folder):
     return type_records(repair.kept_records(outcome), DOCUMENT_COLUMNS)
 
 
+def repair_text_files(spark, folder):
+    """The documents written as text files and read in splits."""
+    path = work_dir(spark, "text")
+    spread(table(spark, folder, "documents"), "doc_id").select(document_text(True)).write.option("lineSep", "\n").text(path)
+    outcome = repair.repair_blocks(pack_blocks(scan_lines(spark, path)), E)
+    return type_records(repair.kept_records(outcome), DOCUMENT_COLUMNS)
+
+
 def _outcome(spark, folder):
     return repair.repair_blocks(ordered_document_blocks(spark, folder), E)
 
@@ -164,6 +174,7 @@ FROM documents
 
 QUERIES = {
     "repair_documents": (repair_documents, DOCUMENTS_SQL),
+    "repair_text_files": (repair_text_files, DOCUMENTS_SQL),
     "reject_overflow": (
         reject_overflow,
         SEQUENTIAL_SQL + "SELECT file, value, separators, 'more separators than the schema allows' AS reason FROM outcomes WHERE status = 'overflow'",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import repair
 from ..operators.registry import ColumnSpec
 from ..operators.typed import apply_schema, cast_losses, lenient_decimal_cast, read_as_strings, type_records
-from ..sources import lines_of_rows, pack_blocks
+from ..session import work_dir
+from ..sources import lines_of_rows, pack_blocks, scan_delimited
 from .tables import LINEITEM_COLUMNS, LINEITEM_SQL, lineitem_text, money, spread, table
 
 
@@ -15,6 +16,13 @@ def typed_lineitem(spark, folder):
     return type_records(spread(table(spark, folder, "lineitem"), "l_orderkey").select(lineitem_text().alias("value")), LINEITEM_COLUMNS)
 
 
+def scanned_lineitem(spark, folder):
+    """Written as text files, read back."""
+    path = work_dir(spark, "text")
+    spread(table(spark, folder, "lineitem"), "l_orderkey").select(lineitem_text()).write.option("lineSep", "\r\n").text(path)
+    return apply_schema(scan_delimited(spark, path), LINEITEM_COLUMNS)
+
+
 def repaired_lineitem(spark, folder):
     """The same rows through the repair, which finds nothing to do."""
     lines = lines_of_rows(spread(table(spark, folder, "lineitem"), "l_orderkey"), F.lit("lineitem"), lineitem_text())
@@ -77,6 +85,7 @@ def quotes_and_blanks(spark, folder):
 
 QUERIES = {
     "typed_lineitem": (typed_lineitem, LINEITEM_SQL),
+    "scan_delimited": (scanned_lineitem, LINEITEM_SQL),
     "repaired_lineitem": (repaired_lineitem, LINEITEM_SQL),
     "broken_lineitem": (
         broken_lineitem,

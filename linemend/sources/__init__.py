@@ -12,6 +12,6 @@ from .catalog import (
     scan_parquet,
     scan_schema_descriptors,
 )
-from .lines import lines_of_rows, pack_blocks, scan_lines
+from .lines import lines_of_rows, pack_blocks, scan_delimited, scan_lines
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import decode_utf8_lossy
+
 BLOCK_BYTES = 2 << 20
 BLOCKS_PER_PART = 32
 BLOCK_SCHEMA = "file string, part long, seq long, text binary"
@@ -35,6 +37,14 @@ def scan_lines(spark: SparkSession, path: str | list[str], file: Column | None =
     )
 
 
+def scan_delimited(spark: SparkSession, path: str | list[str], sep: str = "|", file: Column | None = None) -> DataFrame:
+    """(file, part, id, fields) of text files whose lines are whole records: no header, no
+    quoting, invalid UTF-8 replaced, one carriage return at the end of a line dropped."""
+    text = F.regexp_replace(decode_utf8_lossy(F.col("value")), r"\r\z", "")
+    pattern = sep if sep.isalnum() else "\\" + sep
+    return scan_lines(spark, path, file).select("file", "part", "id", F.split(text, pattern, -1).alias("fields"))
+
+
 def lines_of_rows(df: DataFrame, file: Column, value: Column) -> DataFrame:
     """Rows that already hold pipe text (possibly with line breaks) as a line source.
 
