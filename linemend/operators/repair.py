@@ -216,7 +216,8 @@ def reassemble_records(split: DataFrame, states: DataFrame, sep: str = "|") -> D
 
     `(part, seq, zone, rec)` is the order within a file. `status` is `record`, `overflow`
     or `short`; `suspect` marks records that begin with a line without separators, whose
-    text may belong to the last field of the record before.
+    text may belong to the last field of the record before; `exact` is true for all records
+    of a block that has no rejects.
     """
     edges = _edges(split, states, sep)
     raw = _within(split, 2).unionByName(_within(edges, 1)).unionByName(_spanning(edges))
@@ -283,7 +284,7 @@ def _label(raw: DataFrame, sep: str) -> DataFrame:
         "file", "part", "seq", "zone", "rec",
         F.when(one_line, F.col("raw")).otherwise(F.replace(lines, F.lit("\n"), F.lit(" "))).alias("value"),
         count.alias("separators"), status.alias("status"),
-        F.when(one_line | (expected == 0), False).otherwise(starts_bare).alias("suspect"),
+        F.when(one_line | (expected == 0), False).otherwise(starts_bare).alias("suspect"), "exact",
     )
 
 
@@ -293,8 +294,9 @@ def kept_records(outcome: DataFrame) -> DataFrame:
 
 
 def reject_overflow(outcome: DataFrame) -> DataFrame:
-    """Rejected buffers with the reason."""
-    return outcome.filter(F.col("status") == "overflow").withColumn("reason", F.lit("more separators than the schema allows"))
+    """Rejected buffers with the reason. Blocks without any are passed over unread."""
+    rejects = outcome.filter(~F.col("exact") & (F.col("status") == "overflow"))
+    return rejects.withColumn("reason", F.lit("more separators than the schema allows"))
 
 
 def repair_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|", path: str | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def field(i: int) -> Column:
 
 
 def apply_schema(
-    records: DataFrame, columns: Sequence[ColumnSpec], ragged: str = "fail", cast: bool = True, keep: Sequence[str] = ()
+    records: DataFrame, columns: Sequence[ColumnSpec], ragged: str = "fail", cast: bool = True, keep: Sequence[str | Column] = ()
 ) -> DataFrame:
     """Name and type the fields by position.
 
@@ -56,16 +56,24 @@ def lenient_decimal_cast(df: DataFrame, columns: Sequence[ColumnSpec]) -> DataFr
     return df.withColumns({c.name: lenient_cast(F.col(f"`{c.name}`"), c) for c in columns if c.precision is not None})
 
 
-def cast_losses(columns: Sequence[ColumnSpec]) -> dict[str, Column]:
-    """Per numeric column, the number of values that were there but did not become numbers.
+def lost_name(i: int) -> str:
+    """Name of the column that flags a lost value in column i."""
+    return f"lost_{i}"
 
-    Aggregates over typed rows that still hold their `fields`.
-    """
-    return {
-        c.name: F.count_if(field(i).isNotNull() & F.col(f"`{c.name}`").isNull())
+
+def with_losses(records: DataFrame, columns: Sequence[ColumnSpec], ragged: str = "fail", keep: Sequence[str] = ()) -> DataFrame:
+    """`apply_schema` plus a flag per numeric column: there was a value, but no number."""
+    flags = [
+        (typed_field(i, c).isNull() & (F.get("fields", F.lit(i)) != "")).alias(lost_name(i))
         for i, c in enumerate(columns)
         if c.precision is not None
-    }
+    ]
+    return apply_schema(records, columns, ragged, keep=[*keep, *flags])
+
+
+def cast_losses(columns: Sequence[ColumnSpec]) -> dict[str, Column]:
+    """Per numeric column, how many values did not become numbers: counts over `with_losses`."""
+    return {c.name: F.count_if(F.col(lost_name(i))) for i, c in enumerate(columns) if c.precision is not None}
 
 
 def type_records(records: DataFrame, columns: Sequence[ColumnSpec], sep: str = "|", ragged: str = "fail", keep: Sequence[str] = ()) -> DataFrame:

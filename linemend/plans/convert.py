@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.catalog import skip_existing
 from ..operators.registry import ColumnSpec, column_specs, dataset_rows
 from ..operators.repair import kept_records, reject_overflow, repair_blocks
-from ..operators.typed import apply_schema, cast_losses, read_as_strings
+from ..operators.typed import apply_schema, cast_losses, read_as_strings, with_losses
 from ..session import drop_work_dir, work_dir
 from ..sinks import finished_keys, write_dataset
 from ..sources.archives import inflate_archives
@@ -63,32 +63,35 @@ def _convert_one(spark: SparkSession, row: dict, schemas: dict[str, list[Row]],
 def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str, sep: str = "|") -> dict:
     """Blocks of one dataset to `{out}/{key}`, and its rejects to `{out}/_rejects/{key}`.
 
-    The counters are taken while the rows are written. Rejects are read back from the
-    staged split only if there were any.
+    Counters are taken while the rows are written. Rejects are looked for only in the
+    blocks that hold some.
     """
     spark = blocks.sparkSession
     stage = work_dir(spark, "repair")
     try:
         outcome = repair_blocks(blocks, len(columns) - 1, sep, stage)
-        counters, losses = Observation(), Observation()
-        counted = outcome.observe(
+        fields = read_as_strings(kept_records(outcome), sep=sep, keep=["status", "suspect"])
+        losses = cast_losses(columns)
+        counters = Observation()
+        typed = with_losses(fields, columns, keep=["status", "suspect"]).observe(
             counters,
-            F.count_if(F.col("status") != "overflow").alias("rows_out"),
+            F.count("*").alias("rows_out"),
             F.count_if(F.col("status") == "short").alias("short"),
             F.count_if("suspect").alias("suspect"),
-            F.count_if(F.col("status") == "overflow").alias("rejected"),
+            *(count.alias(f"null_{i}") for i, count in enumerate(losses.values())),
         )
-        typed = apply_schema(read_as_strings(kept_records(counted), sep=sep), columns, keep=["fields"])
-        lost = cast_losses(columns)
-        if lost:
-            typed = typed.observe(losses, *(count.alias(f"c{i}") for i, count in enumerate(lost.values())))
-        write_dataset(typed.drop("fields"), out, key)
-        status = dict(counters.get)
-        status["rows_in"] = status["rows_out"] + status["rejected"]
-        status["cast_nulls"] = {name: losses.get[f"c{i}"] for i, name in enumerate(lost)}
-        if status["rejected"]:
-            reject_overflow(outcome).write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
-        return status
+        write_dataset(typed.select(*(F.col(f"`{c.name}`") for c in columns)), out, key)
+        counts = counters.get
+        rejects = reject_overflow(outcome).drop("exact")
+        rejected = rejects.count()
+        if rejected:
+            rejects.write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
+        return {
+            "rows_in": counts["rows_out"] + rejected,
+            **{name: counts[name] for name in ("rows_out", "short", "suspect")},
+            "rejected": rejected,
+            "cast_nulls": {name: counts[f"null_{i}"] for i, name in enumerate(losses)},
+        }
     finally:
         drop_work_dir(spark, stage)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import repair
 from ..operators.registry import ColumnSpec
-from ..operators.typed import apply_schema, cast_losses, lenient_decimal_cast, read_as_strings, type_records
+from ..operators.typed import apply_schema, cast_losses, lenient_decimal_cast, read_as_strings, type_records, with_losses
 from ..session import work_dir
 from ..sources import lines_of_rows, pack_blocks, scan_delimited
 from .tables import LINEITEM_COLUMNS, LINEITEM_SQL, lineitem_text, money, spread, table
@@ -48,7 +48,7 @@ def all_strings(spark, folder):
 
 def lost_casts(spark, folder):
     lines = spread(table(spark, folder, "lineitem"), "l_orderkey").select(lineitem_text().alias("value"))
-    rows = apply_schema(read_as_strings(lines), LINEITEM_COLUMNS, keep=["fields"])
+    rows = with_losses(read_as_strings(lines), LINEITEM_COLUMNS)
     counts = rows.agg(*(count.alias(name) for name, count in cast_losses(LINEITEM_COLUMNS).items()))
     return counts.unpivot([], list(counts.columns), "column_name", "n_lost")
 
