@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -35,11 +36,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="linemend-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _own_folder() -> str:
+    """One folder of this machine per driver process."""
+    return tempfile.mkdtemp(prefix="linemend-")
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) handles for driver-side metadata calls."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

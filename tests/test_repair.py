@@ -127,6 +127,8 @@ def test_no_text_leaves_its_task_but_block_edges(spark):
     edges = split.select(F.sum(F.length("lead") + F.length("tail"))).first()[0]
     body = split.select(F.sum(F.aggregate("records", F.lit(0), lambda n, r: n + F.length(r)))).first()[0]
     assert edges < body / 50
+    plan = repair._label(repair._within(split, 2), "|")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ReadSchema" in plan and "lead" not in plan
     assert repair.reassemble_records(split, repair.stage_states(split)).count() == 20000
 
 
