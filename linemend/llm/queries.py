@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, quality, substrings
+from . import decontaminate, language, lines, packing, quality, quotes, substrings, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,17 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def tokenizer_path() -> str:
+    """Where this machine keeps the public tokenizer of the packing query; the file stays there."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(_read(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.remove_repeats(_read(spark, folder, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,6 +48,19 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_read(spark, folder, "pages"), "url", {"page_id": F.col("page_id")})
+
+
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_read(spark, folder, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", "similarity")
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents")
     model = language.fit(docs.filter(remainder(4) != 2))
@@ -75,8 +99,12 @@ FROM documents d LEFT JOIN told USING (doc_id)
 """
 
 QUERIES = {
+    "op1_chat_formatting": (op1_chat_formatting, None),
     "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
     "op3_line_dedup": (op3_line_dedup, LINE_SQL),
     "op4_quality_rules": (op4_quality_rules, None),
+    "op5_url_filters": (op5_url_filters, None),
+    "op7_packing": (op7_packing, None),
+    "op8_benchmark_decontamination": (op8_benchmark_decontamination, None),
     "op9_language_id": (op9_language_id, None),
 }
