@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, packing, quality, quotes, substrings, urls
+from . import decontaminate, jaccard, language, lines, packing, quality, quotes, substrings, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,6 +52,16 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_read(spark, folder, "pages"), "url", {"page_id": F.col("page_id")})
 
 
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    """From the labelled rows that are not held out."""
+    return toxicity.fit(docs, _read(spark, folder, "labels").filter(remainder(5) != 0))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return toxicity.score(docs, toxicity_model(spark, folder, docs), "text", {"doc_id": F.col("doc_id"), "held_out": remainder(5) == 0})
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_read(spark, folder, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
@@ -67,6 +77,11 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs, model, "text", {"doc_id": F.col("doc_id"), "held_out": remainder(4) == 2})
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    out = jaccard.link(_read(spark, folder, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links", "copies")
+
+
 LINE_SQL = r"""
 WITH lines AS (
     SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
@@ -104,7 +119,9 @@ QUERIES = {
     "op3_line_dedup": (op3_line_dedup, LINE_SQL),
     "op4_quality_rules": (op4_quality_rules, None),
     "op5_url_filters": (op5_url_filters, None),
+    "op6_toxicity": (op6_toxicity, None),
     "op7_packing": (op7_packing, None),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, None),
     "op9_language_id": (op9_language_id, None),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, None),
 }

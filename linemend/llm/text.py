@@ -72,9 +72,9 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     )
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, byte after the last, n + 1 word numbers at which texts begin)."""
-    inside = ~SPACE[data]
+    inside = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before, after = cut[:-1].copy(), cut[1:].copy()
