@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_dir
@@ -42,10 +42,12 @@ CUTS = 6
 BLOCK = 1024
 #: Classes that one task takes of small clusters.
 GROUP = 2048
+#: Large clusters, rows of 16 bytes, that may be broadcast.
+BROADCAST_ROWS = 1 << 18
 BITMAP = 4096
 FAN_OUT = 8
 
-RECORDS = "id long, text_hash long, n_shingles long, class long, keys binary, tokens binary"
+RECORDS = "id long, text_hash long, n_shingles long, class long, keys array<long>, tokens binary"
 PROBES = "shard int, chunk long, n long, keys binary, low binary, high binary"
 FOUND = "a long, b long, links long"
 
@@ -173,7 +175,7 @@ def _records(plan: shards.Layout, left: pa.Table, right: pa.Table) -> pa.Table:
     shared = shards.flags(plan, c.keys, 32 + plan.shard_bits, right.to_pylist(), 0)[c.of]
     doc, key = c.key_doc[shared], c.key64[shared]
     order = np.argsort(doc, kind="stable")
-    key, at = key[order].astype("<u8"), np.searchsorted(doc[order], np.arange(len(c.ids) + 1))
+    key, at = key[order].view(np.int64), np.searchsorted(doc[order], np.arange(len(c.ids) + 1))
     gram = c.gram.astype("<u8")
     has = at[1:] > at[:-1]
     return pa.table(
@@ -182,7 +184,7 @@ def _records(plan: shards.Layout, left: pa.Table, right: pa.Table) -> pa.Table:
             "text_hash": text.array_of(left["carry"]),
             "n_shingles": pa.array(c.size, pa.int64()),
             "class": pa.array(c.cls.view(np.int64), pa.int64()),
-            "keys": pa.array([key[a:b].tobytes() if k else None for a, b, k in zip(at[:-1], at[1:], has, strict=True)], pa.binary()),
+            "keys": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(key, pa.int64())),
             "tokens": pa.array([gram[a:b].tobytes() if k else None for a, b, k in zip(c.bounds[:-1], c.bounds[1:], has, strict=True)], pa.binary()),
         }
     )
@@ -334,10 +336,12 @@ def _compare(table: pa.Table) -> pa.Table:
 
 def _blocks(classes: DataFrame) -> DataFrame:
     """(grp, pair, side, class, copies, tokens): what is compared with what, dealt into groups of like size."""
-    counts = classes.groupBy("cluster").agg(F.count("*").alias("n_cluster"))
+    counts = classes.groupBy("cluster").agg(F.count("*").alias("n_cluster")).filter(F.col("n_cluster") > BLOCK)
+    if counts.count() <= BROADCAST_ROWS:
+        counts = F.broadcast(counts)
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
-    rows = classes.join(counts, "cluster").withColumn("band", F.when(F.col("n_cluster") > BLOCK, band).otherwise(F.lit(0)))
-    small = rows.filter(F.col("n_cluster") <= BLOCK)
+    rows = classes.join(counts, "cluster", "left").withColumn("band", band)
+    small = rows.filter("n_cluster is null")
     groups = max(1, -(-small.count() // GROUP))
     whole = small.select(
         F.pmod(F.xxhash64("cluster"), F.lit(groups)).cast("string").alias("grp"),
@@ -347,7 +351,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
         "copies",
         "tokens",
     )
-    large = rows.filter(F.col("n_cluster") > BLOCK)
+    large = rows.filter("n_cluster is not null")
     in_band = large.groupBy("cluster", "band").agg(F.count("*").alias("n_band"))
     part = F.pmod(F.xxhash64("class"), F.ceil(F.col("n_band") / F.lit(float(BLOCK))))
     dealt = large.join(in_band, ["cluster", "band"]).withColumn("block", F.concat_ws(".", "cluster", "band", part))
@@ -386,8 +390,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     filled = records.filter("n_shingles > 0")
     classes = filled.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    sharing = filled.filter("keys is not null")
-    keys = sharing.select("class", F.explode(_numbers(F.col("keys"))).alias("key")).distinct()
+    sharing = filled.filter("tokens is not null")
+    keys = sharing.select("class", F.explode("keys").alias("key")).distinct()
     heads = keys.groupBy("key").agg(F.min("class").alias("head"), F.max("class").alias("tail")).filter("head < tail")
     clusters = graph.components(keys.join(heads, "key").filter("class <> head").select("class", "head").distinct())
     sets = sharing.groupBy("class").agg(F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
@@ -429,11 +433,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = heads.unionByName(found.filter("root is null").select(key.alias("k")).select("k._id", "k._hash"))
     same = (F.coalesce(F.col(id_col).cast("long"), last) == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
     return docs.join(kept, same, "left_semi")
-
-
-def _numbers(packed: Column) -> Column:
-    """The 64-bit numbers of a packed array, as hexadecimal text."""
-    n = (F.octet_length(packed) / 8).cast("int")
-    text_ = F.hex(packed)
-    at = F.sequence(F.lit(0), n - 1)
-    return F.transform(at, lambda i: F.substring(text_, i * 16 + 1, F.lit(16)))
