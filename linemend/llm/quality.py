@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import work_dir
 from . import text
 
 SYMBOLS = np.zeros(256, bool)
@@ -107,9 +108,11 @@ def _measure(rule: str) -> Column:
 
 def cutoffs(rows: DataFrame) -> DataFrame:
     """(lang, source, one cutoff for each measure): sketches per group, merged where a group is small."""
-    sketches = rows.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *(F.kll_sketch_agg_double(_measure(m)).alias(m) for m in MEASURES)
-    )
+    spark = rows.sparkSession
+    path = work_dir(spark, "sketches")
+    measures = {m: _measure(m) for m in MEASURES}
+    rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(m) for m, c in measures.items())).write.parquet(path)
+    sketches = spark.read.parquet(path)
 
     def merged(*by: str) -> DataFrame:
         return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
@@ -124,12 +127,11 @@ def cutoffs(rows: DataFrame) -> DataFrame:
 
     own = limits(sketches, "lang", "source").alias("own")
     language = limits(merged("lang"), "lang").alias("language")
-    # One row; a constant key keeps it an equality join.
-    every = limits(merged(), *()).withColumn("one", F.lit(1)).alias("every")
-    joined = own.join(language, F.col("own.lang").eqNullSafe(F.col("language.lang")), "left").withColumn("one", F.lit(1)).join(every, "one", "left")
-    chosen = (
-        F.when(F.col("own.n") >= MIN_GROUP, F.col("own.limits")).when(F.col("language.n") >= MIN_GROUP, F.col("language.limits")).otherwise(F.col("every.limits"))
-    )
+    joined = own.join(language, F.col("own.lang").eqNullSafe(F.col("language.lang")), "left")
+    # One row of numbers; none where there are no documents.
+    every = limits(merged().filter("n > 0")).first()
+    overall = F.struct(*(F.lit(every["limits"][m] if every else floor).cast("double").alias(m) for m, (_, _, floor) in MEASURES.items()))
+    chosen = F.when(F.col("own.n") >= MIN_GROUP, F.col("own.limits")).when(F.col("language.n") >= MIN_GROUP, F.col("language.limits")).otherwise(overall)
     return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), chosen.alias("limits"))
 
 
