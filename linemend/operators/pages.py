@@ -30,9 +30,14 @@ from ..functions import (
 # Attribute calls ---------------------------------------------------------------------
 
 
+ONCLICK = r"""(?i)\bonclick\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))"""
+
+
 def call_buttons(html: Column, fn: str) -> Column:
-    """`onclick` values that name a function, in document order."""
-    values = F.regexp_extract_all(html, F.lit(rf'(?i)\bonclick\s*=\s*"([^"]*)"'), F.lit(1))
+    """`onclick` values that name a function, in document order; quoted either way or not."""
+    double, single, bare = (F.regexp_extract_all(html, F.lit(ONCLICK), F.lit(i)) for i in (1, 2, 3))
+    # A group that takes no part in a match is an empty text.
+    values = F.transform(double, lambda v, i: F.concat(v, F.get(single, i), F.get(bare, i)))
     return F.filter(F.transform(values, _unescape), lambda v: F.contains(v, F.lit(fn)))
 
 
@@ -71,11 +76,21 @@ def download_items(pages: DataFrame, category: str = "cat_name") -> DataFrame:
 
 
 def _unescape(text: Column) -> Column:
-    for entity, char in (("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    """Numbered character references, then the named ones of markup; the ampersand last."""
+    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)))
+    text = F.aggregate(numbered, text, lambda out, ref: F.replace(out, ref, _character(ref)))
+    for entity, char in (("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
+def _character(ref: Column) -> Column:
+    digits = F.regexp_replace(ref, "[&#xX;]", "")
+    code = F.when(F.lower(ref).startswith("&#x"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+    inside = F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)
+    return F.when(inside, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(ref)
+
+
 # Nested markup -----------------------------------------------------------------------
 
 PARSED = "struct<labels:array<struct<label:string,value:string>>,tables:array<struct<heads:array<string>,rows:array<array<string>>>>>"

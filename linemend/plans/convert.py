@@ -13,13 +13,9 @@ from ..operators.registry import ColumnSpec, column_specs, dataset_rows
 from ..operators.repair import kept_records, reject_overflow, repair_blocks
 from ..operators.typed import apply_schema, cast_losses, read_as_strings, with_losses
 from ..session import drop_work_dir, work_dir
-from ..sinks import finished_keys, write_dataset
+from ..sinks import finished, finished_keys, write_dataset
 from ..sources.archives import inflate_archives
 
-# How much larger than its archive a text may be, and the text one task should repair.
-INFLATION = 8
-PARTITION_BYTES = 64 << 20
-
 STATUS = (
     "catalog_key string, status string, rows_in long, rows_out long, short long, suspect long, rejected long, "
     "cast_nulls map<string,long>, error string"
@@ -27,13 +23,17 @@ STATUS = (
 
 
 def convert_catalog(
-    spark: SparkSession, catalog: DataFrame, registry: DataFrame, out: str, sep: str = "|", workers: int = 4
+    spark: SparkSession, catalog: DataFrame, registry: DataFrame, out: str, sep: str = "|", workers: int = 4, base: str = ""
 ) -> DataFrame:
     """Convert every dataset without finished output; returns one status row per dataset.
 
+    `base` is the folder that relative archive paths of the catalog start from.
+
     Datasets run as separate jobs, several at a time, so one that fails does not stop the
     others and small ones fill the cores that a large one leaves.
     """
+    if base:
+        catalog = catalog.withColumn("zip_path", F.concat(F.lit(base.rstrip("/") + "/"), "zip_path"))
     pending = [row.asDict() for row in skip_existing(catalog, finished_keys(catalog, out)).collect()]
     keys = spark.createDataFrame([(row["catalog_key"],) for row in pending], "catalog_key string")
     schemas = dataset_rows(registry.join(keys, F.col("dataset") == F.col("catalog_key"), "left_semi"))
@@ -51,12 +51,11 @@ def _convert_one(spark: SparkSession, row: dict, schemas: dict[str, list[Row]],
     try:
         columns = column_specs(key, schemas.get(key, []))
         archive = spark.createDataFrame([(key, row["zip_path"])], "catalog_key string, zip_path string")
-        # The exchange hands blocks from the one inflating task to as many as its size needs.
-        tasks = 1 + (row.get("zip_size_bytes") or 0) * INFLATION // PARTITION_BYTES
-        blocks = inflate_archives(archive, tasks=1).repartition(tasks, "part", "seq")
+        # The exchange hands blocks from the one inflating task to as many as their size needs.
+        blocks = inflate_archives(archive, tasks=1).repartition("part", "seq")
         status.update(convert_blocks(blocks, columns, out, key, sep), status="converted")
     except Exception as error:  # noqa: BLE001 - reported, and the other datasets go on
-        status["error"] = f"{type(error).__name__}: {error}"[:2000]
+        status["error"] = f"{type(error).__name__}: {error}"
     return status
 
 
@@ -64,7 +63,7 @@ def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, k
     """Blocks of one dataset to `{out}/{key}`, and its rejects to `{out}/_rejects/{key}`.
 
     Counters are taken while the rows are written. Rejects are looked for only in the
-    blocks that hold some.
+    blocks that hold some, and written first, so that finished data always has its rejects.
     """
     spark = blocks.sparkSession
     stage = work_dir(spark, "repair")
@@ -80,12 +79,13 @@ def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, k
             F.count_if("suspect").alias("suspect"),
             *(count.alias(f"null_{i}") for i, count in enumerate(losses.values())),
         )
+        if finished(spark, f"{out}/{key}"):
+            raise FileExistsError(f"{out}/{key} is already complete")
+        # Before the success marker of the data: a run that fails here starts again.
+        reject_overflow(outcome).drop("exact").write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
+        rejected = spark.read.parquet(f"{out}/_rejects/{key}").count()
         write_dataset(typed.select(*(F.col(f"`{c.name}`") for c in columns)), out, key)
         counts = counters.get
-        rejects = reject_overflow(outcome).drop("exact")
-        rejected = rejects.count()
-        if rejected:
-            rejects.write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
         return {
             "rows_in": counts["rows_out"] + rejected,
             **{name: counts[name] for name in ("rows_out", "short", "suspect")},
@@ -96,8 +96,10 @@ def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, k
         drop_work_dir(spark, stage)
 
 
-def analyze_head(archives: DataFrame, columns: Sequence[ColumnSpec], limit_bytes: int = 10 << 20, sep: str = "|") -> DataFrame:
-    """Typed rows of the head of an archive as they stand: no repair, extra fields dropped."""
+def analyze_head(archives: DataFrame, columns: Sequence[ColumnSpec], limit_bytes: int | None, sep: str = "|") -> DataFrame:
+    """Typed rows of the head of an archive as they stand: no repair, extra fields dropped.
+
+    The head is the first `limit_bytes` of the member up to its last line end; None reads all."""
     heads = inflate_archives(archives, limit_bytes)
     text = F.replace(F.make_valid_utf8(F.col("text").cast("string")), F.lit("\r\n"), F.lit("\n"))
     lines = heads.select("seq", F.posexplode(F.split(text, "\n")).alias("line", "value")).filter("value <> ''")

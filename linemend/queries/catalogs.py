@@ -8,7 +8,7 @@ from ..functions import schema_key
 from ..operators import catalog
 from ..session import work_dir
 from ..sinks import write_catalog, write_download_list
-from ..sources import list_files, parse_catalog, parse_download_list
+from ..sources import list_files, read_catalog, read_download_list
 from .tables import TABLES, table
 
 
@@ -79,15 +79,16 @@ def _entries(spark, folder):
 
 
 def parse_entries(spark, folder):
-    rows = _entries(spark, folder)
-    entry = F.struct(*(c for c in rows.columns if c != "catalog_key"))
-    return parse_catalog(rows.select(F.to_json(F.create_map("catalog_key", entry)).alias("value")))
+    """A file of several entries, read with the reader."""
+    path = work_dir(spark, "catalog")
+    write_catalog(_entries(spark, folder).coalesce(1), path)
+    return read_catalog(spark, path)
 
 
 def catalog_round_trip(spark, folder):
     path = work_dir(spark, "catalog")
     write_catalog(_entries(spark, folder), path)
-    return parse_catalog(spark.read.text(path))
+    return read_catalog(spark, path)
 
 
 def _items(spark, folder):
@@ -100,14 +101,16 @@ def _items(spark, folder):
 
 
 def parse_items(spark, folder):
-    items = _items(spark, folder)
-    return parse_download_list(items.select(F.to_json(F.array(F.struct("*"))).alias("value")))
+    """A file of several items, read with the reader."""
+    path = work_dir(spark, "items")
+    write_download_list(_items(spark, folder).coalesce(1), path)
+    return read_download_list(spark, path)
 
 
 def download_list_round_trip(spark, folder):
     path = work_dir(spark, "items")
     write_download_list(_items(spark, folder), path)
-    return spark.read.schema(_items(spark, folder).schema).json(path)
+    return read_download_list(spark, path)
 
 
 def listed_files(spark, folder):

@@ -16,7 +16,7 @@ from ..plans.convert import analyze_head, convert_catalog
 from ..session import work_dir
 from ..sources import inflate_archives, list_files
 from .repairing import DOCUMENTS_SQL
-from .tables import DOCUMENT_COLUMNS, document_text, spread, table
+from .tables import DOCUMENT_COLUMNS, document_text, table
 
 
 def _write_archives(spark, folder):
@@ -35,7 +35,7 @@ def _write_archives(spark, folder):
                     member.write("".join(f"{line}\n" for line in batch.column("line").to_pylist()).encode())
         yield pa.RecordBatch.from_pydict({"name": [target]})
 
-    docs = spread(table(spark, folder, "documents"), "doc_id")
+    docs = table(spark, folder, "documents")
     rows = docs.select(F.spark_partition_id().alias("task"), document_text(True).alias("line"))
     rows.mapInArrow(pack, "name string").write.format("noop").mode("overwrite").save()
     return path
@@ -92,9 +92,9 @@ def conversion_status(spark, folder):
 
 
 def sampled_archives(spark, folder):
-    """The head of each archive, typed without repair."""
+    """Each archive without a limit, typed without repair."""
     catalog = _catalog(spark, folder)
-    return analyze_head(catalog, DOCUMENT_COLUMNS)
+    return analyze_head(catalog, DOCUMENT_COLUMNS, None)
 
 
 QUERIES = {

@@ -17,7 +17,6 @@ from .tables import (
     document_lines,
     document_text,
     ordered_document_blocks,
-    spread,
     table,
 )
 
@@ -67,7 +66,7 @@ def repair_documents(spark, folder):
 def repair_text_files(spark, folder):
     """The documents written as text files and read in splits."""
     path = work_dir(spark, "text")
-    spread(table(spark, folder, "documents"), "doc_id").select(document_text(True)).write.option("lineSep", "\n").text(path)
+    table(spark, folder, "documents").select(document_text(True)).write.option("lineSep", "\n").text(path)
     outcome = repair.repair_blocks(pack_blocks(scan_lines(spark, path)), E)
     return type_records(repair.kept_records(outcome), DOCUMENT_COLUMNS)
 

@@ -9,23 +9,23 @@ from ..operators.registry import ColumnSpec
 from ..operators.typed import apply_schema, cast_losses, lenient_decimal_cast, read_as_strings, type_records, with_losses
 from ..session import work_dir
 from ..sources import lines_of_rows, pack_blocks, scan_delimited
-from .tables import LINEITEM_COLUMNS, LINEITEM_SQL, lineitem_text, money, spread, table
+from .tables import LINEITEM_COLUMNS, LINEITEM_SQL, lineitem_text, money, table
 
 
 def typed_lineitem(spark, folder):
-    return type_records(spread(table(spark, folder, "lineitem"), "l_orderkey").select(lineitem_text().alias("value")), LINEITEM_COLUMNS)
+    return type_records(table(spark, folder, "lineitem").select(lineitem_text().alias("value")), LINEITEM_COLUMNS)
 
 
 def scanned_lineitem(spark, folder):
     """Written as text files, read back."""
     path = work_dir(spark, "text")
-    spread(table(spark, folder, "lineitem"), "l_orderkey").select(lineitem_text()).write.option("lineSep", "\r\n").text(path)
+    table(spark, folder, "lineitem").select(lineitem_text()).write.option("lineSep", "\r\n").text(path)
     return apply_schema(scan_delimited(spark, path), LINEITEM_COLUMNS)
 
 
 def repaired_lineitem(spark, folder):
     """The same rows through the repair, which finds nothing to do."""
-    lines = lines_of_rows(spread(table(spark, folder, "lineitem"), "l_orderkey"), F.lit("lineitem"), lineitem_text())
+    lines = lines_of_rows(table(spark, folder, "lineitem"), F.lit("lineitem"), lineitem_text())
     outcome = repair.repair_blocks(pack_blocks(lines), len(LINEITEM_COLUMNS) - 1)
     return type_records(repair.kept_records(outcome), LINEITEM_COLUMNS)
 
@@ -33,7 +33,7 @@ def repaired_lineitem(spark, folder):
 def broken_lineitem(spark, folder):
     """The same rows, each with a line break after its fourth field."""
     text = F.regexp_replace(lineitem_text(), r"\A((?:[^|]*\|){4})", "$1\n")
-    lines = lines_of_rows(spread(table(spark, folder, "lineitem"), "l_orderkey"), F.lit("lineitem"), text)
+    lines = lines_of_rows(table(spark, folder, "lineitem"), F.lit("lineitem"), text)
     outcome = repair.repair_blocks(pack_blocks(lines), len(LINEITEM_COLUMNS) - 1)
     return type_records(repair.kept_records(outcome), LINEITEM_COLUMNS)
 
@@ -47,7 +47,7 @@ def all_strings(spark, folder):
 
 
 def lost_casts(spark, folder):
-    lines = spread(table(spark, folder, "lineitem"), "l_orderkey").select(lineitem_text().alias("value"))
+    lines = table(spark, folder, "lineitem").select(lineitem_text().alias("value"))
     rows = with_losses(read_as_strings(lines), LINEITEM_COLUMNS)
     counts = rows.agg(*(count.alias(name) for name, count in cast_losses(LINEITEM_COLUMNS).items()))
     return counts.unpivot([], list(counts.columns), "column_name", "n_lost")

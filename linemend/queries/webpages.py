@@ -20,14 +20,14 @@ from ..operators import pages as ops
 from ..operators.registry import build_registry
 from ..session import work_dir
 from ..sinks import descriptor_texts, write_schema_descriptors
-from ..sources import accumulate_pages, scan_pages
-from .tables import spread, table
+from ..sources import accumulate_pages, scan_pages, scan_schema_descriptors
+from .tables import table
 
 LINK = r'<a href="/([^"]*)">([^<]*)</a>'
 
 
 def _pages(spark, folder):
-    return spread(scan_pages(spark, f"{folder}/pages.parquet"), "page_id")
+    return scan_pages(spark, f"{folder}/pages.parquet")
 
 
 def page_links(spark, folder):
@@ -38,12 +38,17 @@ def page_links(spark, folder):
 
 def download_items(spark, folder):
     """Every link turned into a download and a description button; links to short words
-    get a download button without a call in it."""
+    get a download button without a call in it, to words of three letters buttons in single
+    quotes, to words of four buttons without quotes."""
     buttons = (
         f"<button onclick=\"{DOWNLOAD_CALL}('01','$1','OPN')\">v</button>"
         f"<button onclick=\"{DESCRIBE_CALL}('a','b','$2',1)\">i</button>"
     )
     html = F.regexp_replace("html", r'<a href="/(\w{1,2})">([^<]*)</a>', f'<a onclick="{DOWNLOAD_CALL}()"></a><a onclick="{DESCRIBE_CALL}()"></a>')
+    single = buttons.replace("'", "&#x27;").replace('"', "'")
+    bare = buttons.replace("'", "&#39;").replace('"', "")
+    for letters, form in (("3", single), ("4", bare)):
+        html = F.regexp_replace(html, rf'<a href="/(\w{{{letters}}})">(\w*)</a>', form)
     return ops.download_items(_pages(spark, folder).withColumn("html", F.regexp_replace(html, LINK, buttons)))
 
 
@@ -65,7 +70,7 @@ def _schema_pages(spark, folder):
 
     Documents of the first label value have no name, so their pages are incomplete.
     """
-    docs = spread(table(spark, folder, "documents"), "doc_id")
+    docs = table(spark, folder, "documents")
     name = F.when(F.col("lang") == "de", "").otherwise(F.concat("source", F.lit(" (2025년 12월)")))
     html = F.concat(
         F.lit(f"<html><body><div class=p><div>{SERVICE_LABEL}</div><div><b>"), name, F.lit("</b></div>"),
@@ -104,8 +109,7 @@ def written_descriptors(spark, folder):
     )
     path = work_dir(spark, "descriptors")
     write_schema_descriptors(descriptor_texts(rows, "category"), path)
-    texts = spark.read.text(path, wholetext=True).select(F.col("dataset").cast("string").alias("dataset"), "value")
-    return build_registry(texts)
+    return build_registry(scan_schema_descriptors(spark, path))
 
 
 def accumulated(spark, folder):

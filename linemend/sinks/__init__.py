@@ -9,7 +9,7 @@ from ..functions import PROVIDER_LABEL, SERVICE_LABEL, TABLE_LABEL
 from ..operators.codes import key_first
 from ..session import hadoop_path
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def finished(spark: SparkSession, path: str) -> bool:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import NA_WORDS, SHEET_COLUMNS, decode_codepage, na_words_to_null
@@ -14,22 +14,31 @@ DOWNLOAD_ITEM = "cat_val string, cat_name string, task_code string, opn_code str
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry of a JSON object `key -> entry`."""
+    """One row per entry of JSON objects `key -> entry`: one to a file, or one to a line."""
     return parse_catalog(spark.read.text(path, wholetext=True))
 
 
 def parse_catalog(texts: DataFrame, value: str = "value") -> DataFrame:
-    entries = F.from_json(F.col(value), f"map<string,struct<{_struct(CATALOG_ENTRY)}>>")
-    return texts.select(F.explode(entries).alias("catalog_key", "entry")).select("catalog_key", "entry.*")
+    objects = F.from_json(_objects(F.col(value)), f"array<map<string,struct<{_struct(CATALOG_ENTRY)}>>>")
+    entries = texts.select(F.explode(objects).alias("object")).select(F.explode("object").alias("catalog_key", "entry"))
+    return entries.select("catalog_key", "entry.*")
+
+
+def _objects(text: Column) -> Column:
+    """One JSON array of the objects of a file. A line end between two objects is never inside a
+    string, where it would be escaped."""
+    body = F.trim(F.regexp_replace(text, r"\A\s+|\s+\z", ""))
+    listed = F.concat(F.lit("["), F.regexp_replace(body, r"\}\s*\n\s*\{", "},{"), F.lit("]"))
+    return F.when(body.startswith("["), body).otherwise(listed)
 
 
 def read_download_list(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON array of download items."""
-    return spark.read.schema(DOWNLOAD_ITEM).option("multiLine", True).json(path)
+    """Rows of files of download items: a JSON array, or one object to a line."""
+    return parse_download_list(spark.read.text(path, wholetext=True))
 
 
 def parse_download_list(texts: DataFrame, value: str = "value") -> DataFrame:
-    items = F.from_json(F.col(value), f"array<struct<{_struct(DOWNLOAD_ITEM)}>>")
+    items = F.from_json(_objects(F.col(value)), f"array<struct<{_struct(DOWNLOAD_ITEM)}>>")
     return texts.select(F.explode(items).alias("item")).select("item.*")
 
 
@@ -38,8 +47,10 @@ def _struct(ddl: str) -> str:
 
 
 def scan_schema_descriptors(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, value) for every descriptor file `schema_{dataset}.txt`."""
+    """(dataset, value) for every descriptor: files `schema_{dataset}.txt`, or folders `dataset={dataset}`."""
     texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
+    if "dataset" in texts.columns:
+        return texts.select(F.col("dataset").cast("string").alias("dataset"), "value")
     dataset = F.regexp_replace(F.col("_metadata.file_name"), r"\Aschema_|\.txt\z", "")
     return texts.select(dataset.alias("dataset"), "value")
 

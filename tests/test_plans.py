@@ -4,11 +4,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from linemend.operators.registry import build_registry, dataset_columns
+from linemend.operators.registry import ColumnSpec, build_registry, dataset_columns
 from linemend.plans.catalog import build_catalog
 from linemend.plans.convert import analyze_head, convert_catalog
-from linemend.sinks import finished, read_csv_bom, write_catalog, write_csv_bom, write_dataset, write_schema_descriptors
-from linemend.sources import parse_catalog, scan_schema_descriptors
+from linemend.sinks import finished, read_csv_bom, write_catalog, write_csv_bom, write_dataset, write_download_list, write_schema_descriptors
+from linemend.sources import read_catalog, read_download_list, scan_schema_descriptors
 
 SCHEMA = "서비스명\nx\n제공기관/제공부서\ny\n상세설명 표\n컬럼한글명\t타입\n관리_PK\tVARCHAR(10)\n이름\tVARCHAR(10)\n면적\tNUMERIC(5,2)\n"
 
@@ -43,9 +43,8 @@ def test_archives_to_parquet(spark, dump):
     assert {r["issue"] for r in issues.collect()} == {"schema not found", "unexpected name"}
 
     registry = build_registry(scan_schema_descriptors(spark, str(dump / "schema")))
-    located = catalog.withColumn("zip_path", F.concat(F.lit(f"{dump}/"), "zip_path"))
     out = str(dump / "parquet")
-    status = {r["catalog_key"]: r for r in convert_catalog(spark, located, registry, out).collect()}
+    status = {r["catalog_key"]: r for r in convert_catalog(spark, catalog, registry, out, base=str(dump)).collect()}
     good, bad = status["건축물대장_표제부"], status["건축물대장_깨짐"]
     assert (good["status"], good["rows_out"], good["short"], good["rejected"]) == ("converted", 4, 1, 1)
     assert good["cast_nulls"] == {"면적": 2}
@@ -58,7 +57,7 @@ def test_archives_to_parquet(spark, dump):
     ]
     assert [r["value"] for r in spark.read.parquet(f"{out}/_rejects/건축물대장_표제부").collect()] == ["3|a|b|c"]
 
-    again = {r["catalog_key"]: r["status"] for r in convert_catalog(spark, located, registry, out).collect()}
+    again = {r["catalog_key"]: r["status"] for r in convert_catalog(spark, catalog, registry, out, base=str(dump)).collect()}
     assert again == {"건축물대장_표제부": "skipped", "건축물대장_깨짐": "failed"}
 
 
@@ -67,8 +66,32 @@ def test_head_of_an_archive(spark, dump):
     archives = spark.createDataFrame(
         [("건축물대장_표제부", str(dump / "original" / "국토교통부_건축물대장_표제부+(2025년+12월).zip"))], "catalog_key string, zip_path string"
     )
-    rows = analyze_head(archives, dataset_columns(registry, "건축물대장_표제부")).collect()
-    assert [r["관리_PK"] for r in rows] == ["1", "2", "나", "3", "4", "5"]
+    columns = dataset_columns(registry, "건축물대장_표제부")
+    assert [r["관리_PK"] for r in analyze_head(archives, columns, None).collect()] == ["1", "2", "나", "3", "4", "5"]
+
+
+def test_head_smaller_than_the_archive_ends_with_a_whole_line(spark, tmp_path):
+    lines = [f"{i}|name {i}|1" for i in range(200)]
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        archive.writestr("a.txt", "\n".join(lines) + "\n")
+    archives = spark.createDataFrame([("a", str(path))], "catalog_key string, zip_path string")
+    columns = (ColumnSpec("id", 9), ColumnSpec("name"), ColumnSpec("n", 9))
+    limit = len("\n".join(lines[:50])) + 4
+    assert [int(r["id"]) for r in analyze_head(archives, columns, limit).collect()] == list(range(50))
+
+
+def test_finished_data_always_has_its_rejects(spark, dump):
+    catalog, _ = build_catalog(spark, str(dump / "original"), str(dump / "schema"), "2025", "12")
+    registry = build_registry(scan_schema_descriptors(spark, str(dump / "schema")))
+    located = catalog.filter("catalog_key = '건축물대장_표제부'")
+    out = dump / "blocked"
+    out.mkdir()
+    (out / "_rejects").write_text("in the way")
+    assert [r["status"] for r in convert_catalog(spark, located, registry, str(out)).collect()] == ["failed"]
+    (out / "_rejects").rename(dump / "aside")
+    row = convert_catalog(spark, located, registry, str(out)).first()
+    assert (row["status"], row["rejected"]) == ("converted", 1)
 
 
 def test_unfinished_output_is_replaced_and_finished_is_not(spark, tmp_path):
@@ -94,12 +117,21 @@ def test_csv_has_a_mark_in_every_file(spark, tmp_path):
 def test_descriptors_round_trip(spark, tmp_path):
     texts = spark.createDataFrame([("건축물대장_가", SCHEMA)], "dataset string, value string")
     write_schema_descriptors(texts, str(tmp_path / "s"))
-    back = spark.read.text(str(tmp_path / "s"), wholetext=True).select("dataset", "value")
+    back = scan_schema_descriptors(spark, str(tmp_path / "s"))
+    assert [r["dataset"] for r in back.collect()] == ["건축물대장_가"]
     assert build_registry(back).count() == 3
 
 
 def test_catalog_round_trip(spark, dump):
     catalog, _ = build_catalog(spark, str(dump / "original"), str(dump / "schema"), "2025", "12")
     write_catalog(catalog, str(dump / "catalog"))
-    back = parse_catalog(spark.read.text(str(dump / "catalog")))
+    back = read_catalog(spark, str(dump / "catalog"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, catalog.collect()))
+
+
+def test_download_list_round_trip(spark, tmp_path):
+    items = spark.createDataFrame([(str(i), "가", "t", "o", "s") for i in range(3)], "cat_val string, cat_name string, task_code string, opn_code string, service_name string")
+    write_download_list(items.coalesce(1), str(tmp_path / "items"))
+    assert sorted(map(tuple, read_download_list(spark, str(tmp_path / "items")).collect())) == sorted(map(tuple, items.collect()))
+    (tmp_path / "one.json").write_text('[{"cat_val": "1"},\n {"cat_val": "2"}]', encoding="utf-8")
+    assert [r["cat_val"] for r in read_download_list(spark, str(tmp_path / "one.json")).collect()] == ["1", "2"]
