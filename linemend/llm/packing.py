@@ -33,7 +33,7 @@ LENGTH = 4096
 OPEN = 64
 FAN_IN = 64
 END_ID = 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 TASK_BITS = 32
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean"

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from . import text
 
 #: Words remembered; beyond that the memory starts anew.
-MEMORY = 1_500_000
+MEMORY = 400_000
 
 #: Fixed values of this kind of tokenizer: its pattern, for lower-case text of the plain characters below.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n")
@@ -98,7 +98,7 @@ class Encoder:
             order = np.argsort(keys, kind="stable")
             self.keys, self.first, self.size = keys[order], np.concatenate((self.first, first))[order], np.concatenate((self.size, size))[order]
             at = np.searchsorted(self.keys, key)
-        if len(self.pieces) > MEMORY // 2:
+        if len(self.pieces) > MEMORY // 4:
             self.pieces = {}
         size, first = self.size[at][of].astype(np.int64), self.first[at][of]
         # One id more for each text, behind its last word.
