@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linemend.llm import decontaminate, graph, hashing, jaccard, language, lines, packing, quality, queries, quotes, substrings, text, tokens, toxicity, urls
+from linemend.llm import decontaminate, graph, hashing, jaccard, language, lines, packing, quality, queries, quotes, shards, substrings, text, tokens, toxicity, urls
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -339,6 +339,16 @@ def test_near_copies_of_all_degrees(spark, monkeypatch):
     assert got == _links(rows)
 
 
+def test_many_chunks_and_shards(spark, docs, monkeypatch):
+    monkeypatch.setattr(shards, "CHUNK_BYTES", 60_000)
+    monkeypatch.setattr(shards, "SHARD_BYTES", 80_000)
+    plan, rows = shards.layout(docs, "text"), [(r.doc_id, r.text) for r in docs.collect()]
+    assert plan.chunks > 5 and plan.shard_bits > 2
+    assert sorted((r.id, r.n_words, r.n_removed, r.kept_text) for r in substrings.remove_repeats(docs).collect()) == _removed(rows)
+    assert sorted((r.id, r.n_lines, r.n_dropped, r.kept_text) for r in lines.drop_lines(docs).collect()) == _dropped(rows)
+    assert Counter((r.id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.link(docs).collect()) == _links(rows)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
