@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ENCODINGS
@@ -31,47 +32,79 @@ def preview(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
     return (df.orderBy(*order) if order else df).limit(n)
 
 
-def profile_all(frames: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """(dataset, n_rows, n_columns, first_row) of every dataset, by name.
+MISSING = "dataset not found"
 
-    The first row is JSON text; with an order given for a dataset it is the first in it.
+
+def profile_all(frames: Mapping[str, DataFrame | None], order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(dataset, n_rows, n_columns, first_row, message) of every dataset, by name.
+
+    The first row is JSON text; with an order given for a dataset it is the first in it. Both
+    answers are scalar subqueries, so the count reads footers only. A dataset without a frame has
+    a message and nothing else.
     """
     order = order or {}
-    parts = []
+    spark = next((df.sparkSession for df in frames.values() if df is not None), None) or SparkSession.active()
+    rows = None
     for name, df in sorted(frames.items()):
-        whole = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        label = F.lit(name).alias("dataset")
-        parts.append(row_count(df).select(label, "n_rows", F.lit(None).cast("string").alias("first_row")))
-        parts.append(preview(df, 1, order.get(name, ())).select(label, F.lit(None).cast("long").alias("n_rows"), whole.alias("first_row")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    n_columns = F.create_map(*(F.lit(x) for name, df in frames.items() for x in (name, len(df.columns))))
-    return rows.groupBy("dataset").agg(F.max("n_rows").alias("n_rows"), F.max("first_row").alias("first_row")).select(
-        "dataset", "n_rows", F.element_at(n_columns, F.col("dataset")).alias("n_columns"), "first_row"
-    ).orderBy("dataset")
+        n_rows, n_columns, first, message = (F.lit(None).cast(kind) for kind in ("long", "int", "string", "string"))
+        if df is None:
+            message = F.lit(MISSING)
+        else:
+            n_rows, n_columns = row_count(df).scalar(), F.lit(len(df.columns))
+            first = preview(df, 1, order.get(name, ())).select(_record()).scalar()
+        part = spark.range(1).select(
+            F.lit(name).alias("dataset"), n_rows.alias("n_rows"), n_columns.alias("n_columns"), first.alias("first_row"), message.alias("message")
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def lookup_by_key(df: DataFrame, key: str, value: object) -> DataFrame:
-    """Rows with that key as (key, record); the filter goes down to the file scan."""
-    found = df.filter(F.col(f"`{key}`") == F.lit(value))
-    return found.select(F.col(f"`{key}`").alias("key"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    """Rows with that key as (key, record, found); the filter goes down to the file scan.
+
+    A key that no row has gives one row without a record.
+    """
+    rows = df.filter(F.col(f"`{key}`") == F.lit(value)).select(F.col(f"`{key}`").alias("row_key"), _record().alias("record"))
+    asked = df.sparkSession.range(1).select(F.lit(value).cast(df.schema[key].dataType).alias("key"))
+    return asked.join(rows, F.col("key") == F.col("row_key"), "left").select("key", "record", F.col("row_key").isNotNull().alias("found"))
+
+
+def _record() -> Column:
+    return F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
 
 
 def encoding_audit(blocks: DataFrame, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
     """(file, encoding, n_lines, n_bad): undecodable lines of each file per encoding, over all bytes.
 
-    A block is decoded whole, and looked at line by line only if that fails. Counts are
-    combined per task before they are exchanged.
+    A block is decoded whole, and looked at line by line only if that fails. UTF-8 and ASCII are
+    checked in the JVM, Latin-1 takes any byte, all others go through Python. Counts are combined
+    per task before they are exchanged.
     """
     names = list(dict.fromkeys(encodings))
     text = F.col("text").cast("binary")
     n_lines = F.length(text) - F.length(F.replace(text.cast("string"), F.lit("\n"), F.lit("")).cast("binary"))
-    counted = blocks.select("file", n_lines.cast("long").alias("n_lines"), *(_bad_lines(n)(text).alias(n) for n in names))
+    counted = blocks.select("file", n_lines.cast("long").alias("n_lines"), *(_n_bad(n, text).alias(n) for n in names))
     totals = counted.groupBy("file").agg(F.sum("n_lines").alias("n_lines"), *(F.sum(f"`{n}`").alias(n) for n in names))
     return totals.unpivot(["file", "n_lines"], [f"`{n}`" for n in names], "encoding", "n_bad").select("file", "encoding", "n_lines", "n_bad")
 
 
+def _n_bad(encoding: str, text: Column) -> Column:
+    """Lines of a block that are no text in the encoding."""
+    known = codecs.lookup(encoding).name
+    whole = text.cast("string")
+    if known == "iso8859-1":
+        return F.lit(0).cast("long")
+    if known == "utf-8":
+        # Latin-1 keeps every byte through the split, which would mend invalid ones otherwise.
+        bad = F.filter(F.split(F.decode(text, "ISO-8859-1"), "\n"), lambda line: ~F.is_valid_utf8(F.encode(line, "ISO-8859-1").cast("string")))
+        return F.when(F.is_valid_utf8(whole), 0).otherwise(F.size(bad)).cast("long")
+    if known == "ascii":
+        # A character of ASCII is one byte; an invalid byte is none of them.
+        beyond = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x{0}-\x{7f}]"))
+        return F.size(beyond).cast("long")
+    return _bad_lines(encoding)(text)
+
+
 def _bad_lines(encoding: str):
     def fails(raw: bytes) -> bool:
         try:

@@ -65,7 +65,8 @@ def unmatched(spark, folder):
 
 def skip_existing(spark, folder):
     rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("catalog_key"), "c_name")
-    return catalog.skip_existing(rows, table(spark, folder, "orders").select(F.col("o_custkey").alias("catalog_key")))
+    done = table(spark, folder, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("catalog_key"))
+    return catalog.skip_existing(rows, done)
 
 
 def _entries(spark, folder):
@@ -167,7 +168,8 @@ QUERIES = {
     ),
     "skip_existing": (
         skip_existing,
-        "SELECT c_custkey AS catalog_key, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+        """SELECT c_custkey AS catalog_key, c_name FROM customer
+        WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""",
     ),
     "read_catalog": (parse_entries, ENTRIES_SQL),
     "write_catalog": (catalog_round_trip, ENTRIES_SQL),

@@ -11,6 +11,13 @@ from ..sources import lines_of_rows, pack_blocks, scan_parquet
 from .tables import TABLES, table
 
 
+#: Tables with a key of one column.
+FIRST = {
+    "customer": "c_custkey", "documents": "doc_id", "nation": "n_nationkey", "orders": "o_orderkey", "part": "p_partkey",
+    "region": "r_regionkey", "supplier": "s_suppkey",
+}
+
+
 def _frames(spark, folder):
     return {name: scan_parquet(spark, f"{folder}/{name}.parquet") for name in TABLES}
 
@@ -24,9 +31,11 @@ def column_inventory(spark, folder):
 
 
 def profile_all(spark, folder):
-    return profile.profile_all(_frames(spark, folder)).select(
-        "dataset", "n_rows", "n_columns", F.col("first_row").isNotNull().alias("has_row")
-    )
+    """All tables and one that is not there; the first row is compared by its key."""
+    rows = profile.profile_all(_frames(spark, folder) | {"nowhere": None}, {name: [key] for name, key in FIRST.items()})
+    key = F.create_map(*(F.lit(x) for item in FIRST.items() for x in item))
+    first = F.from_json("first_row", "map<string,string>")[F.try_element_at(key, F.col("dataset"))]
+    return rows.select("dataset", "n_rows", "n_columns", F.col("first_row").isNotNull().alias("has_row"), first.alias("first_key"), "message")
 
 
 def preview(spark, folder):
@@ -34,7 +43,9 @@ def preview(spark, folder):
 
 
 def lookup(spark, folder):
-    return profile.lookup_by_key(table(spark, folder, "customer"), "c_custkey", 42)
+    """One key that is there and one that is not."""
+    customers = table(spark, folder, "customer")
+    return profile.lookup_by_key(customers, "c_custkey", 42).unionByName(profile.lookup_by_key(customers, "c_custkey", -1))
 
 
 def written_dataset(spark, folder):
@@ -70,15 +81,18 @@ QUERIES = {
         profile_all,
         " UNION ALL ".join(
             f"""SELECT '{t}' AS dataset, (SELECT count(*) FROM {t}) AS n_rows,
-            (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns, true AS has_row"""
+            (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns, true AS has_row,
+            {f"(SELECT CAST(min({FIRST[t]}) AS VARCHAR) FROM {t})" if t in FIRST else "CAST(NULL AS VARCHAR)"} AS first_key, CAST(NULL AS VARCHAR) AS message"""
             for t in TABLES
-        ),
+        )
+        + f" UNION ALL SELECT 'nowhere', NULL, NULL, false, NULL, '{profile.MISSING}'",
     ),
     "preview": (preview, "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5"),
     "lookup_by_key": (
         lookup,
         """SELECT c_custkey AS key, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":'
-        || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}' AS record FROM customer WHERE c_custkey = 42""",
+        || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}' AS record, true AS found FROM customer WHERE c_custkey = 42
+        UNION ALL SELECT -1, NULL, false""",
     ),
     "write_dataset": (written_dataset, "SELECT * FROM orders"),
     "encoding_audit": (

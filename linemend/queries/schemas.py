@@ -44,7 +44,10 @@ def summary(spark, folder):
 
 
 def expected(spark, folder):
-    return registry.expected_by_dataset(registry_rows(spark, folder))
+    """Small parts lack the columns of their brand, so the numbers differ."""
+    part = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("dataset"), "p_size", "p_brand")
+    rows = registry_rows(spark, folder).join(part, "dataset").filter((F.col("p_size") >= 20) | (F.col("column_name") != F.col("p_brand")))
+    return registry.expected_by_dataset(rows.drop("p_size", "p_brand"))
 
 
 def oversized(spark, folder):
@@ -76,7 +79,11 @@ QUERIES = {
         f"""WITH {ROWS_SQL} SELECT dataset, count(*) AS n_columns, count(*) FILTER (precision <= 38) AS n_decimal
         FROM registry GROUP BY dataset""",
     ),
-    "expected_by_dataset": (expected, "SELECT CAST(p_partkey AS VARCHAR) AS dataset, CAST(3 AS BIGINT) AS expected FROM part"),
+    "expected_by_dataset": (
+        expected,
+        f"""WITH {ROWS_SQL} SELECT dataset, count(*) - 1 AS expected FROM registry JOIN part ON dataset = CAST(p_partkey AS VARCHAR)
+        WHERE p_size >= 20 OR column_name <> p_brand GROUP BY dataset""",
+    ),
     "oversized_columns": (
         oversized,
         f"WITH {ROWS_SQL} SELECT dataset, column_name, precision, scale FROM registry WHERE precision > 38 OR scale > precision",
