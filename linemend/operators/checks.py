@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import ADMIN_CITY_PROVINCE, SPECIAL_CITY, code_prefix, differs, not_true
 
 LEVELS = ("total", "len_2", "len_5", "len_over_5", "missing", "suffix_00000")
+CLASSES = ("Special", "Non-autonomous", "Autonomous")
 
 
 def level_counts(df: DataFrame, code: str, alt_code: str, by: Sequence[str] = ()) -> DataFrame:
     """One row of counters (per `by` group): total, code lengths, missing, alt-code suffix."""
+    return df.groupBy(*by).agg(*level_counters(code, alt_code))
+
+
+def level_counters(code: str, alt_code: str) -> list[Column]:
+    """The aggregates of `level_counts`, for use beside others in one pass."""
     c, length = F.col(code), F.length(F.col(code))
     counters = (
         F.count("*"),
@@ -23,7 +29,7 @@ def level_counts(df: DataFrame, code: str, alt_code: str, by: Sequence[str] = ()
         F.count_if(c.isNull() | (c == "")),
         F.count_if(F.endswith(F.col(alt_code), F.lit("00000"))),
     )
-    return df.groupBy(*by).agg(*(counter.alias(level) for counter, level in zip(counters, LEVELS)))
+    return [counter.alias(level) for counter, level in zip(counters, LEVELS)]
 
 
 def level_rows(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

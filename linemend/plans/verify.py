@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import EXPECTED_DISTRICTS, KNOWN_DISTRICTS, differs, code_prefix
+from ..functions import EXPECTED_DISTRICTS, KNOWN_DISTRICTS, code_prefix, differs, not_true
 from ..operators import checks
 
 CHECK = "check string, value long, expected long, passed boolean"
@@ -21,34 +21,44 @@ def verify_codes(
     known: tuple[str, ...] = KNOWN_DISTRICTS,
     expected: dict[str, int] | None = None,
 ) -> DataFrame:
-    """(check, value, expected, passed). Three passes over the sheet: level counters, the
-    district level, and its known names."""
-    spark = sheet.sparkSession
+    """(check, value, expected, passed). Two passes over the sheet: all counters, and the known
+    names. `districts` is the number of rows of the district level against the sum of the classes."""
     expected = EXPECTED_DISTRICTS if expected is None else expected
-
-    counts = checks.coverage_check(checks.level_counts(sheet, level_code, code))
-    plain = F.lit(None).cast("long")
-    levels = checks.level_rows(counts).select(
-        F.col("level").alias("check"), F.col("n").alias("value"), plain.alias("expected"), F.lit(None).cast("boolean").alias("passed")
+    classes = list(dict.fromkeys([*expected, *checks.CLASSES]))
+    final = F.length(F.col(level_code)) == 5
+    label = checks.district_class(F.col(province), F.col(district))
+    counts = checks.coverage_check(
+        sheet.agg(
+            *checks.level_counters(level_code, code),
+            F.count_if(final & not_true(F.endswith(F.col(code), F.lit("00000")))).alias("mismatches"),
+            F.count_if(final & differs(code_prefix(F.col(code), 5), F.col(level_code))).alias("unequal"),
+            F.count_if(final).alias("districts"),
+            *(F.count_if(final & (label == name)).alias(f"class_{i}") for i, name in enumerate(classes)),
+        )
     )
-    coverage = counts.select(F.lit("coverage").alias("check"), F.col("covered").alias("value"), F.col("total").alias("expected"), "passed")
+    rows = [
+        *(_row(level, F.col(level)) for level in checks.LEVELS),
+        _row("coverage", F.col("covered"), F.col("total"), F.col("passed")),
+        _row("suffix_alignment", F.col("mismatches"), F.lit(0), F.col("mismatches") == 0),
+        _row("code_disagreement", F.col("unequal"), passed=F.col("unequal") > 0),
+        _row("districts", F.col("districts"), F.lit(sum(expected.values())), F.col("districts") == sum(expected.values())),
+    ]
+    for i, name in enumerate(classes):
+        n = F.col(f"class_{i}")
+        if name in expected:
+            rows.append(_row(name, n, F.lit(expected[name]), n == expected[name]))
+        else:
+            rows.append(_row(name, n, passed=F.lit(False)))
+    unexpected = [name for name in classes if name not in expected]
+    counted = counts.select(F.inline(F.array(*rows))).filter(~F.col("check").isin(unexpected) | (F.col("value") > 0))
+    found = checks.known_values_check(checks.known_values(sheet.filter(final), district, known, order))
+    return counted.unionByName(found.select(F.inline(F.array(_row("known_values", F.col("n_found"), passed=F.col("passed"))))))
 
-    final = sheet.filter(F.length(F.col(level_code)) == 5)
-    aligned = checks.suffix_alignment(final, code).select(
-        F.lit("suffix_alignment").alias("check"), F.col("mismatches").alias("value"), F.lit(0).cast("long").alias("expected"), "passed"
-    )
-    names = checks.known_values_check(checks.known_values(final, district, known, order)).select(
-        F.lit("known_values").alias("check"), F.col("n_found").alias("value"), plain.alias("expected"), "passed"
-    )
-    unequal = final.agg(F.count_if(differs(code_prefix(F.col(code), 5), F.col(level_code))).alias("value")).select(
-        F.lit("code_disagreement").alias("check"), "value", plain.alias("expected"), (F.col("value") > 0).alias("passed")
-    )
-    classed = final.select(checks.district_class(F.col(province), F.col(district)).alias("class"))
-    wanted = spark.createDataFrame(list(expected.items()), "category string, expected long")
-    classes = checks.category_vs_expected(classed, "class", wanted).select(
-        F.col("category").alias("check"), F.col("n").alias("value"), "expected", "passed"
+
+def _row(check: str, value: Column, expected: Column | None = None, passed: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(check).alias("check"),
+        value.cast("long").alias("value"),
+        (F.lit(None) if expected is None else expected).cast("long").alias("expected"),
+        (F.lit(None) if passed is None else passed).cast("boolean").alias("passed"),
     )
-    result = levels
-    for part in (coverage, aligned, names, unequal, classes):
-        result = result.unionByName(part)
-    return result

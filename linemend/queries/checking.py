@@ -136,6 +136,7 @@ UNION ALL SELECT 'coverage', len_2 + len_5 + len_over_5 + missing, total, len_2
 UNION ALL SELECT 'suffix_alignment', {MISMATCH_SQL}, 0, {MISMATCH_SQL} = 0 FROM final
 UNION ALL SELECT 'known_values', count(DISTINCT p_name), NULL, count(DISTINCT p_name) >= 2 FROM final WHERE {KNOWN_SQL}
 UNION ALL SELECT 'code_disagreement', count(*), NULL, count(*) > 0 FROM final WHERE {DISAGREES_SQL}
+UNION ALL SELECT 'districts', count(*), 268, count(*) = 268 FROM final
 UNION ALL SELECT category, n, expected, n = expected FROM (
   SELECT v.category, expected, (SELECT count(*) FROM classes c WHERE c.category = v.category) AS n
   FROM (VALUES ('Autonomous', 226), ('Non-autonomous', 41), ('Special', 1)) AS v(category, expected))
