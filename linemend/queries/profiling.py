@@ -61,11 +61,18 @@ def encoding_audit(spark, folder):
 
 
 def korean_encodings(spark, folder):
-    """French documents are stored as Latin-1, the others as UTF-8; the usual candidates."""
+    """Plain ASCII, in which each full stop becomes bytes that are Korean text in both code pages
+    (French), in cp949 alone (German), or in no candidate (Spanish)."""
     docs = table(spark, folder, "documents")
-    latin = F.encode(F.regexp_replace("text", r"[^\x{0}-\x{ff}]", "?"), "ISO-8859-1")
-    raw = F.when(F.col("lang") == "fr", latin).otherwise(F.encode("text", "UTF-8"))
-    return profile.encoding_audit(pack_blocks(lines_of_rows(docs, F.col("lang"), raw)))
+    raw = F.regexp_replace("text", r"[^\x{0}-\x{7f}]", "?")
+    marked = raw
+    for lang, stored in KOREAN.items():
+        marked = F.when(F.col("lang") == lang, F.replace(raw, F.lit("."), F.lit(stored).cast("string"))).otherwise(marked)
+    return profile.encoding_audit(pack_blocks(lines_of_rows(docs, F.col("lang"), marked)), ("utf-8", "cp949", "euc-kr"))
+
+
+#: The first syllable of both code pages, one of cp949 alone, and a byte of neither.
+KOREAN = {"fr": b"\xb0\xa1", "de": b"\x81\x41", "es": b"\xff"}
 
 
 QUERIES = {
@@ -103,5 +110,12 @@ QUERIES = {
         SELECT file, 'utf-8' AS encoding, n_lines, stops AS n_bad FROM counts
         UNION ALL SELECT file, 'ascii', n_lines, beyond FROM counts UNION ALL SELECT file, 'iso-8859-1', n_lines, 0 FROM counts""",
     ),
-    "korean_encodings": (korean_encodings, None),
+    "korean_encodings": (
+        korean_encodings,
+        """WITH lines AS (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+        counts AS (SELECT lang AS file, count(*) AS n_lines, count(*) FILTER (contains(line, '.')) AS stops FROM lines GROUP BY lang)
+        SELECT file, 'utf-8' AS encoding, n_lines, CASE WHEN file IN ('fr', 'de', 'es') THEN stops ELSE 0 END AS n_bad FROM counts
+        UNION ALL SELECT file, 'cp949', n_lines, CASE WHEN file = 'es' THEN stops ELSE 0 END FROM counts
+        UNION ALL SELECT file, 'euc-kr', n_lines, CASE WHEN file IN ('de', 'es') THEN stops ELSE 0 END FROM counts""",
+    ),
 }
