@@ -3,7 +3,8 @@
 The rule: append lines, joined by one space, until the separators seen reach the number
 the schema asks for; then the record is complete. If a line takes the count past that
 number, the whole buffer is rejected. Blank lines where no record is pending are dropped.
-An unfinished buffer at the end of a file is kept as a short record.
+An unfinished buffer at the end of a file is kept as a short record. A file in which no
+record ever ends has another separator or schema: its lines stay lines, with status `unfit`.
 
 The state of that rule after a line is the number of separators pending, 0..E-1. A line
 with E or more separators always leaves 0, whatever was pending: it completes a record
@@ -15,12 +16,11 @@ or overflows one. So nearly every block of lines can be worked on alone:
 
 Only leads and tails, a few lines per block, are exchanged between tasks. A block
 without such a line is all lead; its effect on the state is a map of E numbers, and maps
-compose, first within each split and then over the splits of a file.
+compose: within each split, over ranges of splits, and over the ranges of a file.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,67 +160,81 @@ _STEP = f"""named_struct(
   'open_part', IF({_CLOSES}, b.part, s.open_part),
   'open_seq', IF({_CLOSES}, b.seq, s.open_seq))"""
 
+# The same for a group of blocks, whose step is one state or a state for each count before it.
+_AFTER = "IF(size(b.step) = 1, b.step[0], get(b.step, s.entry))"
+_MAPPED = f"""named_struct(
+  'entry', {_AFTER}.entry,
+  'open_part', IF({_AFTER}.open_part = {NO_BLOCK}, s.open_part, {_AFTER}.open_part),
+  'open_seq', IF({_AFTER}.open_part = {NO_BLOCK}, s.open_seq, {_AFTER}.open_seq))"""
+
+_BEGIN = f"named_struct('entry', 0, 'open_part', {NO_BLOCK}L, 'open_seq', {NO_BLOCK}L)"
+
+# Splits are byte offsets (64 GB of text make a range), or begin with a task number above bit 40
+# (1024 tasks make a range of ranges).
+RANGE_BITS = (36, 14)
+
 
 def entry_states(split: DataFrame) -> DataFrame:
-    """(file, part, seq, entry, closes, opener): pending count at the start of each block,
-    whether the block closes a record, and the earlier block whose tail began the one pending.
+    """(file, part, seq, entry, closes, opener, fits): pending count at the start of each block,
+    whether the block closes a record, the earlier block whose tail began the one pending, and
+    whether any record of the file ends.
 
-    Works on a few integers per block and is itself as small. Steps are composed within each split first, so what
-    meets in one group per file is one row per split.
+    Works on a few integers per block and is itself as small. Steps are composed upwards in a
+    tree, and the states handed down again, so that no group holds all splits of a large file.
     """
     parts = split.groupBy("file", "part").agg(
-        F.expr("sort_array(collect_list(struct(seq, part, expected, lead_separators, exits)))").alias("blocks")
-    )
-    after_part = f"""transform({_COUNTS.format("blocks[0].expected")}, n -> aggregate(blocks,
-      named_struct('entry', n, 'open_part', {NO_BLOCK}L, 'open_seq', {NO_BLOCK}L), (s, b) -> {_STEP}))"""
-    steps = parts.selectExpr("file", "part", f"{after_part} AS step").selectExpr(
-        "file", "part", "IF(size(array_distinct(step)) = 1, slice(step, 1, 1), step) AS step"
+        F.expr("max(expected) AS expected"), F.expr("sort_array(collect_list(struct(seq, part, expected, lead_separators, exits))) AS items")
     )
-    part_entry = steps.groupBy("file").applyInPandas(_fold_parts, "file string, part long, entry int, open_part long, open_seq long")
-    at_blocks = f"""transform(blocks, (at, i) -> struct(at AS b, aggregate(slice(blocks, 1, i),
-      named_struct('entry', entry, 'open_part', open_part, 'open_seq', open_seq), (s, b) -> {_STEP}) AS s))"""
-    return (
-        parts.join(part_entry, ["file", "part"])
-        .selectExpr("file", "part", f"inline({at_blocks})")
-        .selectExpr(
-            "file", "part", "b.seq AS seq", "s.entry AS entry", f"{_CLOSES} AS closes",
-            "struct(s.open_part AS part, s.open_seq AS seq) AS opener",
+    levels = [_composed(parts, _STEP)]
+    for bits in RANGE_BITS:
+        ranges = levels[-1].groupBy("file", F.expr(f"shiftright(part, {bits}) AS above")).agg(
+            F.expr("max(expected) AS expected"), F.expr("sort_array(collect_list(struct(part, step))) AS items")
         )
+        levels.append(_composed(ranges.withColumnRenamed("above", "part"), _MAPPED))
+    whole = levels.pop().groupBy("file").agg(F.expr("sort_array(collect_list(struct(part, step))) AS items"))
+    last = f"aggregate(items, {_BEGIN}, (s, b) -> {_MAPPED}).open_part <> {NO_BLOCK}"
+    entries = _handed_down(whole.selectExpr("*", f"{_BEGIN} AS s", f"{last} AS fits"), _MAPPED, "b.part AS part")
+    for level, bits in zip(reversed(levels), reversed(RANGE_BITS)):
+        ranges = level.groupBy("file", F.expr(f"shiftright(part, {bits}) AS above")).agg(F.expr("sort_array(collect_list(struct(part, step))) AS items"))
+        entries = _handed_down(ranges.withColumnRenamed("above", "part").join(entries, ["file", "part"]), _MAPPED, "b.part AS part")
+    blocks = _handed_down(parts.drop("expected").join(entries, ["file", "part"]), _STEP, "b.part AS part", "b.seq AS seq", f"{_CLOSES} AS closes")
+    return blocks.selectExpr("file", "part", "seq", "s.entry AS entry", "closes", "struct(s.open_part AS part, s.open_seq AS seq) AS opener", "fits")
+
+
+def _composed(groups: DataFrame, step: str) -> DataFrame:
+    """One step for the ordered items of each group: the state after them for each before."""
+    after = f"""transform({_COUNTS.format("expected")}, n -> aggregate(items,
+      named_struct('entry', n, 'open_part', {NO_BLOCK}L, 'open_seq', {NO_BLOCK}L), (s, b) -> {step}))"""
+    return groups.selectExpr("file", "part", "expected", f"{after} AS step").withColumn(
+        "step", F.expr("IF(size(array_distinct(step)) = 1, slice(step, 1, 1), step)")
     )
 
 
+def _handed_down(groups: DataFrame, step: str, *columns: str) -> DataFrame:
+    """The state before each item, given the state `s` before its group."""
+    before = f"transform(items, (b, i) -> struct(b, aggregate(slice(items, 1, i), s, (s, b) -> {step}) AS s))"
+    return groups.selectExpr("file", "fits", f"inline({before})").selectExpr("file", *columns, "s", "fits")
+
+
 def stage_states(split: DataFrame, path: str | None = None) -> DataFrame:
     """Write `entry_states`, which every kind of record at a block border is joined with."""
     return _written(entry_states(split), path or work_dir(split.sparkSession, "states"))
 
 
-def _fold_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """State at the start of each split of one file."""
-    pdf = pdf.sort_values("part")
-    rows, entry, opener = [], 0, (NO_BLOCK, NO_BLOCK)
-    for steps in pdf["step"]:
-        rows.append((entry, *opener))
-        after = steps[0] if len(steps) == 1 else steps[entry]
-        entry = after["entry"]
-        if after["open_seq"] != NO_BLOCK:
-            opener = (after["open_part"], after["open_seq"])
-    states = pd.DataFrame(rows, columns=["entry", "open_part", "open_seq"], index=pdf.index)
-    return pd.concat([pdf[["file", "part"]], states], axis=1)
-
-
 # Reassembly -------------------------------------------------------------------------
 
+UNFIT_ZONE = 4
 
-def reassemble_records(split: DataFrame, states: DataFrame, sep: str = "|") -> DataFrame:
+
+def reassemble_records(split: DataFrame, edges: DataFrame, sep: str = "|") -> DataFrame:
     """Every record, rejected record and unfinished rest of staged blocks, once each.
 
-    `(part, seq, zone, rec)` is the order within a file. `status` is `record`, `overflow`
-    or `short`; `suspect` marks records that begin with a line without separators, whose
+    `(part, seq, zone, rec)` is the order within a file. `status` is `record`, `overflow`,
+    `short` or `unfit`; `suspect` marks records that begin with a line without separators, whose
     text may belong to the last field of the record before; `exact` is true for all records
     of a block that has no rejects.
     """
-    edges = _edges(split, states, sep)
-    raw = _within(split, 2).unionByName(_within(edges, 1)).unionByName(_spanning(edges))
+    raw = _within(split, 2).unionByName(_within(edges, 1)).unionByName(_spanning(edges)).unionByName(_unfit(edges))
     return _label(raw, sep)
 
 
@@ -231,6 +245,11 @@ def _within(blocks: DataFrame, zone: int) -> DataFrame:
     ).filter("raw <> ''")
 
 
+def stage_edges(split: DataFrame, states: DataFrame, sep: str = "|", path: str | None = None) -> DataFrame:
+    """Write the leads, cut by what was pending, once for all kinds of records at block borders."""
+    return _written(_edges(split, states, sep), path or work_dir(split.sparkSession, "edges"))
+
+
 def _edges(split: DataFrame, states: DataFrame, sep: str) -> DataFrame:
     """Leads cut, by what was pending, into a closing text, whole records and an open rest."""
     s = char_class(sep)
@@ -241,11 +260,12 @@ def _edges(split: DataFrame, states: DataFrame, sep: str) -> DataFrame:
     opening = F.when(F.col("synced"), F.col("tail")).otherwise(after_bytes(F.col("rest"), _taken("records")))
     return (
         split.join(states, ["file", "part", "seq"])
-        .select("file", "part", "seq", "expected", "synced", "lead", "tail", "closes", "opener", F.expr("false AS exact"),
+        .select("file", "part", "seq", "expected", "synced", "lead", "tail", "closes", "opener", "fits", F.expr("false AS exact"),
                 F.when(F.col("closes"), closing).otherwise(F.col("lead")).alias("closing"))
         .withColumn("rest", rest)
         .withColumn("records", records)
         .withColumn("open", opening)
+        .drop("synced", "lead", "tail", "rest")
     )
 
 
@@ -255,6 +275,7 @@ def _spanning(edges: DataFrame) -> DataFrame:
     Each group is the pieces of one record. The last group of a file has no closing text
     and is the unfinished rest.
     """
+    edges = edges.filter("fits")
     closing = "struct(opener, 0 AS piece, closes, closing AS text)"
     opening = "struct(struct(part, seq) AS opener, 1 AS piece, false AS closes, open AS text)"
     return (
@@ -272,13 +293,20 @@ def _spanning(edges: DataFrame) -> DataFrame:
     )
 
 
+def _unfit(edges: DataFrame) -> DataFrame:
+    """The lines, but for blank ones, of files in which no record ends: their blocks are all lead."""
+    return edges.filter("NOT fits").selectExpr(
+        "file", "part", "seq", f"{UNFIT_ZONE} AS zone", "expected", "exact", r"posexplode(split(closing, '\n')) AS (rec, raw)"
+    ).filter("raw <> ''")
+
+
 def _label(raw: DataFrame, sep: str) -> DataFrame:
     """Raw texts to outcomes: blank lines before a record dropped, lines joined by a space."""
     one_line = ~F.contains("raw", F.lit("\n"))
     lines = F.regexp_replace("raw", r"\A\n+", "")
     exact, expected = F.col("exact"), F.col("expected")
     count = F.when(exact, expected).otherwise(separator_count(F.col("raw"), sep))
-    status = F.when(exact, "record").when(count > expected, "overflow").when(count < expected, "short").otherwise("record")
+    status = F.when(exact, "record").when(F.col("zone") == UNFIT_ZONE, "unfit").when(count > expected, "overflow").when(count < expected, "short").otherwise("record")
     starts_bare = F.col("raw").rlike(rf"\A\n*+[^{char_class(sep)}\n]++\n")
     return raw.select(
         "file", "part", "seq", "zone", "rec",
@@ -290,20 +318,22 @@ def _label(raw: DataFrame, sep: str) -> DataFrame:
 
 def kept_records(outcome: DataFrame) -> DataFrame:
     """Complete records and unfinished rests."""
-    return outcome.filter(F.col("status") != "overflow")
+    return outcome.filter(~F.col("status").isin("overflow", "unfit"))
 
 
 def reject_overflow(outcome: DataFrame) -> DataFrame:
-    """Rejected buffers with the reason. Blocks without any are passed over unread."""
-    rejects = outcome.filter(~F.col("exact") & (F.col("status") == "overflow"))
-    return rejects.withColumn("reason", F.lit("more separators than the schema allows"))
+    """Rejected buffers and lines with the reason. Blocks without any are passed over unread."""
+    rejects = outcome.filter(~F.col("exact") & F.col("status").isin("overflow", "unfit"))
+    reason = F.when(F.col("status") == "unfit", "schema does not fit").otherwise("more separators than the schema allows")
+    return rejects.withColumn("reason", reason)
 
 
 def repair_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|", path: str | None = None) -> DataFrame:
-    """Blocks to outcomes; split and states are staged below `path` in the shared folder."""
+    """Blocks to outcomes; split, states and edges are staged below `path` in the shared folder."""
     path = path or work_dir(blocks.sparkSession, "repair")
     split = stage_split(blocks, expected, sep, f"{path}/split")
-    return reassemble_records(split, stage_states(split, f"{path}/states"), sep)
+    states = stage_states(split, f"{path}/states")
+    return reassemble_records(split, stage_edges(split, states, sep, f"{path}/edges"), sep)
 
 
 def _column(value: Column | int) -> Column:

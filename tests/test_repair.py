@@ -25,6 +25,8 @@ def sequential(lines, expected):
         if count >= expected:
             emit("record" if count == expected else "overflow")
             buffer, count = [], 0
+    if not out:  # no record ends in this file
+        return [(line, "unfit", False) for line in lines if line]
     if buffer:
         emit("short")
     return out
@@ -129,7 +131,7 @@ def test_no_text_leaves_its_task_but_block_edges(spark):
     assert edges < body / 50
     plan = repair._label(repair._within(split, 2), "|")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema" in plan and "lead" not in plan
-    assert repair.reassemble_records(split, repair.stage_states(split)).count() == 20000
+    assert repair.reassemble_records(split, repair.stage_edges(split, repair.stage_states(split))).count() == 20000
 
 
 def test_line_checks(spark):
@@ -149,3 +151,23 @@ def test_other_separator(spark):
     blocks = pack_blocks(lines_of_rows(frame, F.lit("f"), F.col("value")))
     rows = repair.repair_blocks(blocks, 2, "^").collect()
     assert [r["value"] for r in rows] == ["a^b c|d^e"]
+
+
+@pytest.mark.parametrize("block_bytes", [100, 5000, 1 << 20])
+def test_file_without_any_separator_stays_lines(spark, block_bytes):
+    rows = spark.range(0, 3000, numPartitions=3).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"))
+    outcome = repair.repair_blocks(pack_blocks(lines_of_rows(rows, F.lit("f"), F.col("value")), block_bytes), 3)
+    kept = sorted(outcome.collect(), key=lambda r: (r["part"], r["seq"], r["zone"], r["rec"]))
+    assert [r["value"] for r in kept] == [f"line {n}" for n in range(3000)]
+    assert {r["status"] for r in kept} == {"unfit"} and repair.kept_records(outcome).count() == 0
+    assert {r["reason"] for r in repair.reject_overflow(outcome).collect()} == {"schema does not fit"}
+
+
+@pytest.mark.parametrize("bits", [(1, 1), (2, 1), (40, 40)])
+def test_states_in_ranges_of_any_width(spark, monkeypatch, bits):
+    """Every record is broken and no line holds all separators, so states pass through all blocks."""
+    monkeypatch.setattr(repair, "RANGE_BITS", bits)
+    lines = [piece for n in range(60) for piece in (f"a{n}|b", "c|d", f"e|f{n}")]
+    blocks = [("f", i // 2, i, f"{line}\n".encode()) for i, line in enumerate(lines)]
+    frame = spark.createDataFrame(blocks, "file string, part long, seq long, text binary")
+    assert outcomes(frame, 3)["f"] == sequential(lines, 3)
