@@ -21,6 +21,8 @@ compose: within each split, over ranges of splits, and over the ranges of a file
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,11 +69,20 @@ def route_clean_or_repair(lines: DataFrame, status: DataFrame) -> tuple[DataFram
     return lines.join(clean, "file", "left_semi"), lines.join(clean, "file", "left_anti")
 
 
+def clean_records(lines: DataFrame, expected: int) -> DataFrame:
+    """Lines of clean files as outcomes of a repair that they do not need."""
+    value = F.regexp_replace(decode_utf8_lossy(F.col("value")), r"\r\z", "")
+    return lines.select(
+        "file", "part", F.col("id").alias("seq"), F.lit(2).alias("zone"), F.lit(0).alias("rec"), value.alias("value"),
+        F.lit(expected).alias("separators"), F.lit("record").alias("status"), F.lit(False).alias("suspect"), F.lit(True).alias("exact"),
+    ).filter("value <> ''")
+
+
 # Splitting blocks -------------------------------------------------------------------
 
 
-def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> DataFrame:
-    """Lead, body records and tail of each block, and its effect on the pending count.
+def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|", keep: Sequence[str] = ()) -> DataFrame:
+    """Lead, body records and tail of each block, its effect on the pending count, and columns to keep.
 
     A body of clean lines only is split at line ends; any other is cut record by record.
     `exact` says that no body record has too many separators, so none need be counted again.
@@ -87,7 +98,7 @@ def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> D
     records = F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1))
     body_separators = separator_count(rest, sep) - separator_count(F.col("tail"), sep)
     return (
-        blocks.select("file", "part", "seq", _column(expected).cast("int").alias("expected"), decoded.alias("text"))
+        blocks.select("file", "part", "seq", _column(expected).cast("int").alias("expected"), decoded.alias("text"), *keep)
         .withColumn("lead", F.call_function("regexp_extract", "text", lead_pattern, F.lit(0)))
         .withColumn("synced", F.col("lead") != "")
         .withColumn("rest", F.when(synced, after_bytes(F.col("text"), F.octet_length("lead"))).otherwise(""))
@@ -100,28 +111,34 @@ def split_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|") -> D
             F.when(clean, True).otherwise(body_separators == F.col("expected") * F.size("records")).alias("exact"),
             separator_count(F.col("lead"), sep).alias("lead_separators"),
             F.when(synced, F.array(separator_count(F.col("tail"), sep))).otherwise(_exit_map("lead", sep)).alias("exits"),
+            *keep,
         )
     )
 
 
-def stage_split(blocks: DataFrame, expected: Column | int, sep: str = "|", path: str | None = None) -> DataFrame:
-    """Write `split_blocks` once; later steps read only the columns they need.
+def stage_split(
+    blocks: DataFrame, expected: Column | int, sep: str = "|", path: str | None = None, keep: Sequence[str] = (), by_file: bool = False
+) -> DataFrame:
+    """Write `split_blocks` once; later steps read only the columns they need, and with
+    `by_file` only the files they ask for.
 
     Staging makes the cut points final: a lost task cannot see other blocks than the
     ones its neighbours were matched with.
     """
-    return _written(split_blocks(blocks, expected, sep), path or work_dir(blocks.sparkSession, "split"))
+    return _written(split_blocks(blocks, expected, sep, keep), path or work_dir(blocks.sparkSession, "split"), by_file)
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def _written(df: DataFrame, path: str, by_file: bool = False) -> DataFrame:
     """A table in the shared folder. Rows can be large, so the writer looks at its sizes often."""
     (
         df.write.option("parquet.block.size", 32 << 20)
         .option("parquet.block.size.row.check.min", 1)
         .option("parquet.page.size.row.check.min", 1)
+        .partitionBy(*(["file"] if by_file else []))
         .parquet(path)
     )
-    return df.sparkSession.read.parquet(path)
+    # With the schema given, names of folders are not taken for numbers.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _record_pattern(expected: Column, s: str) -> Column:
@@ -245,9 +262,11 @@ def _within(blocks: DataFrame, zone: int) -> DataFrame:
     ).filter("raw <> ''")
 
 
-def stage_edges(split: DataFrame, states: DataFrame, sep: str = "|", path: str | None = None) -> DataFrame:
+def stage_edges(
+    split: DataFrame, states: DataFrame, sep: str = "|", path: str | None = None, by_file: bool = False
+) -> DataFrame:
     """Write the leads, cut by what was pending, once for all kinds of records at block borders."""
-    return _written(_edges(split, states, sep), path or work_dir(split.sparkSession, "edges"))
+    return _written(_edges(split, states, sep), path or work_dir(split.sparkSession, "edges"), by_file)
 
 
 def _edges(split: DataFrame, states: DataFrame, sep: str) -> DataFrame:
@@ -331,9 +350,13 @@ def reject_overflow(outcome: DataFrame) -> DataFrame:
 def repair_blocks(blocks: DataFrame, expected: Column | int, sep: str = "|", path: str | None = None) -> DataFrame:
     """Blocks to outcomes; split, states and edges are staged below `path` in the shared folder."""
     path = path or work_dir(blocks.sparkSession, "repair")
-    split = stage_split(blocks, expected, sep, f"{path}/split")
+    return repair_split(stage_split(blocks, expected, sep, f"{path}/split"), path, sep)
+
+
+def repair_split(split: DataFrame, path: str, sep: str = "|", by_file: bool = False) -> DataFrame:
+    """Staged blocks of one or many files to outcomes."""
     states = stage_states(split, f"{path}/states")
-    return reassemble_records(split, stage_edges(split, states, sep, f"{path}/edges"), sep)
+    return reassemble_records(split, stage_edges(split, states, sep, f"{path}/edges", by_file), sep)
 
 
 def _column(value: Column | int) -> Column:

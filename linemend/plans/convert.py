@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import skip_existing
 from ..operators.registry import ColumnSpec, column_specs, dataset_rows
-from ..operators.repair import kept_records, reject_overflow, repair_blocks
+from ..operators.repair import (
+    clean_records,
+    expected_separators,
+    file_status,
+    kept_records,
+    reject_overflow,
+    repair_blocks,
+    repair_split,
+    stage_split,
+)
 from ..operators.typed import apply_schema, cast_losses, read_as_strings, with_losses
 from ..session import drop_work_dir, work_dir
 from ..sinks import finished, finished_keys, write_dataset
 from ..sources.archives import inflate_archives
+from ..sources.lines import pack_blocks, scan_lines
 
 STATUS = (
     "catalog_key string, status string, rows_in long, rows_out long, short long, suspect long, rejected long, "
@@ -29,71 +40,151 @@ def convert_catalog(
 
     `base` is the folder that relative archive paths of the catalog start from.
 
-    Datasets run as separate jobs, several at a time, so one that fails does not stop the
-    others and small ones fill the cores that a large one leaves.
+    All archives are inflated, split and matched in the same jobs. Then each dataset is typed and
+    written by itself, several at a time, so one that fails does not stop the others.
     """
     if base:
         catalog = catalog.withColumn("zip_path", F.concat(F.lit(base.rstrip("/") + "/"), "zip_path"))
-    pending = [row.asDict() for row in skip_existing(catalog, finished_keys(catalog, out)).collect()]
-    keys = spark.createDataFrame([(row["catalog_key"],) for row in pending], "catalog_key string")
+    pending = {row["catalog_key"]: row["zip_path"] for row in skip_existing(catalog, finished_keys(catalog, out)).collect()}
+    keys = spark.createDataFrame([(key,) for key in pending], "catalog_key string")
     schemas = dataset_rows(registry.join(keys, F.col("dataset") == F.col("catalog_key"), "left_semi"))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        rows = list(pool.map(lambda row: _convert_one(spark, row, schemas, out, sep), pending))
+    columns, errors = {}, {}
+    for key in pending:
+        try:
+            columns[key] = column_specs(key, schemas.get(key, []))
+        except Exception as error:  # noqa: BLE001 - reported, and the other datasets go on
+            errors[key] = _reason(error)
+    stage = work_dir(spark, "repair")
+
+    def store(key: str) -> dict:
+        # A pool for each dataset, so that small ones need not wait for the tasks of a large one.
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", key)
+        try:
+            return {"catalog_key": key, "status": "converted", **_store(outcome.filter(F.col("file") == key), columns[key], out, key, sep, rejects.get(key, NO_REJECTS))}
+        except Exception as error:  # noqa: BLE001
+            return _failed(key, _reason(error))
+
+    try:
+        rows = []
+        if columns:
+            split = _stage_archives(spark, {key: (pending[key], len(columns[key]) - 1) for key in columns}, stage, sep)
+            errors |= {row["file"]: row["error"] for row in split.filter("error IS NOT NULL").select("file", "error").collect()}
+            outcome = repair_split(split.drop("error"), stage, sep, by_file=True)
+            rejects = _reject_counts(outcome)
+            with ThreadPoolExecutor(max_workers=workers) as pool:
+                rows = list(pool.map(store, [key for key in columns if key not in errors]))
+    finally:
+        drop_work_dir(spark, stage)
+    rows += [_failed(key, error) for key, error in errors.items()]
     skipped = catalog.join(keys, "catalog_key", "left_anti")
     return spark.createDataFrame(rows, STATUS).unionByName(
         skipped.select("catalog_key", F.lit("skipped").alias("status")), allowMissingColumns=True
     )
 
 
-def _convert_one(spark: SparkSession, row: dict, schemas: dict[str, list[Row]], out: str, sep: str) -> dict:
-    key = row["catalog_key"]
-    status = {"catalog_key": key, "status": "failed"}
-    try:
-        columns = column_specs(key, schemas.get(key, []))
-        archive = spark.createDataFrame([(key, row["zip_path"])], "catalog_key string, zip_path string")
-        # The exchange hands blocks from the one inflating task to as many as their size needs.
-        blocks = inflate_archives(archive, tasks=1).repartition("part", "seq")
-        status.update(convert_blocks(blocks, columns, out, key, sep), status="converted")
-    except Exception as error:  # noqa: BLE001 - reported, and the other datasets go on
-        status["error"] = f"{type(error).__name__}: {error}"
-    return status
+def _stage_archives(spark: SparkSession, archives: dict[str, tuple[str, int]], stage: str, sep: str) -> DataFrame:
+    """Split blocks of all archives, staged in a folder for each dataset."""
+    rows = [(key, path, expected) for key, (path, expected) in archives.items()]
+    listed = spark.createDataFrame(rows, "catalog_key string, zip_path string, expected int")
+    blocks = inflate_archives(listed, tasks=len(rows), failures=True, carry=["expected"])
+    # The exchange hands blocks from the inflating tasks to as many as their size needs.
+    return stage_split(blocks.repartition("file", "part", "seq"), F.col("expected"), sep, f"{stage}/split", keep=["error"], by_file=True)
+
+
+def _failed(key: str, error: str) -> dict:
+    return {"catalog_key": key, "status": "failed", "error": error}
+
+
+def _reason(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
 
 
 def convert_blocks(blocks: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str, sep: str = "|") -> dict:
-    """Blocks of one dataset to `{out}/{key}`, and its rejects to `{out}/_rejects/{key}`.
+    """Blocks of one dataset to `{out}/{key}`, and its rejects to `{out}/_rejects/{key}`."""
+    stage = work_dir(blocks.sparkSession, "repair")
+    try:
+        outcome = repair_blocks(blocks, len(columns) - 1, sep, stage)
+        return _store(outcome, columns, out, key, sep, _total(_reject_counts(outcome)))
+    finally:
+        drop_work_dir(blocks.sparkSession, stage)
 
-    Counters are taken while the rows are written. Rejects are looked for only in the
-    blocks that hold some, and written first, so that finished data always has its rejects.
+
+def convert_text_files(spark: SparkSession, path: str | list[str], columns: Sequence[ColumnSpec], out: str, key: str, sep: str = "|") -> dict:
+    """Text files of one dataset to `{out}/{key}`. One narrow pass counts separators; files whose
+    lines all are records are read a second time and typed, only the others are repaired.
+
+    Files are routed by name, so no line is exchanged. The first line's number of separators is
+    reported for each file where it is not that of the schema.
     """
-    spark = blocks.sparkSession
+    expected = len(columns) - 1
+    lines = scan_lines(spark, path)
+    status = file_status(lines, expected, sep).join(expected_separators(lines, sep), "file").collect()
+    clean = [row["file"] for row in status if row["clean"]]
+    broken = [row["file"] for row in status if not row["clean"]]
     stage = work_dir(spark, "repair")
     try:
-        outcome = repair_blocks(blocks, len(columns) - 1, sep, stage)
-        fields = read_as_strings(kept_records(outcome), sep=sep, keep=["status", "suspect"])
-        losses = cast_losses(columns)
-        counters = Observation()
-        typed = with_losses(fields, columns, keep=["status", "suspect"]).observe(
-            counters,
-            F.count("*").alias("rows_out"),
-            F.count_if(F.col("status") == "short").alias("short"),
-            F.count_if("suspect").alias("suspect"),
-            *(count.alias(f"null_{i}") for i, count in enumerate(losses.values())),
-        )
-        if finished(spark, f"{out}/{key}"):
-            raise FileExistsError(f"{out}/{key} is already complete")
-        # Before the success marker of the data: a run that fails here starts again.
-        reject_overflow(outcome).drop("exact").write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
-        rejected = spark.read.parquet(f"{out}/_rejects/{key}").count()
-        write_dataset(typed.select(*(F.col(f"`{c.name}`") for c in columns)), out, key)
-        counts = counters.get
-        return {
-            "rows_in": counts["rows_out"] + rejected,
-            **{name: counts[name] for name in ("rows_out", "short", "suspect")},
-            "rejected": rejected,
-            "cast_nulls": {name: counts[f"null_{i}"] for i, name in enumerate(losses)},
-        }
+        outcomes = []
+        if clean:
+            outcomes.append(clean_records(scan_lines(spark, clean), expected))
+        if broken:
+            outcomes.append(repair_blocks(pack_blocks(scan_lines(spark, broken)), expected, sep, stage))
+        if not outcomes:
+            raise ValueError(f"no lines in {path}")
+        outcome = reduce(DataFrame.unionByName, outcomes)
+        counts = _store(outcome, columns, out, key, sep, _total(_reject_counts(outcome)))
     finally:
         drop_work_dir(spark, stage)
+    misfits = {row["file"]: row["expected"] for row in status if row["expected"] != expected}
+    return {**counts, "clean_files": len(clean), "first_line_separators": misfits}
+
+
+NO_REJECTS = (0, 0)
+
+
+def _reject_counts(outcome: DataFrame) -> dict[str, tuple[int, int]]:
+    """Rejects, and lines of files in which no record ends, of each file that has any."""
+    counts = reject_overflow(outcome).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "unfit").alias("unfit"))
+    return {row["file"]: (row["n"], row["unfit"]) for row in counts.collect()}
+
+
+def _total(counts: dict[str, tuple[int, int]]) -> tuple[int, int]:
+    return tuple(map(sum, zip(NO_REJECTS, *counts.values())))
+
+
+def _store(outcome: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str, sep: str, rejects: tuple[int, int]) -> dict:
+    """Type and write outcomes; counters are taken while the rows are written.
+
+    Rejects, whose numbers are given, are looked for only in the blocks that hold some, and
+    written first, so that finished data always has its rejects.
+    """
+    spark = outcome.sparkSession
+    fields = read_as_strings(kept_records(outcome), sep=sep, keep=["status", "suspect"])
+    losses = cast_losses(columns)
+    counters = Observation()
+    typed = with_losses(fields, columns, keep=["status", "suspect"]).observe(
+        counters,
+        F.count("*").alias("rows_out"),
+        F.count_if(F.col("status") == "short").alias("short"),
+        F.count_if("suspect").alias("suspect"),
+        *(count.alias(f"null_{i}") for i, count in enumerate(losses.values())),
+    )
+    if finished(spark, f"{out}/{key}"):
+        raise FileExistsError(f"{out}/{key} is already complete")
+    # Before the success marker of the data: a run that fails here starts again.
+    rejected, unfit = rejects
+    found = reject_overflow(outcome).drop("exact")
+    found = found if rejected else spark.createDataFrame([], found.schema)
+    found.write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
+    if unfit:
+        raise ValueError(f"schema does not fit: {unfit} lines of files in which no record ends are in {out}/_rejects/{key}")
+    write_dataset(typed.select(*(F.col(f"`{c.name}`") for c in columns)), out, key)
+    counts = counters.get
+    return {
+        "rows_in": counts["rows_out"] + rejected,
+        **{name: counts[name] for name in ("rows_out", "short", "suspect")},
+        "rejected": rejected,
+        "cast_nulls": {name: counts[f"null_{i}"] for i, name in enumerate(losses)},
+    }
 
 
 def analyze_head(archives: DataFrame, columns: Sequence[ColumnSpec], limit_bytes: int | None, sep: str = "|") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import code_prefix, decode_codepage, na_words_to_null, normalise_path
 from ..operators import codes
-from ..plans.regions import all_editions, legal_districts, statistical_districts
+from ..plans.regions import all_editions, legal_districts, statistical_districts, write_legal_districts
 from ..session import work_dir
 from ..sinks import read_csv_bom, write_csv_bom
 from ..sources import scan_code_sheet, scan_codepage_table
@@ -127,11 +127,23 @@ def codepage_table(spark, folder):
     rows = part.select(
         F.col("p_partkey").cast("string").alias("코드"), F.concat(F.lit("건축물 "), "p_name").alias("이름"), F.col("p_type").alias("구분")
     )
+    _write_cp949(rows, path)
+    return scan_codepage_table(spark, path)
+
+
+def _write_cp949(rows, path):
     as_bytes = rows.select(
         *(F.decode(_encoded(F.col(c)), "ISO-8859-1").alias(c.encode("cp949").decode("latin-1")) for c in rows.columns)
     )
     as_bytes.write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path)
-    return scan_codepage_table(spark, path)
+
+
+def code_list_files(spark, folder):
+    """A code list in cp949 files to written tables, of which the districts are read back."""
+    source, out = work_dir(spark, "codes"), work_dir(spark, "regions")
+    _write_cp949(_codes(spark, folder), source)
+    write_legal_districts(spark, source, out)
+    return read_csv_bom(spark, f"{out}/code_sgg")
 
 
 def _encoded(col):
@@ -191,6 +203,7 @@ QUERIES = {
     "filter_suffix": (suffix_rows, f"WITH {CODES_SQL} SELECT code, name, state FROM codes WHERE code LIKE '%00000'"),
     "code_prefix": (prefixes, f"WITH {CODES_SQL} SELECT code, substr(code, 1, 5) AS district, substr(code, 1, 2) AS province FROM codes"),
     "district_table": (district_table, DISTRICTS_SQL),
+    "code_list_files": (code_list_files, DISTRICTS_SQL),
     "province_table": (
         province_table,
         f"""WITH {CODES_SQL} SELECT substr(code, 1, 2) AS "시도코드", name AS "시도명", state AS "폐지여부"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 import zipfile
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import HEADER_MARKER, schema_key
 from ..operators.catalog import catalog_rows, parse_archive_name
 from ..operators.registry import build_registry
-from ..plans.convert import analyze_head, convert_catalog
+from ..plans.convert import analyze_head, convert_catalog, convert_text_files
 from ..session import work_dir
 from ..sources import inflate_archives, list_files
 from .repairing import DOCUMENTS_SQL
@@ -29,10 +30,14 @@ def _write_archives(spark, folder):
         if head is None:
             return
         target = f"{path}/국토교통부_문서_{head.column('task')[0].as_py()}+(2025년+12월).zip"
-        with _writable(target) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+        attempt = f"{target}.{uuid.uuid4().hex}"
+        with _writable(attempt) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
             with archive.open("mart.txt", "w", force_zip64=True) as member:
                 for batch in itertools.chain([head], batches):
                     member.write("".join(f"{line}\n" for line in batch.column("line").to_pylist()).encode())
+        # A task that runs twice writes two attempts; the name holds one of them, whole.
+        store, inner = _store_of(attempt)
+        store.move(inner, _store_of(target)[1])
         yield pa.RecordBatch.from_pydict({"name": [target]})
 
     docs = table(spark, folder, "documents")
@@ -43,12 +48,16 @@ def _write_archives(spark, folder):
 
 def _writable(target: str):
     """A byte stream to a new file on any file system Arrow knows."""
-    target = target.removeprefix("file:")
-    store, inner = fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+    store, inner = _store_of(target)
     store.create_dir(inner.rsplit("/", 1)[0])
     return store.open_output_stream(inner)
 
 
+def _store_of(target: str):
+    target = target.removeprefix("file:")
+    return fs.FileSystem.from_uri(target) if "://" in target else (fs.LocalFileSystem(), target)
+
+
 DESCRIPTOR = f"{HEADER_MARKER}\t데이터타입\n" + "".join(
     f"{c.name}\t{'VARCHAR(100)' if c.precision is None else f'NUMERIC({c.precision})'}\n" for c in DOCUMENT_COLUMNS
 )
@@ -91,6 +100,16 @@ def conversion_status(spark, folder):
     )
 
 
+def convert_text(spark, folder):
+    """Two text files: records whose text has no line break, and the others."""
+    path, out = work_dir(spark, "files"), work_dir(spark, "converted")
+    docs = table(spark, folder, "documents")
+    rows = docs.select(F.contains("text", F.lit("\n")).alias("broken"), document_text(True).alias("value"))
+    rows.write.partitionBy("broken").option("lineSep", "\n").text(path)
+    convert_text_files(spark, path, DOCUMENT_COLUMNS, out, "documents")
+    return spark.read.parquet(f"{out}/documents")
+
+
 def sampled_archives(spark, folder):
     """Each archive without a limit, typed without repair."""
     catalog = _catalog(spark, folder)
@@ -103,6 +122,7 @@ QUERIES = {
         "SELECT unnest(string_split(concat_ws('|', doc_id, lang, source, replace(text, '|', '/'), n_chars), chr(10))) AS value FROM documents",
     ),
     "convert_archives": (convert_archives, DOCUMENTS_SQL),
+    "convert_text_files": (convert_text, DOCUMENTS_SQL),
     "conversion_status": (
         conversion_status,
         """SELECT 1 AS run, 'converted' AS status, count(*) AS rows_out, CAST(0 AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS lost_ids FROM documents

@@ -101,6 +101,15 @@ def flush_tail(spark, folder):
     return typed.select("status", "doc_id", "lang", "source", F.length("text").cast("long").alias("text_length"), "n_chars")
 
 
+def unfit_files(spark, folder):
+    """A file for each language; the one of English has another separator than the schema says."""
+    docs = table(spark, folder, "documents")
+    line = F.when(F.col("lang") == "en", F.translate(document_text(True), "|", "~")).otherwise(document_text(True))
+    rows = docs.select("lang", "doc_id", line.alias("line")).repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    outcome = repair.repair_blocks(pack_blocks(lines_of_rows(rows, F.col("lang"), F.col("line"))), E)
+    return repair.reject_overflow(outcome).select("file", "value", "reason")
+
+
 def separators(spark, folder):
     lines = document_lines(spark, folder)
     return lines.select(
@@ -191,6 +200,12 @@ QUERIES = {
         CASE WHEN doc_id = last_id THEN NULL ELSE CAST(n_chars AS DECIMAL(9,0)) END AS n_chars
         FROM (SELECT *, max(doc_id) OVER (PARTITION BY source) AS last_id FROM documents)""",
     ),
+    "unfit_files": (
+        unfit_files,
+        """SELECT file, value, 'schema does not fit' AS reason FROM (
+        SELECT lang AS file, unnest(string_split(concat_ws('~', doc_id, lang, source, replace(text, '|', '/'), n_chars), chr(10))) AS value
+        FROM documents WHERE lang = 'en') WHERE value <> ''""",
+    ),
     "separator_count": (separators, f"WITH {LINES_SQL} SELECT doc_id, line_no, separators FROM counted"),
     "expected_separators": (
         expected_separators,

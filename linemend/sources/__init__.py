@@ -5,6 +5,7 @@ from .catalog import (
     parse_catalog,
     parse_download_list,
     read_catalog,
+    read_code_sheets,
     read_download_list,
     scan_code_sheet,
     scan_codepage_table,

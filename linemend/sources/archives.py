@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zipfile
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,25 +21,45 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 
 def inflate_archives(
-    archives: DataFrame, limit_bytes: int | None = None, block_bytes: int = BLOCK_BYTES, tasks: int | None = None
+    archives: DataFrame, limit_bytes: int | None = None, block_bytes: int = BLOCK_BYTES, tasks: int | None = None,
+    failures: bool = False, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Blocks of the first member of each zip archive in `(catalog_key, zip_path)` rows.
 
     A deflate stream can only be read from its start, so one task reads one archive. The
     task does nothing else: it cuts the stream at line ends and hands the blocks on.
     `limit_bytes` reads only the head of each member; `tasks` is the number of archives,
-    counted where it is not given.
+    counted where it is not given. With `failures` an archive that cannot be read gives a last,
+    empty block that holds the reason in `error`, and the other archives go on. `carry` names
+    columns of the archives that every block repeats.
     """
+    carried = [f"{name} {archives.schema[name].dataType.simpleString()}" for name in carry]
+    schema = ", ".join([BLOCK_SCHEMA, *carried, *(["error string"] if failures else [])])
 
     def inflate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, path in zip(batch.column("catalog_key").to_pylist(), batch.column("zip_path").to_pylist()):
-                for n, text in enumerate(_member_blocks(path, limit_bytes, block_bytes)):
-                    yield block_batch(key, n // BLOCKS_PER_PART, n, text)
-
-    paths = archives.select("catalog_key", "zip_path")
+            for row, (key, path) in enumerate(zip(batch.column("catalog_key").to_pylist(), batch.column("zip_path").to_pylist())):
+
+                def block(part: int, seq: int, text: bytes, error: str | None = None) -> pa.RecordBatch:
+                    result = block_batch(key, part, seq, text)
+                    for name in carry:
+                        result = result.append_column(name, batch.column(name).slice(row, 1))
+                    return result.append_column("error", pa.array([error], pa.string())) if failures else result
+
+                start = n = part = 0
+                try:
+                    for text in _member_blocks(path, limit_bytes, block_bytes):
+                        part = start if n % BLOCKS_PER_PART == 0 else part
+                        yield block(part, n, text)
+                        start, n = start + len(text), n + 1
+                except (OSError, EOFError, IndexError, zipfile.BadZipFile, zlib.error, NotImplementedError) as error:
+                    if not failures:
+                        raise
+                    yield block(start, n, b"", f"{type(error).__name__}: {error}")
+
+    paths = archives.select("catalog_key", "zip_path", *carry)
     one_per_task = paths.repartitionByRange(tasks or max(paths.count(), 1), "catalog_key")
-    return one_per_task.mapInArrow(inflate, BLOCK_SCHEMA)
+    return one_per_task.mapInArrow(inflate, schema)
 
 
 def _member_blocks(path: str, limit: int | None, block_bytes: int) -> Iterator[bytes]:

@@ -93,6 +93,30 @@ def scan_code_sheet(sheet: DataFrame, n_columns: int = len(SHEET_COLUMNS), na_wo
     )
 
 
+def read_code_sheets(
+    spark: SparkSession, path: str | list[str], header_row: int = 2, n_columns: int = len(SHEET_COLUMNS), sep: str = ","
+) -> DataFrame:
+    """Code sheets exported as CSV, with the file's `path` as last column. Names are in row
+    `header_row` and must be the same in all files; rows above it are dropped; empty cells stay empty.
+
+    Quoted cells may hold line breaks, so one task reads a file. Only the place of each file's first
+    row and its header are looked up beforehand.
+    """
+    raw = spark.read.option("multiLine", True).option("sep", sep).option("escape", '"').schema(
+        ", ".join(f"_c{i} string" for i in range(n_columns))
+    ).csv(path)
+    cells = raw.select(*raw.columns, F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"))
+    starts = cells.groupBy("path").agg(F.min("id").alias("start"))
+    rows = cells.join(starts, "path").withColumn("row", F.col("id") - F.col("start") + 1)
+    headers = {tuple(row) for row in rows.filter(F.col("row") == header_row).select(*raw.columns).distinct().collect()}
+    if len(headers) != 1:
+        raise ValueError(f"{len(headers)} different headers in row {header_row} of {path}")
+    names = dict(zip(raw.columns, headers.pop()))
+    body = rows.filter(F.col("row") > header_row)
+    sheet = body.select(*(F.coalesce(F.col(c), F.lit("")).alias(name or c) for c, name in names.items()), "path")
+    return scan_code_sheet(sheet, n_columns + 1)
+
+
 def expected_values(spark: SparkSession, values: dict[str, int]) -> DataFrame:
     return spark.createDataFrame(list(values.items()), "category string, expected long")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from linemend.operators.registry import ColumnSpec, build_registry, dataset_columns
 from linemend.plans.catalog import build_catalog
-from linemend.plans.convert import analyze_head, convert_catalog
+from linemend.plans.convert import analyze_head, convert_catalog, convert_text_files
+from linemend.plans.regions import write_legal_districts, write_statistical_districts
 from linemend.sinks import finished, read_csv_bom, write_catalog, write_csv_bom, write_dataset, write_download_list, write_schema_descriptors
 from linemend.sources import read_catalog, read_download_list, scan_schema_descriptors
 
@@ -81,6 +82,27 @@ def test_head_smaller_than_the_archive_ends_with_a_whole_line(spark, tmp_path):
     assert [int(r["id"]) for r in analyze_head(archives, columns, limit).collect()] == list(range(50))
 
 
+def test_files_are_routed_by_their_lines(spark, tmp_path):
+    columns = (ColumnSpec("id", 9), ColumnSpec("name"), ColumnSpec("n", 9))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "clean.txt").write_bytes(b"1|a|1\r\n2||2\r\n")
+    (tmp_path / "in" / "broken.txt").write_bytes(b"3|a\nb|3\n4|x|4\n5|y|5|6\n")
+    out = str(tmp_path / "out")
+    counts = convert_text_files(spark, str(tmp_path / "in"), columns, out, "k")
+    assert (counts["rows_in"], counts["rows_out"], counts["rejected"], counts["clean_files"]) == (5, 4, 1, 1)
+    assert [name.rsplit("/", 1)[1] for name in counts["first_line_separators"]] == ["broken.txt"]
+    assert sorted(map(tuple, spark.read.parquet(f"{out}/k").collect())) == [(1, "a", 1), (2, None, 2), (3, "a b", 3), (4, "x", 4)]
+
+
+def test_dataset_with_a_schema_that_does_not_fit(spark, tmp_path):
+    columns = (ColumnSpec("id", 9), ColumnSpec("name"), ColumnSpec("n", 9))
+    (tmp_path / "a.txt").write_text("1;a;1\n2;b;2\n")
+    with pytest.raises(ValueError, match="schema does not fit"):
+        convert_text_files(spark, str(tmp_path / "a.txt"), columns, str(tmp_path / "out"), "k")
+    assert not finished(spark, str(tmp_path / "out" / "k"))
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out" / "_rejects" / "k")).collect()) == ["1;a;1", "2;b;2"]
+
+
 def test_finished_data_always_has_its_rejects(spark, dump):
     catalog, _ = build_catalog(spark, str(dump / "original"), str(dump / "schema"), "2025", "12")
     registry = build_registry(scan_schema_descriptors(spark, str(dump / "schema")))
@@ -104,6 +126,32 @@ def test_unfinished_output_is_replaced_and_finished_is_not(spark, tmp_path):
         write_dataset(spark.range(3), str(tmp_path), "k")
 
 
+def test_code_list_to_tables(spark, tmp_path):
+    text = "법정동코드\t법정동명\t폐지여부\n1100000000\t서울특별시\t존재\n1111000000\t서울특별시 종로구\t존재\n1111010100\t서울특별시 종로구 청운동\t존재\n"
+    (tmp_path / "codes.txt").write_bytes(text.encode("cp949"))
+    write_legal_districts(spark, str(tmp_path / "codes.txt"), str(tmp_path / "out"))
+    read = {name: sorted(map(tuple, read_csv_bom(spark, str(tmp_path / "out" / name)).collect())) for name in ("code_bjd", "code_sgg", "code_sido")}
+    assert len(read["code_bjd"]) == 3
+    assert read["code_sgg"] == [("11000", "서울특별시", "존재"), ("11110", "서울특별시 종로구", "존재")]
+    assert read["code_sido"] == [("11", "서울특별시", "존재")]
+
+
+def test_dated_sheets_to_tables(spark, tmp_path):
+    header = '시도,"행정구역\n분류",행정구역분류,법정동코드\n'
+    rows = "서울,,11,1100000000\n종로,N/A,11010,1111000000\n청운,,1101053,1111051500\n"
+    (tmp_path / "in").mkdir()
+    for date in ("2025.12.31.", "2026. 2. 1."):
+        (tmp_path / "in" / f"분류_{date}기준_1.csv").write_text("title,,,\n" + header + rows, "utf-8")
+    (tmp_path / "in" / "other.csv").write_text("x\n", "utf-8")
+    skipped = write_statistical_districts(spark, str(tmp_path / "in"), str(tmp_path / "out"), n_columns=4)
+    assert [r["name"] for r in skipped.collect()] == ["other.csv"]
+    provinces = read_csv_bom(spark, str(tmp_path / "out" / "code_kcad_sido"))
+    assert provinces.columns == ["시도코드", "시도", "행정구역 분류", "행정구역분류", "법정동코드", "edition_date"]
+    assert sorted((r["시도코드"], str(r["edition_date"])) for r in provinces.collect()) == [("11", "20251231"), ("11", "20260201")]
+    districts = read_csv_bom(spark, str(tmp_path / "out" / "code_kcad_sgg")).collect()
+    assert [(r["시군구코드"], r["시도"], r["행정구역 분류"]) for r in districts] == [("11110", "종로", None)] * 2
+
+
 def test_csv_has_a_mark_in_every_file(spark, tmp_path):
     rows = spark.range(0, 10, numPartitions=2).select(F.lit("가").alias("name"), F.format_string("%02d", "id").alias("코드"))
     write_csv_bom(rows, str(tmp_path / "c"), "코드")
