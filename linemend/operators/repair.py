@@ -187,7 +187,7 @@ _MAPPED = f"""named_struct(
 _BEGIN = f"named_struct('entry', 0, 'open_part', {NO_BLOCK}L, 'open_seq', {NO_BLOCK}L)"
 
 # Splits are byte offsets (64 GB of text make a range), or begin with a task number above bit 40
-# (1024 tasks make a range of ranges).
+# (1024 tasks make a range of ranges). Those of an archive, which one task inflates, are counted.
 RANGE_BITS = (36, 14)
 
 

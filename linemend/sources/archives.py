@@ -46,16 +46,15 @@ def inflate_archives(
                         result = result.append_column(name, batch.column(name).slice(row, 1))
                     return result.append_column("error", pa.array([error], pa.string())) if failures else result
 
-                start = n = part = 0
+                n = 0
                 try:
                     for text in _member_blocks(path, limit_bytes, block_bytes):
-                        part = start if n % BLOCKS_PER_PART == 0 else part
-                        yield block(part, n, text)
-                        start, n = start + len(text), n + 1
+                        yield block(n // BLOCKS_PER_PART, n, text)
+                        n += 1
                 except (OSError, EOFError, IndexError, zipfile.BadZipFile, zlib.error, NotImplementedError) as error:
                     if not failures:
                         raise
-                    yield block(start, n, b"", f"{type(error).__name__}: {error}")
+                    yield block(n // BLOCKS_PER_PART, n, b"", f"{type(error).__name__}: {error}")
 
     paths = archives.select("catalog_key", "zip_path", *carry)
     one_per_task = paths.repartitionByRange(tasks or max(paths.count(), 1), "catalog_key")
