@@ -1,14 +1,19 @@
 """N-gram Jaccard join with signature trees.
 
-A document's set holds its distinct 3-word shingles. Two sets link when their Jaccard similarity
-is at least 90 of 100.
+A document's set holds its distinct shingles of some words. Two sets link when their Jaccard
+similarity reaches a threshold. Both are parameters (`Rule`), and all bounds below follow from them;
+the numbers in the text are those of 3 words and 0.9, the defaults.
 
 1. Equal sets are one class, known by its fingerprint, however many documents share it.
 2. Segments. With sets of sizes a and b, at most (a + b) / 19 shingles differ between linked ones.
    The hash range is cut into one segment more than that, so linked sets agree in a whole segment.
    Sizes fall into bands, and a set is cut by its own band and by those below it from which a
-   smaller partner may come. A segment of fewer than two shingles tells nothing, so a set that has
-   such a segment is cut again by another hash, up to `CUTS` times, the last time with all segments.
+   smaller partner may come. A segment of fewer than two shingles tells nothing. A set with more
+   telling segments than shingles can differ agrees in one of those; any other is cut again by
+   another hash, up to `CUTS` times. Those left then tell their prefix: in one order of all
+   shingles, linked sets of a and b share one among the first a - t a + 1 and b - t b + 1.
+   Where segments would hold fewer than `LEAST_SEGMENT` shingles (thresholds below about 0.86), too
+   few would tell; there more are cut, of `CUT_SIZE` shingles, about as many telling ones as can be.
    Chunks send their segment hashes to shards and learn which ones other classes hold.
 3. Only classes that share a segment go on, with their sets. Classes around a segment form
    clusters. A cluster of up to `BLOCK` classes is one tree, larger ones are dealt into blocks by
@@ -29,6 +34,8 @@ Words are hashed to 64 bits, shingles likewise.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +44,9 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 from . import graph, shards, text
 
-SHINGLE = 3
 CUTS = 6
+LEAST_SEGMENT = 6
+CUT_SIZE = 2.5
 BLOCK = 1024
 #: Classes that one task takes of small clusters.
 GROUP = 2048
@@ -62,24 +70,54 @@ def _bands(most: int = 1 << 40) -> np.ndarray:
 
 BANDS = _bands()
 _LARGEST = BANDS[1:] - 1
-#: The largest partner of a set of a band, and the number of segments for it.
-REACH = _LARGEST * 10 // 9
-SEGMENTS = (_LARGEST + REACH) // 19 + 1
+
+
+class Rule(NamedTuple):
+    """Words of a shingle, and the similarity in hundredths from which sets link."""
+
+    shingle: int = 3
+    percent: int = 90
+
+    @property
+    def reach(self) -> np.ndarray:
+        """The largest partner of a set of each band."""
+        return _LARGEST * 100 // self.percent
+
+    @property
+    def segments(self) -> np.ndarray:
+        """Segments for the sets of each band."""
+        least = self.differ(_LARGEST, self.reach) + 1
+        return np.where(least * LEAST_SEGMENT < _LARGEST, least, np.maximum(least, (_LARGEST * 0.9 / CUT_SIZE).astype(np.int64)))
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles that differ between linked sets of a and b, at most."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def sizes_allow(self, high_a, low_a, high_b, low_b):
+        """Whether sets of these ranges of sizes may link; for arrays and for columns."""
+        return (100 * high_a >= self.percent * low_b) & (100 * high_b >= self.percent * low_a)
+
+
+def rule_of(shingle: int, threshold: float) -> Rule:
+    rule = Rule(shingle, round(100 * threshold))
+    if shingle < 1 or not 1 <= rule.percent <= 100 or abs(rule.percent - 100 * threshold) > 1e-9:
+        raise ValueError("shingles have a word at least, and the threshold is in whole hundredths from 0.01 to 1")
+    return rule
 
 
 class _Chunk:
     """Sets of the texts of a chunk: distinct shingles by text, sizes, classes and segment keys."""
 
-    def __init__(self, table: pa.Table, plan: shards.Layout):
+    def __init__(self, table: pa.Table, plan: shards.Layout, rule: Rule):
         self.ids = text.longs(table["id"])
         data, offsets = text.text_bytes(table["text"])
         starts, ends, bounds = text.words(data, offsets)
         h = text.hashes(text.LOWER[data], starts, ends)
-        at = text.gram_starts(bounds, SHINGLE)
+        at = text.gram_starts(bounds, rule.shingle)
         doc = text.owners(bounds)[at]
-        gram = text.grams(h, at, SHINGLE)
-        few = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < SHINGLE))
-        for n in (1, 2):
+        gram = text.grams(h, at, rule.shingle)
+        few = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) < rule.shingle))
+        for n in range(1, rule.shingle):
             only = few[np.diff(bounds)[few] == n]
             doc = np.concatenate((doc, only))
             gram = np.concatenate((gram, text.grams(h, bounds[only], n)))
@@ -92,7 +130,7 @@ class _Chunk:
         total = np.zeros(len(self.ids), np.uint64)
         np.add.at(total, self.doc, text.mix(self.gram ^ np.uint64(0x5851F42D4C957F2D)))
         self.cls = text.mix(total + self.size.astype(np.uint64))
-        self.key_doc, key = self._keys()
+        self.key_doc, key = self._keys(rule)
         self.key64 = key
         self.key = key >> np.uint64(32 - plan.shard_bits)
         self.order = np.argsort(self.key, kind="stable")
@@ -102,25 +140,37 @@ class _Chunk:
         self.of = np.empty(len(ordered), np.int64)
         self.of[self.order] = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(ordered))))
 
-    def _keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) of every segment that is told."""
+    def _prefixes(self, rule: Rule, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key) of the first shingles of some sets, in an order by hash."""
+        mine = np.flatnonzero(np.isin(self.doc, who))
+        order = mine[np.lexsort((text.mix(self.gram[mine] ^ np.uint64(0xE7037ED1A0B428DB)), self.doc[mine]))]
+        size = self.size[who]
+        n = size - -(-rule.percent * size // 100) + 1
+        first = order[np.arange(int(n.sum())) + np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n)]
+        return self.doc[first], text.mix(self.gram[first] ^ np.uint64(0xA0761D6478BD642F))
+
+    def _keys(self, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """(text, key) of every segment that is told, and of prefixes."""
+        most, segments = rule.reach, rule.segments
         docs, keys = [], []
         filled = np.flatnonzero(self.size > 0)
         own = np.searchsorted(BANDS, self.size[filled], "right") - 1
         todo, band = [filled], [own]
         below = own - 1
         while True:
-            reach = (below >= 0) & (self.size[filled] <= REACH[np.maximum(below, 0)])
+            reach = (below >= 0) & (self.size[filled] <= most[np.maximum(below, 0)])
             if not reach.any():
                 break
             todo.append(filled[reach])
             band.append(below[reach])
             below = below - 1
         who, band = np.concatenate(todo), np.concatenate(band)
+        # The partner is at least as large in the set's own band, and no larger than the band in those below.
+        partner = np.where(self.size[who] <= _LARGEST[band], self.size[who] * 100 // rule.percent, _LARGEST[band])
         for cut in range(CUTS):
             if not len(who):
                 break
-            n = SEGMENTS[band]
+            n = segments[band]
             at = np.cumsum(n) - n
             size = self.size[who]
             token = np.arange(int(size.sum())) + np.repeat(self.bounds[who] - (np.cumsum(size) - size), size)
@@ -131,19 +181,22 @@ class _Chunk:
             np.add.at(total, slot, text.mix(salted))
             owner = np.repeat(np.arange(len(who)), n)
             weak = (count < 2) & (n[owner] > 1)
-            tell = np.ones(len(count), bool) if cut == CUTS - 1 else ~weak
+            tell = ~weak
             place = (band[owner].astype(np.uint64) << np.uint64(40)) + (np.arange(len(count)) - at[owner]).astype(np.uint64)
             key = text.mix(total + text.mix(place * np.uint64(CUTS) + np.uint64(cut)) + count.astype(np.uint64))
             docs.append(who[owner[tell]])
             keys.append(key[tell])
-            again = np.unique(owner[weak])
-            who, band = who[again], band[again]
+            again = np.bincount(owner[tell], minlength=len(who)) <= rule.differ(size, partner)
+            who, band, partner = who[again], band[again], partner[again]
+        doc, key = self._prefixes(rule, np.unique(who))
+        docs.append(doc)
+        keys.append(key)
         return np.concatenate(docs), np.concatenate(keys)
 
 
-def _probe(plan: shards.Layout, table: pa.Table) -> pa.Table:
+def _probe(plan: shards.Layout, rule: Rule, table: pa.Table) -> pa.Table:
     """A row per shard: distinct segment keys, with the least and the greatest class hash around each."""
-    c = _Chunk(table, plan)
+    c = _Chunk(table, plan, rule)
     cls = (c.cls >> np.uint64(32)).astype("<u4")[c.key_doc][c.order]
     low = np.minimum.reduceat(cls, c.first) if len(c.first) else cls
     high = np.maximum.reduceat(cls, c.first) if len(c.first) else cls
@@ -169,9 +222,9 @@ def _shared(table: pa.Table) -> pa.Table:
     return shards.answer(list(zip(text.longs(table["chunk"]).tolist(), n, strict=True)), 0, out, table["shard"][0].as_py())
 
 
-def _records(plan: shards.Layout, left: pa.Table, right: pa.Table) -> pa.Table:
+def _records(plan: shards.Layout, rule: Rule, left: pa.Table, right: pa.Table) -> pa.Table:
     """A row per document; those that share a segment bring the shared keys and their set."""
-    c = _Chunk(left, plan)
+    c = _Chunk(left, plan, rule)
     shared = shards.flags(plan, c.keys, 32 + plan.shard_bits, right.to_pylist(), 0)[c.of]
     doc, key = c.key_doc[shared], c.key64[shared]
     order = np.argsort(doc, kind="stable")
@@ -212,29 +265,29 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(extra, at)))
 
 
-def _possible(one: Tree, two: Tree, level_one: int, level_two: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _possible(rule: Rule, one: Tree, two: Tree, level_one: int, level_two: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which pairs of nodes may hold a link."""
     maps_a, low_a, high_a, extra_a = one.levels[level_one]
     maps_b, low_b, high_b, extra_b = two.levels[level_two]
-    out = np.flatnonzero((100 * high_a[a] >= 90 * low_b[b]) & (100 * high_b[b] >= 90 * low_a[a]))
+    out = np.flatnonzero(rule.sizes_allow(high_a[a], low_a[a], high_b[b], low_b[b]))
     keep = np.zeros(len(a), bool)
     for at in range(0, len(out), 8192):
         part = out[at : at + 8192]
         x, y = a[part], b[part]
         bits = np.bitwise_count(maps_a[x] & maps_b[y]).sum(axis=1).astype(np.int64)
         most = np.minimum(bits + np.minimum(extra_a[x], extra_b[y]), np.minimum(high_a[x], high_b[y]))
-        keep[part] = 19 * most >= 9 * (low_a[x] + low_b[y])
+        keep[part] = (100 + rule.percent) * most >= rule.percent * (low_a[x] + low_b[y])
     return keep
 
 
-def candidates(one: Tree, two: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
+def candidates(rule: Rule, one: Tree, two: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets that the walk of two trees, or of one with itself, can't rule out."""
     self_join = two is None
     two = one if two is None else two
     la, lb = len(one.levels) - 1, len(two.levels) - 1
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        keep = _possible(one, two, la, lb, a, b)
+        keep = _possible(rule, one, two, la, lb, a, b)
         a, b = a[keep], b[keep]
         if la == 0 and lb == 0:
             break
@@ -260,11 +313,11 @@ def _children(parent: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray
     return child[real], np.repeat(other, FAN_OUT)[real]
 
 
-def linked(one: list[np.ndarray], two: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked(rule: Rule, one: list[np.ndarray], two: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (index, index) of linked sets: candidates of the trees, compared exactly."""
     if not one or (two is not None and not two):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = candidates(Tree(one), Tree(two) if two is not None else None)
+    a, b = candidates(rule, Tree(one), Tree(two) if two is not None else None)
     right = one if two is None else two
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
@@ -285,7 +338,7 @@ def linked(one: list[np.ndarray], two: list[np.ndarray] | None = None) -> tuple[
             sums = np.concatenate(([0], np.cumsum(flags[np.concatenate([code_b[i] for i in others])])))
             ends = np.cumsum(size)
             common = sums[ends] - sums[ends - size]
-            keep[part : part + len(others)] = 100 * common >= 90 * (len(mine) + size - common)
+            keep[part : part + len(others)] = 100 * common >= rule.percent * (len(mine) + size - common)
         flags[mine] = 0
     return a[keep], b[keep]
 
@@ -309,7 +362,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def _compare(rule: Rule, table: pa.Table) -> pa.Table:
     """Links among the sets of a group: clusters and pairs of blocks one by one."""
     pairs = np.array(text.array_of(table["pair"]).to_pylist(), object)
     side = text.longs(table["side"])
@@ -321,10 +374,10 @@ def _compare(table: pa.Table) -> pa.Table:
     for members in np.split(order, np.cumsum(np.bincount(of, minlength=len(names)))[:-1]):
         left, right = members[side[members] == 0], members[side[members] == 1]
         if len(right):
-            i, j = linked([tokens[m] for m in left], [tokens[m] for m in right])
+            i, j = linked(rule, [tokens[m] for m in left], [tokens[m] for m in right])
             i, j = left[i], right[j]
         else:
-            i, j = linked([tokens[m] for m in left])
+            i, j = linked(rule, [tokens[m] for m in left])
             i, j = left[i], left[j]
         links = np.zeros(len(cls), np.int64)
         np.add.at(links, i, copies[j])
@@ -334,7 +387,7 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(("a", "b", "links"))})
 
 
-def _blocks(classes: DataFrame) -> DataFrame:
+def _blocks(classes: DataFrame, rule: Rule) -> DataFrame:
     """(grp, pair, side, class, copies, tokens): what is compared with what, dealt into groups of like size."""
     counts = classes.groupBy("cluster").agg(F.count("*").alias("n_cluster")).filter(F.col("n_cluster") > BLOCK)
     if counts.count() <= BROADCAST_ROWS:
@@ -358,7 +411,7 @@ def _blocks(classes: DataFrame) -> DataFrame:
     nodes = dealt.groupBy("cluster", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     other = nodes.select("cluster", F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     # Blocks, not documents: pairs of nodes whose sizes allow a link.
-    near = (F.col("block") <= F.col("block2")) & (100 * F.col("high") >= 90 * F.col("low2")) & (100 * F.col("high2") >= 90 * F.col("low"))
+    near = (F.col("block") <= F.col("block2")) & rule.sizes_allow(*map(F.col, ("high", "low", "high2", "low2")))
     pairs = nodes.join(other, "cluster").filter(near).withColumn("pair", F.concat_ws("|", "block", "block2"))
     sides = pairs.select("pair", "block", F.lit(0).alias("side")).unionByName(
         pairs.filter("block <> block2").select("pair", F.col("block2").alias("block"), F.lit(1).alias("side"))
@@ -367,20 +420,23 @@ def _blocks(classes: DataFrame) -> DataFrame:
     return whole.unionByName(crossed)
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: float = 0.9) -> DataFrame:
     """(id, text_hash, n_shingles, class, copies, n_links, component_id, root), one row for each row of the input.
 
     `text_hash` is xxhash64 of the text, `class` names equal sets, `root` the class that names a component, `copies` counts their documents, `n_links` all documents that this
-    one links with, copies included; `component_id` is the least id reachable by links.
+    one links with, copies included; `component_id` is the least id reachable by links. `threshold` is in whole hundredths.
     """
-    spark = docs.sparkSession
+    spark, rule = docs.sparkSession, rule_of(shingle, threshold)
     plan = shards.layout(docs, text_col)
 
     def probe(table: pa.Table) -> pa.Table:
-        return _probe(plan, table)
+        return _probe(plan, rule, table)
 
     def record(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _records(plan, left, right)
+        return _records(plan, rule, left, right)
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _compare(rule, table)
 
     chunks = shards.chunked(docs, plan, id_col, text_col, F.xxhash64(F.col(text_col)))
     told = chunks.groupBy("chunk").applyInArrow(probe, PROBES).groupBy("shard").applyInArrow(_shared, shards.BITS)
@@ -400,7 +456,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members.write.parquet(path)
 
     path_found = work_dir(spark, "links")
-    _blocks(spark.read.parquet(path)).groupBy("grp").applyInArrow(_compare, FOUND).write.parquet(path_found)
+    _blocks(spark.read.parquet(path), rule).groupBy("grp").applyInArrow(compare, FOUND).write.parquet(path_found)
     found = spark.read.parquet(path_found)
     joined = graph.components(found.filter("b is not null").select("a", "b"))
     degrees = found.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
@@ -420,14 +476,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: float = 0.9) -> DataFrame:
     """The rows of `docs`, all columns, of the document with the least id of each component.
 
     Documents without words stay. Rows that repeat both id and text are one document and stay
     together; of several texts under the least id one stays.
     """
     last = F.lit(2**63 - 1)
-    found = link(docs, id_col, text_col)
+    found = link(docs, id_col, text_col, shingle, threshold)
     key = F.struct(F.coalesce("id", last).alias("_id"), F.col("text_hash").alias("_hash"))
     heads = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("k")).select("k._id", "k._hash")
     kept = heads.unionByName(found.filter("root is null").select(key.alias("k")).select("k._id", "k._hash"))

@@ -78,7 +78,7 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    out = jaccard.link(_read(spark, folder, "documents"))
+    out = jaccard.link(_read(spark, folder, "documents"), shingle=3, threshold=0.9)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links", "copies")
 
 

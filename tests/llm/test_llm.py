@@ -339,6 +339,56 @@ def test_near_copies_of_all_degrees(spark, monkeypatch):
     assert got == _links(rows)
 
 
+def _links_at(rows, shingle, percent):
+    """As `_links`, for shingles of some words and a threshold in hundredths."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} - {()})
+    pairs = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= percent * len(a | b)]
+    least, degree = list(range(len(rows))), Counter(x for pair in pairs for x in pair)
+    for _ in rows:
+        before = list(least)
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            break
+    return Counter((rows[i][0], len(sets[i]), rows[least[i]][0], degree[i]) for i in range(len(rows)))
+
+
+def _near_copies(n_texts=12, seed=7):
+    """Texts of all lengths with copies that are cut off, longer, or replaced in one piece or here and there."""
+    random, rows = np.random.default_rng(seed), []
+    for length in (3, 5, 7, 12, 30, 60, 110, 200, 400, 900)[:n_texts]:
+        base = [f"w{x}" for x in random.integers(0, 3000, length)]
+        rows += [base, list(base)]
+        for share in (0.02, 0.05, 1 / 12, 1 / 8, 0.19, 0.21, 0.3):
+            n = max(1, int(length * share))
+            at = int(random.integers(0, length - n + 1))
+            some = set(random.integers(0, length, max(1, n // 5)).tolist())
+            rows += [base + [f"x{i}" for i in range(n)], base[:-n] or ["y"], base[:at] + [f"z{i}" for i in range(n)] + base[at + n :]]
+            rows.append([f"v{i}" if i in some else w for i, w in enumerate(base)])
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("shingle", "threshold"), [(5, 0.8), (1, 0.5), (3, 1.0)])
+def test_jaccard_at_other_thresholds(spark, monkeypatch, shingle, threshold):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = _near_copies()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.link(frame, shingle=shingle, threshold=threshold).collect()
+    assert Counter((r.id, r.n_shingles, r.component_id, r.n_links) for r in found) == _links_at(rows, shingle, round(100 * threshold))
+    with pytest.raises(ValueError):
+        jaccard.link(frame, threshold=0.805)
+
+
+def test_pipeline_stage_links_from_five_words_and_four_fifths(spark):
+    rows = _near_copies(seed=8)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, frame, FOLDER).collect()}
+    assert kept == {least for _, _, least, _ in _links_at(rows, 5, 80)} != {least for _, _, least, _ in _links_at(rows, 3, 90)}
+
+
 def test_many_chunks_and_shards(spark, docs, monkeypatch):
     monkeypatch.setattr(shards, "CHUNK_BYTES", 60_000)
     monkeypatch.setattr(shards, "SHARD_BYTES", 80_000)
