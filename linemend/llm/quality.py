@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs follow the data.
 
 Per language and source, a mergeable quantile sketch of each measure is built over all documents.
-A cutoff lies beyond the upper (or lower) quartile by a multiple of the spread of the middle half,
-and never inside a floor that text of any kind keeps to. Groups of few documents take the merged
-sketch of their language, then that of all documents. The cutoffs, a few rows, are joined to the
-documents by language and source, and what lies beyond any of them goes.
+A cutoff lies beyond the upper (or lower) quartile by a multiple of the spread of the middle half.
+Where that is next to nothing, the spread is what one occurrence makes in the group's median
+document, so the cutoff follows its length. Groups of few documents take the merged sketch of their
+language, then that of all documents, and no group's cutoff is looser than the one it would take so:
+a source of junk can't raise its own. The cutoffs, a few rows, are joined to the documents by
+language and source, and what lies beyond any of them goes.
 
 Nulls: a null text has no words and fails the base rules; a null language or source is a group of
 its own. Repeated rows are rows of their own.
@@ -28,14 +30,16 @@ REPEAT_WORDS = 8
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
-#: Measure, how it is taken, which side is bad, and the floor within which no cutoff may lie.
-MEASURES: dict[str, tuple[str, str, float]] = {
-    "symbols_per_word": ("n_symbols / n_words", "high", 0.25),
-    "dup_line_share": ("n_dup_lines / n_lines", "high", 0.5),
-    "repeat_share": ("n_repeat_words / n_words", "high", 0.2),
-    "mean_word_long": ("word_chars / n_words", "high", 12.0),
-    "mean_word_short": ("word_chars / n_words", "low", 2.5),
+#: Measure, how it is taken, which side is bad, and what one occurrence adds to the count above the
+#: stroke: a symbol, a line, the words of the shortest repeat and what it repeats, a letter.
+MEASURES: dict[str, tuple[str, str, int]] = {
+    "symbols_per_word": ("n_symbols / n_words", "high", 1),
+    "dup_line_share": ("n_dup_lines / n_lines", "high", 1),
+    "repeat_share": ("n_repeat_words / n_words", "high", 2 * REPEAT_WORDS),
+    "mean_word_long": ("word_chars / n_words", "high", 1),
+    "mean_word_short": ("word_chars / n_words", "low", 1),
 }
+SIZES = ("n_words", "n_lines")
 MIN_GROUP = 200
 SPREADS = 3.0
 
@@ -110,19 +114,20 @@ def cutoffs(rows: DataFrame) -> DataFrame:
     """(lang, source, one cutoff for each measure): sketches per group, merged where a group is small."""
     spark = rows.sparkSession
     path = work_dir(spark, "sketches")
-    measures = {m: _measure(m) for m in MEASURES}
+    measures = {m: _measure(m) for m in MEASURES} | {c: F.col(c).cast("double") for c in SIZES}
     rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(m) for m, c in measures.items())).write.parquet(path)
     sketches = spark.read.parquet(path)
 
     def merged(*by: str) -> DataFrame:
-        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES))
+        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in measures))
 
     def limits(frame: DataFrame, *by: str) -> DataFrame:
         out = []
-        for name, (_, side, floor) in MEASURES.items():
+        for name, (formula, side, one) in MEASURES.items():
             low, high = (F.kll_sketch_get_quantile_double(F.col(name), F.lit(q)) for q in (0.25, 0.75))
-            limit = F.greatest(high + SPREADS * (high - low), F.lit(floor)) if side == "high" else F.least(low - SPREADS * (high - low), F.lit(floor))
-            out.append(limit.alias(name))
+            size = F.kll_sketch_get_quantile_double(F.col(formula.split(" / ")[1]), F.lit(0.5))
+            beyond = SPREADS * F.greatest(high - low, one / F.greatest(size, F.lit(1.0)))
+            out.append((high + beyond if side == "high" else low - beyond).alias(name))
         return frame.select(*by, F.col("n"), F.struct(*out).alias("limits"))
 
     own = limits(sketches, "lang", "source").alias("own")
@@ -130,8 +135,12 @@ def cutoffs(rows: DataFrame) -> DataFrame:
     joined = own.join(language, F.col("own.lang").eqNullSafe(F.col("language.lang")), "left")
     # One row of numbers; none where there are no documents.
     every = limits(merged().filter("n > 0")).first()
-    overall = F.struct(*(F.lit(every["limits"][m] if every else floor).cast("double").alias(m) for m, (_, _, floor) in MEASURES.items()))
-    chosen = F.when(F.col("own.n") >= MIN_GROUP, F.col("own.limits")).when(F.col("language.n") >= MIN_GROUP, F.col("language.limits")).otherwise(overall)
+    overall = F.struct(*(F.lit(every["limits"][m] if every else None).cast("double").alias(m) for m in MEASURES))
+    wider = F.when(F.col("language.n") >= MIN_GROUP, F.col("language.limits")).otherwise(overall)
+    stricter = F.struct(
+        *((F.least if side == "high" else F.greatest)(F.col(f"own.limits.{m}"), wider[m]).alias(m) for m, (_, side, _) in MEASURES.items())
+    )
+    chosen = F.when(F.col("own.n") >= MIN_GROUP, stricter).otherwise(wider)
     return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), chosen.alias("limits"))
 
 

@@ -137,6 +137,28 @@ def test_quality_of_odd_input(odd, empty):
     assert quality.judge(quality.measured(named.limit(0), "text", keys)).collect() == []
 
 
+def test_quality_cutoffs_follow_the_data(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measured(docs, "text", {c: F.col(c) for c in ("lang", "source")}).cache()
+    found = [r.limits for r in quality.cutoffs(rows).collect()]
+    for name, old in zip(quality.MEASURES, (0.25, 0.5, 0.2, 12.0, 2.5), strict=True):
+        got = {r[name] for r in found}
+        assert got != {old} or name == "dup_line_share"
+        assert all(r > 0 for r in got)
+    assert len({r["mean_word_long"] for r in found}) > 1
+
+
+def test_quality_cutoffs_of_unlike_groups(spark):
+    """Sources of long, short and junk documents: cutoffs follow the length, and junk gets none of its own."""
+    plain, junk = "some words of plain text", "# $ % some words"
+    rows = [(f"{i}{s}", "en", s, f"{plain} {i} " * n) for s, n in (("short", 5), ("long", 60)) for i in range(400)]
+    rows += [(f"{i}junk", "en", "junk", f"{junk} {i} " * 9) for i in range(210)]
+    frame = spark.createDataFrame(rows, "doc_id string, lang string, source string, text string")
+    found = {r.source: r.limits for r in quality.cutoffs(quality.measured(frame, "text", {c: F.col(c) for c in ("lang", "source")})).collect()}
+    assert 0 < found["long"].symbols_per_word < found["short"].symbols_per_word < 0.25
+    assert found["junk"].symbols_per_word < 0.4
+
+
 def test_url_parts_and_rules(spark):
     rows = [
         ("HTTP://A.Example.NET/en/x?q=/de/", "a.example.net", "/en/x", "example.net/en/", "allow"),
