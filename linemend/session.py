@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,7 +25,23 @@ def get_session(app: str = "linemend", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, which know the driver's import path only where they share it."""
+    context = spark.sparkContext
+    if getattr(context, "_linemend_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="linemend-package-")) / "linemend.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._linemend_shipped = True
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
