@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, language, lines, packing, quality, quotes, substrings, toxicity, urls
+from . import align, decontaminate, jaccard, language, lines, packing, quality, quotes, resample, segments, substrings, toxicity, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,11 +21,11 @@ def remainder(divisor: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def tokenizer_path() -> str:
-    """Where this machine keeps the public tokenizer of the packing query; the file stays there."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where this machine keeps a public tokenizer, by default that of the packing query; the file stays there."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,6 +82,21 @@ def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links", "copies")
 
 
+def op11_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.top_k(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    out = resample.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    out = align.compare(_read(spark, folder, "documents"), *paths)
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 LINE_SQL = r"""
 WITH lines AS (
     SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
@@ -113,6 +128,56 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN told USING (doc_id)
 """
 
+TOP_K_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+#: A word's CRC-32 is folded over its bytes, bit by bit.
+RESAMPLE_SQL = r"""
+WITH texts AS (
+    SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark),
+words AS (
+    SELECT side, row, unnest(list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS word FROM texts),
+spelled AS (SELECT word, hex(encode(word)) AS digits FROM (SELECT DISTINCT word FROM words)),
+hashed AS (
+    SELECT word, xor(list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(range(0, len(digits) // 2), lambda i: CAST('0x' || substr(digits, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+        lambda crc, byte: list_reduce(
+            list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT) % 10000 AS bucket
+    FROM spelled),
+counts AS (
+    SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+    FROM words JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT sum(s) AS total_s, sum(t) AS total_t FROM counts),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(total_s + 10000 AS DOUBLE)
+        / (CAST(s + 1 AS DOUBLE) * CAST(total_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+    FROM counts, totals),
+weights AS (
+    SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight
+    FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row),
+scored AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+        (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM texts LEFT JOIN weights USING (row) WHERE side = 'd'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+    CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank
+FROM ranked
+"""
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, None),
     "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
@@ -124,4 +189,7 @@ QUERIES = {
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, None),
     "op9_language_id": (op9_language_id, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, None),
+    "op11_exact_top_k": (op11_exact_top_k, TOP_K_SQL),
+    "op12_importance_resampling": (op12_importance_resampling, RESAMPLE_SQL),
+    "op13_cross_tokenizer_alignment": (op13_cross_tokenizer_alignment, None),
 }
