@@ -43,6 +43,10 @@ CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 SPACE_SIGN = "▁"
 #: Runs that the compiled cutter would track back through; the tokenizer's own cutter takes them.
 LONG_RUN = re.compile(r"\s{5000}")
+#: Text bytes worked on at once (some 60 bytes of numbers for each), strings joined at once.
+SLICE_BYTES = 1 << 20
+JOINED = 1 << 16
+NONE = np.zeros(0, np.int32)
 
 
 @dataclass(frozen=True)
@@ -60,10 +64,15 @@ class Pieces:
 
     def joined(self, numbers: np.ndarray) -> np.ndarray:
         """The strings of the numbers, one after the other."""
-        size = self.size[numbers]
-        place = np.cumsum(size)
-        total = int(place[-1]) if len(place) else 0
-        return self.data[np.arange(total) + np.repeat(self.first[numbers] - (place - size), size)]
+        out, to = np.empty(int(self.size[numbers].sum()), np.uint8), 0
+        for at in range(0, len(numbers), JOINED):
+            some = numbers[at : at + JOINED]
+            size = self.size[some]
+            place = np.cumsum(size)
+            n = int(place[-1])
+            out[to : to + n] = self.data[np.arange(n) + np.repeat(self.first[some] - (place - size), size)]
+            to += n
+        return out
 
 
 class ByteLevel:
@@ -92,12 +101,10 @@ class ByteLevel:
         made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
         self.fast = tiktoken.Encoding("bytes", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={}) if made == sorted(made) else None
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return [
-            self.tokenizer.encode(t, add_special_tokens=False).ids if LONG_RUN.search(t) else self.fast.encode_ordinary(t) for t in texts
-        ]
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is None or LONG_RUN.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return self.fast.encode_to_numpy(text).astype(np.int32)
 
 
 class PieceLevel:
@@ -110,8 +117,8 @@ class PieceLevel:
             bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE_SIGN, " ").encode() for i, p in enumerate(pieces)
         ]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int32)
 
 
 @cache
@@ -147,7 +154,7 @@ class Aligned:
         data, offsets = text_bytes(column)
         size = np.diff(offsets)
         texts = [t or "" for t in column.to_pylist()]
-        sides = [a.encode([f" {t}" if t else "" for t in texts]), b.encode(texts)]
+        sides = [[a.encode(f" {t}") if t else NONE for t in texts], [b.encode(t) if t else NONE for t in texts]]
         # What both sides must join to, one space ahead of each text that is not empty.
         want = size + (size > 0)
         ends = np.cumsum(want)
@@ -157,7 +164,7 @@ class Aligned:
         good = size > 0
         for ids, pieces in zip(sides, (bytes_a, bytes_b), strict=True):
             count = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(count.sum()))
+            flat = np.concatenate([NONE, *ids]).astype(np.int64)
             bounds = np.concatenate(([0], np.cumsum(count)))
             length = per_text(pieces.size[flat], bounds)
             same = length == want
@@ -236,7 +243,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             found = Aligned(batch.column("text"), path_a, path_b)
             numbers = found.counts()
             groups = found.groups()
