@@ -1,4 +1,4 @@
-"""Arrow batches of (id, text) cut to a bounded number of text bytes."""
+"""Arrow batches of (id, text) cut to a bounded number of text bytes, sums by text, and names that are free."""
 
 from __future__ import annotations
 
@@ -23,6 +23,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             at = to
 
 
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """The name, or as many strokes ahead of it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of the values of each text, whose n + 1 bounds are given."""
     ahead = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))

@@ -23,14 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import free_name
+
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 2 * BLOCKS - 1
 #: Rows of 16 bytes.
 BROADCAST_ROWS = 1 << 20
-#: Words of a window that are counted in 16 bits; of longer ones every second, third, ... word is.
-LANE_MAX = 32_767
+#: Words of a window that can be counted in 16 bits of signed longs; longer ones are counted in 32.
+LANE_MAX = (1 << 15) - 1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,27 +59,32 @@ def counted(hashes: Column) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of word hashes: 16 longs of four 16-bit counters each, then majorities."""
-    lanes = F.lit(0x0001000100010001)
-    step = F.greatest(F.lit(1), F.ceil(F.size(hashes) / F.lit(float(LANE_MAX))).cast("int"))
-    used = F.when(step == 1, hashes).otherwise(F.filter(hashes, lambda _, i: i % step == 0))
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in range(16)), F.lit(0).alias("n"))
+    """64-bit SimHash of word hashes: 16 longs of four 16-bit counters each, then majorities.
+
+    More words than such a counter holds are counted in 32 longs of two counters of 32 bits.
+    """
+    return F.when(F.size(hashes) <= LANE_MAX, _counted_bits(hashes, 16)).otherwise(_counted_bits(hashes, 32))
+
+
+def _counted_bits(hashes: Column, width: int) -> Column:
+    lanes = F.lit(sum(1 << at for at in range(0, 64, width))).cast("long")
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in range(width)), F.lit(0).cast("long").alias("n"))
     return F.aggregate(
-        used,
+        hashes,
         zero,
         lambda acc, h: F.struct(
-            *((acc[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(16)), (acc["n"] + 1).alias("n")
+            *((acc[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(lanes)).alias(f"c{j}") for j in range(width)), (acc["n"] + 1).alias("n")
         ),
-        _majorities,
+        lambda acc: _majorities(acc, width),
     )
 
 
-def _majorities(acc: Column) -> Column:
+def _majorities(acc: Column, width: int) -> Column:
     out = F.lit(0).cast("long")
-    for j in range(16):
-        for lane in range(4):
-            count = F.shiftrightunsigned(acc[f"c{j}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = j + 16 * lane
+    for j in range(width):
+        for lane in range(64 // width):
+            count = F.shiftrightunsigned(acc[f"c{j}"], width * lane).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            bit = j + width * lane
             value = 1 << bit if bit < 63 else -(1 << 63)
             out = out.bitwiseOR(F.when(count * 2 > acc["n"], F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     return out
@@ -184,6 +191,7 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
     """The rows of `docs`, all columns, that hold no benchmark item."""
-    found = leaks(docs, benchmark, id_col, text_col, **names).select(F.col("id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_leak_id")) & (F.xxhash64(F.col(text_col)) == F.col("_leak_hash"))
+    id_, hash_ = (free_name(n, docs.columns) for n in ("_leak_id", "_leak_hash"))
+    found = leaks(docs, benchmark, id_col, text_col, **names).select(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_))
     return docs.join(found, same, "left_anti")

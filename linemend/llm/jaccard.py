@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_dir
 from . import graph, shards, text
+from .batches import free_name
 
 CUTS = 6
 LEAST_SEGMENT = 6
@@ -484,8 +485,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     last = F.lit(2**63 - 1)
     found = link(docs, id_col, text_col, shingle, threshold)
-    key = F.struct(F.coalesce("id", last).alias("_id"), F.col("text_hash").alias("_hash"))
-    heads = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("k")).select("k._id", "k._hash")
-    kept = heads.unionByName(found.filter("root is null").select(key.alias("k")).select("k._id", "k._hash"))
-    same = (F.coalesce(F.col(id_col).cast("long"), last) == F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash"))
+    id_, hash_ = (free_name(n, docs.columns) for n in ("_id", "_hash"))
+    key = F.struct(F.coalesce("id", last).alias(id_), F.col("text_hash").alias(hash_))
+    heads = found.filter("root is not null").groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    kept = heads.unionByName(found.filter("root is null").select(key.alias("k")).select("k.*"))
+    same = (F.coalesce(F.col(id_col).cast("long"), last) == F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_))
     return docs.join(kept, same, "left_semi")

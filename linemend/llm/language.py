@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from . import text
 
 BITS = 14
-#: Languages the matrix may hold: 16,384 columns of four bytes each are then at most 64 MB.
-MAX_LANGUAGES = 1024
+#: Languages of one broadcast: 16,384 columns of four bytes each are 16 MB.
+BLOCK = 256
+#: Code points that may be letters; there are none behind the ideographs of the third plane.
+POINTS = 0x32400
 UNKNOWN = "und"
 #: What a bucket has seen besides what was counted.
 SMOOTHING = 0.5
@@ -36,8 +38,8 @@ TEMPER = 0.2
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point of the first two planes: letter or not, lower case; digits, marks and blanks become one blank."""
-    n = 1 << 17
+    """By code point: letter or not, lower case; digits, marks and blanks become one blank."""
+    n = POINTS
     letter = np.zeros(n, bool)
     lower = np.full(n, 32, np.uint32)
     for c in range(n):
@@ -133,9 +135,7 @@ def gram_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages in order, log probabilities: one row of buckets for each)."""
-    rows = sorted(gram_counts(train, text_col, lang_col).limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = sorted(gram_counts(train, text_col, lang_col).collect(), key=lambda r: r["lang"])
     seen = np.array([np.frombuffer(r["counts"], "<i8") for r in rows], np.float64).reshape(len(rows), 1 << BITS) + SMOOTHING
     return [r["lang"] for r in rows], np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -146,10 +146,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     names = list(keys)
     source = docs.select(*(c.alias(name) for name, c in keys.items()), F.col(text_col).alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["lang_pred string", "score double"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    langs, matrix = model
+    shared = [docs.sparkSession.sparkContext.broadcast(matrix[at : at + BLOCK]) for at in range(0, len(langs), BLOCK)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, matrix = shared.value
         labels = np.array([*langs, UNKNOWN], object)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -159,12 +159,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 best, top = np.full(n, len(langs)), np.zeros(n)
                 if langs:
                     docs_of, buckets = _buckets(points, bounds)
-                    logs = np.stack([np.bincount(docs_of, row[buckets], n) for row in matrix], axis=1)
-                    size = np.maximum(np.sqrt(np.diff(bounds)), 1.0)[:, None]
-                    z = TEMPER * (logs - logs.max(axis=1, keepdims=True)) / size
-                    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-                    best = np.where(letters > 0, p.argmax(axis=1), len(langs))
-                    top = np.where(letters > 0, p.max(axis=1), 0.0)
+                    size = np.maximum(np.sqrt(np.diff(bounds)), 1.0)
+                    first, most, total = np.zeros(n, np.int64), np.full(n, -np.inf), np.zeros(n)
+                    # Block by block: the best language so far, and the sum of all relative to it.
+                    for i, rows in enumerate(shared):
+                        logs = np.stack([np.bincount(docs_of, row[buckets], n) for row in rows.value], axis=1)
+                        here = logs.max(axis=1)
+                        higher = np.maximum(most, here)
+                        total *= np.where(most > -np.inf, np.exp(TEMPER * (most - higher) / size), 0.0)
+                        total += np.exp(TEMPER * (logs - higher[:, None]) / size[:, None]).sum(axis=1)
+                        first = np.where(here > most, i * BLOCK + logs.argmax(axis=1), first)
+                        most = higher
+                    best = np.where(letters > 0, first, len(langs))
+                    top = np.where(letters > 0, 1 / total, 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(names))] + [pa.array(labels[best].tolist(), pa.string()), pa.array(top, pa.float64())],
                     [*names, "lang_pred", "score"],

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import hashing, shards, text
 
@@ -122,7 +123,7 @@ def _drop(plan: shards.Layout, left: pa.Table, right: pa.Table) -> pa.Table:
     n = np.concatenate(([0], np.cumsum(gone)))
     return pa.table(
         {
-            "id": pa.array(c.ids, pa.int64()),
+            "id": pa.array(c.ids, pa.int64(), mask=c.ids == 2**63 - 1),
             "n_lines": pa.array(np.diff(c.bounds), pa.int64()),
             "n_dropped": pa.array(n[c.bounds[1:]] - n[c.bounds[:-1]], pa.int64()),
             "kept_text": text.strings(data, offsets).cast(pa.string()),
@@ -153,10 +154,11 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chunks = shards.chunked(docs, plan, id_col, text_col, carry)
     probes = chunks.select("chunk", "id", "text").groupBy("chunk").applyInArrow(probe, PROBES)
     told = probes.groupBy("shard").cogroup(line_index(probes).groupBy("shard")).applyInArrow(_look_up, shards.BITS)
-    extra = f", carry {chunks.schema['carry'].dataType.simpleString()}" if carry is not None else ""
-    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        drop, f"id long, n_lines long, n_dropped long, kept_text string{extra}"
-    )
+    # As a type, not as its text: columns that can't be null stay so.
+    schema = StructType.fromDDL("id long, n_lines long, n_dropped long, kept_text string")
+    if carry is not None:
+        schema = schema.add("carry", chunks.schema["carry"].dataType)
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(drop, schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

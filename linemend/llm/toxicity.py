@@ -10,7 +10,7 @@
 3. Classifier. A linear model on the presence of hashed features is trained on the posterior
    labels and scores every whole text.
 
-Only steps 1 and 2 see the sample, `SAMPLE` documents at most, chosen by the hash of their id; the
+Only steps 1 and 2 see the sample, `SAMPLE` documents at most, chosen by the hash of their id, one text for each; the
 model is a table of `2 ** BITS` weights. Scores depend on the text alone.
 
 Nulls: a null or empty text gets the score of a text without any feature; labels that are null
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text
 
@@ -222,11 +223,11 @@ def _held(sample: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE) -> DataFrame:
     """(text, label) of at most `rows` labelled documents, the first by the hash of their id."""
-    chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    # At most `rows` rows of 12 bytes.
-    found = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
-    return found.select(F.col(text_col).alias("text"), F.col("_label").alias("label")).repartition(TASKS)
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
+    chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    # At most `rows` rows of 12 bytes. An id that rows share counts once, with the greatest of their texts.
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label").repartition(TASKS)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> Model:
@@ -256,7 +257,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keys: dict[str,
     keys = keys or {}
     names = list(keys)
     source = docs.select(*(c.alias(name) for name, c in keys.items()), F.col(text_col).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["score double", "predicted int"])
+    schema = StructType(source.schema.fields[:-1]).add("score", "double").add("predicted", "int")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
