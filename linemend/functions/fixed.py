@@ -39,6 +39,15 @@ ADMIN_CITY_PROVINCE = "제주특별자치도"
 EXPECTED_DISTRICTS = {"Autonomous": 226, "Non-autonomous": 41, "Special": 1}
 KNOWN_DISTRICTS = ("강남구", "수원시", "세종특별자치시")
 
+# Patterns of names and types. A number type: precision, and scale where there is one.
+NUMERIC_TYPE = r"NUMERIC\((\d+)(?:,(\d+))?\)"
+# The date of an edition in a file name: year, month, day.
+EDITION_DATE = r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.기준"
+# Date suffixes of dataset names, in the order in which they are dropped.
+DATE_SUFFIXES = (r"\s*\(\d{4}년\s*\d{1,2}월\)$", r"\s*\(\d{4}\.\d{1,2}\)$", r"\s*\(\d{4}\)$")
+# An archive's name: publisher, category, dataset, year and month.
+ARCHIVE_NAME = r"\A{publisher}_(.*?)_(.*?)\+\({year}년\+{month}월\)\.zip"
+
 # Web-page calls that carry download and description arguments.
 DOWNLOAD_CALL = "fnDownloadPop"
 DESCRIBE_CALL = "fnLgcptPop"
@@ -46,4 +55,7 @@ DESCRIBE_CALL = "fnLgcptPop"
 # Candidate encodings of an encoding audit.
 ENCODINGS = ("utf-8", "cp949", "euc-kr", "iso-8859-1")
 
+# The JVM's names of code pages.
+CODE_PAGES = {"cp949": "x-windows-949", "uhc": "x-windows-949", "ms949": "x-windows-949", "euc-kr": "EUC-KR", "euc_kr": "EUC-KR"}
+
 MAX_DECIMAL_PRECISION = 38

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import CATEGORIES, NA_WORDS, PUBLISHER
+from .fixed import ARCHIVE_NAME, CATEGORIES, CODE_PAGES, DATE_SUFFIXES, EDITION_DATE, NA_WORDS, NUMERIC_TYPE, PUBLISHER
 
 
 def char_class(sep: str) -> str:
@@ -36,13 +35,18 @@ def decode_utf8_lossy(col: Column) -> Column:
 
 
 def decode_codepage(col: Column, encoding: str) -> Column:
-    """Bytes in a code page Spark has no decoder for to text, one Arrow batch at a time."""
+    """Bytes in a code page to text, in the JVM; to be selected while `session.code_pages` holds."""
+    return F.decode(col, CODE_PAGES.get(encoding.lower(), encoding))
 
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else bytes(b).decode(encoding))
 
-    return decode(col)
+def encode_codepage(col: Column, encoding: str) -> Column:
+    """Text to bytes of a code page, likewise."""
+    return F.encode(col, CODE_PAGES.get(encoding.lower(), encoding))
+
+
+def undecodable(col: Column) -> Column:
+    """Whether a value decoded with losses has lost bytes: no code page has a character U+FFFD."""
+    return F.coalesce(F.contains(col, F.lit("\ufffd")), F.lit(False))
 
 
 def strip(col: Column) -> Column:
@@ -73,7 +77,7 @@ def numeric_scale(raw_type: Column) -> Column:
 
 
 def _numeric_part(raw_type: Column, group: int) -> Column:
-    found = F.regexp_extract(raw_type, r"NUMERIC\((\d+)(?:,(\d+))?\)", group)
+    found = F.regexp_extract(raw_type, NUMERIC_TYPE, group)
     return F.nullif(found, F.lit("")).try_cast("int")
 
 
@@ -101,8 +105,7 @@ def differs(a: Column, b: Column) -> Column:
 
 def edition_date(col: Column) -> Column:
     """`... 2026. 2. 1.기준 ...` to `20260201`; null where there is no such date."""
-    pattern = r"(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})\.기준"
-    year, month, day = (F.regexp_extract(col, pattern, i) for i in (1, 2, 3))
+    year, month, day = (F.regexp_extract(col, EDITION_DATE, i) for i in (1, 2, 3))
     return F.when(year != "", F.concat(year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
 
 
@@ -111,14 +114,14 @@ def edition_date(col: Column) -> Column:
 
 def clean_dataset_name(col: Column) -> Column:
     """Drop a trailing `(2025년 12월)`, then `(2025.12)`, then `(2025)`."""
-    for suffix in (r"\(\d{4}년\s*\d{1,2}월\)", r"\(\d{4}\.\d{1,2}\)", r"\(\d{4}\)"):
-        col = F.regexp_replace(col, rf"(?U)\s*{suffix}$", "")
+    for suffix in DATE_SUFFIXES:
+        col = F.regexp_replace(col, f"(?U){suffix}", "")
     return strip(col)
 
 
 def archive_name_part(name: Column, part: int, year: str, month: str, publisher: str = PUBLISHER) -> Column:
     """Category (1) or dataset (2) of an archive name; null when the name has another form."""
-    pattern = rf"\A{publisher}_(.*?)_(.*?)\+\({year}년\+{month}월\)\.zip"
+    pattern = ARCHIVE_NAME.format(publisher=publisher, year=year, month=month)
     return F.when(name.rlike(pattern), F.regexp_extract(name, pattern, part))
 
 

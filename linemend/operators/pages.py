@@ -30,15 +30,19 @@ from ..functions import (
 # Attribute calls ---------------------------------------------------------------------
 
 
-ONCLICK = r"""(?i)\bonclick\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))"""
+ONCLICK = r"""(?i)\bonclick\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+)"""
 
+QUOTES = r"""\A["']|["']\z"""
 
-def call_buttons(html: Column, fn: str) -> Column:
-    """`onclick` values that name a function, in document order; quoted either way or not."""
-    double, single, bare = (F.regexp_extract_all(html, F.lit(ONCLICK), F.lit(i)) for i in (1, 2, 3))
-    # A group that takes no part in a match is an empty text.
-    values = F.transform(double, lambda v, i: F.concat(v, F.get(single, i), F.get(bare, i)))
-    return F.filter(F.transform(values, _unescape), lambda v: F.contains(v, F.lit(fn)))
+
+def click_values(html: Column) -> Column:
+    """`onclick` values in document order, quoted either way or not: one pass over the page."""
+    return F.transform(F.regexp_extract_all(html, F.lit(ONCLICK), F.lit(1)), lambda v: _unescape(F.regexp_replace(v, QUOTES, "")))
+
+
+def calls_of(values: Column, fn: str) -> Column:
+    """The values that name a function."""
+    return F.filter(values, lambda v: F.contains(v, F.lit(fn)))
 
 
 def call_arg(call: Column, fn: str, i: int, arity: int, closed: bool = True) -> Column:
@@ -49,23 +53,29 @@ def call_arg(call: Column, fn: str, i: int, arity: int, closed: bool = True) ->
 
 def extract_call_args(pages: DataFrame, fn: str = DOWNLOAD_CALL, arity: int = 3) -> DataFrame:
     """(page_id, button, arg1..argN) of every call in a page."""
-    calls = pages.select("page_id", F.posexplode(call_buttons(F.col("html"), fn)).alias("button", "call"))
+    calls = pages.select("page_id", F.posexplode(calls_of(click_values(F.col("html")), fn)).alias("button", "call"))
     args = [call_arg(F.col("call"), fn, i, arity).alias(f"arg{i}") for i in range(1, arity + 1)]
     return calls.select("page_id", "button", *args).filter("arg1 <> ''")
 
 
 def pair_by_position(left: Column, right: Column) -> Column:
     """Array of (left, right) structs by position, as long as `left`."""
-    return F.transform(left, lambda item, i: F.struct(item.alias("left"), F.get(right, i).alias("right")))
+    # Both are zipped once; looking the partner up by its number would build `right` anew for every item.
+    zipped = F.arrays_zip(left.alias("left"), right.alias("right"))
+    return F.slice(zipped, F.lit(1), F.size(left))
 
 
 def download_items(pages: DataFrame, category: str = "cat_name") -> DataFrame:
     """Download items of result pages; the i-th download button goes with the i-th
     description button, also where a button in between does not match."""
-    buttons = pair_by_position(call_buttons(F.col("html"), DOWNLOAD_CALL), call_buttons(F.col("html"), DESCRIBE_CALL))
     cat_name = F.col(category) if category in pages.columns else category_lookup(F.col("cat_val"))
     keep = [category] if category in pages.columns else []
-    items = pages.select("page_id", *keep, F.posexplode(buttons).alias("button", "pair")).select(
+    # The values of a page are found once; both lists are taken from them.
+    lists = pages.select("page_id", *keep, click_values(F.col("html")).alias("values")).select(
+        "page_id", *keep, calls_of(F.col("values"), DOWNLOAD_CALL).alias("downloads"), calls_of(F.col("values"), DESCRIBE_CALL).alias("descriptions")
+    )
+    buttons = pair_by_position(F.col("downloads"), F.col("descriptions"))
+    items = lists.select("page_id", *keep, F.posexplode(buttons).alias("button", "pair")).select(
         "page_id", "button", *keep,
         *(call_arg(F.col("pair.left"), DOWNLOAD_CALL, i, 3).alias(n) for i, n in enumerate(("cat_val", "task_code", "opn_code"), 1)),
         F.coalesce(call_arg(F.col("pair.right"), DESCRIBE_CALL, 3, 3, closed=False), F.lit("")).alias("service_name"),
@@ -76,19 +86,24 @@ def download_items(pages: DataFrame, category: str = "cat_name") -> DataFrame:
 
 
 def _unescape(text: Column) -> Column:
-    """Numbered character references, then the named ones of markup; the ampersand last."""
-    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)"), F.lit(1)))
-    text = F.aggregate(numbered, text, lambda out, ref: F.replace(out, ref, _character(ref)))
+    """Numbered character references, then the named ones of markup; the ampersand last.
+
+    The text is split at its references' ends, so that each piece holds one at most."""
+    pieces = F.transform(F.split(text, r"(?<=&#[0-9xX][0-9a-fA-F]{0,6};)"), _without_number)
+    plain = F.when(F.contains(text, F.lit("&#")), F.array_join(pieces, "")).otherwise(text)
     for entity, char in (("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
-def _character(ref: Column) -> Column:
+def _without_number(piece: Column) -> Column:
+    """A piece of text with the reference at its end, if there is one, as a character."""
+    ref = F.regexp_extract(piece, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});\z", 0)
     digits = F.regexp_replace(ref, "[&#xX;]", "")
     code = F.when(F.lower(ref).startswith("&#x"), F.upper(digits)).otherwise(F.conv(digits, 10, 16))
     inside = F.conv(code, 16, 10).cast("long").between(1, 0x10FFFF)
-    return F.when(inside, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(ref)
+    char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    return F.when((ref != "") & inside, F.concat(F.substring(piece.cast("binary"), F.lit(1), F.octet_length(piece) - F.octet_length(ref)).cast("string"), char)).otherwise(piece)
 
 
 # Nested markup -----------------------------------------------------------------------

@@ -35,13 +35,16 @@ def preview(df: DataFrame, n: int, order: Sequence[str] = ()) -> DataFrame:
 MISSING = "dataset not found"
 
 
-def profile_all(frames: Mapping[str, DataFrame | None], order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+def profile_all(
+    frames: Mapping[str, DataFrame | None], order: Mapping[str, Sequence[str]] | None = None, counted: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
     """(dataset, n_rows, n_columns, first_row, message) of every dataset, by name.
 
     The first row is JSON text; with an order given for a dataset it is the first in it. Both
-    answers are scalar subqueries, so the count reads footers only. A dataset without a frame has
-    a message and nothing else.
+    answers are scalar subqueries. Counts come from the frames of `counted` where given: those of
+    `scan_footers` read footers only. A dataset without a frame has a message and nothing else.
     """
+    counted = counted or {}
     order = order or {}
     spark = next((df.sparkSession for df in frames.values() if df is not None), None) or SparkSession.active()
     rows = None
@@ -50,7 +53,7 @@ def profile_all(frames: Mapping[str, DataFrame | None], order: Mapping[str, Sequ
         if df is None:
             message = F.lit(MISSING)
         else:
-            n_rows, n_columns = row_count(df).scalar(), F.lit(len(df.columns))
+            n_rows, n_columns = row_count(counted.get(name, df)).scalar(), F.lit(len(df.columns))
             first = preview(df, 1, order.get(name, ())).select(_record()).scalar()
         part = spark.range(1).select(
             F.lit(name).alias("dataset"), n_rows.alias("n_rows"), n_columns.alias("n_columns"), first.alias("first_row"), message.alias("message")

@@ -13,6 +13,7 @@ from ..operators.catalog import skip_existing
 from ..operators.registry import ColumnSpec, column_specs, dataset_rows
 from ..operators.repair import (
     clean_records,
+    detect_bad_lines,
     expected_separators,
     file_status,
     kept_records,
@@ -23,7 +24,7 @@ from ..operators.repair import (
 )
 from ..operators.typed import apply_schema, cast_losses, read_as_strings, with_losses
 from ..session import drop_work_dir, work_dir
-from ..sinks import finished, finished_keys, write_dataset
+from ..sinks import finished, finished_keys, manifest_path, read_manifests, write_manifest
 from ..sources.archives import inflate_archives
 from ..sources.lines import pack_blocks, scan_lines
 
@@ -76,10 +77,10 @@ def convert_catalog(
     finally:
         drop_work_dir(spark, stage)
     rows += [_failed(key, error) for key, error in errors.items()]
-    skipped = catalog.join(keys, "catalog_key", "left_anti")
-    return spark.createDataFrame(rows, STATUS).unionByName(
-        skipped.select("catalog_key", F.lit("skipped").alias("status")), allowMissingColumns=True
-    )
+    done = [row["catalog_key"] for row in catalog.select("catalog_key").distinct().collect() if row["catalog_key"] not in pending]
+    # What the run that made them has counted.
+    skipped = read_manifests(spark, out, done).drop("data", "rejects").withColumn("status", F.lit("skipped"))
+    return spark.createDataFrame(rows, STATUS).unionByName(skipped, allowMissingColumns=True)
 
 
 def _stage_archives(spark: SparkSession, archives: dict[str, tuple[str, int]], stage: str, sep: str) -> DataFrame:
@@ -168,23 +169,47 @@ def _store(outcome: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str
         F.count_if("suspect").alias("suspect"),
         *(count.alias(f"null_{i}") for i, count in enumerate(losses.values())),
     )
-    if finished(spark, f"{out}/{key}"):
+    if finished(spark, manifest_path(out, key)):
         raise FileExistsError(f"{out}/{key} is already complete")
-    # Before the success marker of the data: a run that fails here starts again.
+    # Rejects, data, manifest: a run that fails before the last starts again and replaces the rest.
     rejected, unfit = rejects
     found = reject_overflow(outcome).drop("exact")
     found = found if rejected else spark.createDataFrame([], found.schema)
     found.write.mode("overwrite").parquet(f"{out}/_rejects/{key}")
     if unfit:
         raise ValueError(f"schema does not fit: {unfit} lines of files in which no record ends are in {out}/_rejects/{key}")
-    write_dataset(typed.select(*(F.col(f"`{c.name}`") for c in columns)), out, key)
+    typed.select(*(F.col(f"`{c.name}`") for c in columns)).write.mode("overwrite").parquet(f"{out}/{key}")
     counts = counters.get
-    return {
+    told = {
         "rows_in": counts["rows_out"] + rejected,
         **{name: counts[name] for name in ("rows_out", "short", "suspect")},
         "rejected": rejected,
         "cast_nulls": {name: counts[f"null_{i}"] for i, name in enumerate(losses)},
     }
+    write_manifest(spark, out, key, told)
+    return told
+
+
+def route_files(spark: SparkSession, path: str | list[str], expected: int, sep: str = "|") -> tuple[DataFrame, DataFrame]:
+    """Lines of the files whose lines all are records, and lines of the others.
+
+    One narrow pass counts; then each side is a scan of its own files by name, so that no line is joined or
+    exchanged. File names go through the driver.
+    """
+    status = file_status(scan_lines(spark, path), expected, sep).select("file", "clean").collect()
+    sides = ([row["file"] for row in status if row["clean"] is wanted] for wanted in (True, False))
+    return tuple(scan_lines(spark, files) if files else scan_lines(spark, path).limit(0) for files in sides)
+
+
+def file_verdicts(spark: SparkSession, paths: Sequence[str], expected: int, sep: str = "|", workers: int = 4) -> DataFrame:
+    """(file, clean) of each file. The reading of a file stops at its first bad line: the limit runs on its first
+    split, then on four times as many, until a line is found or none is left."""
+
+    def clean(path: str) -> tuple[str, bool]:
+        return path, not detect_bad_lines(scan_lines(spark, path), expected, sep).select("id").head(1)
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return spark.createDataFrame(list(pool.map(clean, paths)), "file string, clean boolean")
 
 
 def analyze_head(archives: DataFrame, columns: Sequence[ColumnSpec], limit_bytes: int | None, sep: str = "|") -> DataFrame:

@@ -25,12 +25,12 @@ def _archives(spark, folder):
 
 
 def _schemas(spark, folder):
-    """One descriptor file per customer with orders: a semi join, at most one row per customer."""
+    """One descriptor file per customer with orders, but for every seventh: at most one row per customer."""
     rows = table(spark, folder, "customer").join(
         table(spark, folder, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi"
     )
     name = schema_key(F.col("c_mktsegment"), F.col("c_name"))
-    return rows.select(F.concat(F.lit("C:/data/schema/"), name).alias("path"), name.alias("name"))
+    return rows.filter("c_custkey % 7 <> 0").select(F.concat(F.lit("C:/data/schema/"), name).alias("path"), name.alias("name"))
 
 
 def parsed_names(spark, folder):
@@ -80,10 +80,17 @@ def _entries(spark, folder):
 
 
 def parse_entries(spark, folder):
-    """A file of several entries, read with the reader."""
+    """Files of one entry to a line, and files of objects over many lines, read with the reader."""
     path = work_dir(spark, "catalog")
-    write_catalog(_entries(spark, folder).coalesce(1), path)
-    return read_catalog(spark, path)
+    entries = _entries(spark, folder)
+    write_catalog(entries.filter("zip_size_bytes % 10 <> 0"), f"{path}/lines")
+    # Of the others up to 200 are an object: an entry to a line, the braces around them, as a pretty printer writes it.
+    fields = F.to_json(F.create_map("catalog_key", F.struct(*(c for c in entries.columns if c != "catalog_key"))))
+    inner = F.substring(fields, F.lit(2), F.length(fields) - 2)
+    block = F.floor(F.col("zip_size_bytes") / F.lit(4204179688 * 1000))
+    objects = entries.filter("zip_size_bytes % 10 = 0").groupBy(block).agg(F.array_join(F.sort_array(F.collect_list(inner)), ",\n  ").alias("all"))
+    objects.select(F.concat(F.lit("{\n  "), "all", F.lit("\n}")).alias("value")).write.option("lineSep", "\n").text(f"{path}/objects")
+    return read_catalog(spark, f"{path}/*")
 
 
 def catalog_round_trip(spark, folder):
@@ -102,9 +109,9 @@ def _items(spark, folder):
 
 
 def parse_items(spark, folder):
-    """A file of several items, read with the reader."""
+    """Files of many items, one to a line, read with the reader in splits."""
     path = work_dir(spark, "items")
-    write_download_list(_items(spark, folder).coalesce(1), path)
+    write_download_list(_items(spark, folder), path)
     return read_download_list(spark, path)
 
 
@@ -125,7 +132,7 @@ archives AS (
          CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment END AS data_category,
          CASE WHEN c_nationkey % 5 <> 0 THEN c_name END AS dataset_name,
          CASE WHEN c_nationkey % 5 <> 0 THEN c_mktsegment || '_' || c_name END AS catalog_key,
-         CASE WHEN c_nationkey % 5 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders)
+         CASE WHEN c_nationkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey IN (SELECT o_custkey FROM orders)
               THEN 'C:/data/schema/schema_' || c_mktsegment || '_' || c_name || '.txt' END AS schema_path
   FROM (SELECT *, '국토교통부_' || c_mktsegment || '_' || c_name || '+(2025년+'
                || CASE WHEN c_nationkey % 5 = 0 THEN '11' ELSE '12' END || '월).zip' AS name FROM customer),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import csv
+import io
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions import code_prefix, decode_codepage, na_words_to_null, normalise_path
+from ..functions import code_prefix, decode_codepage, encode_codepage, na_words_to_null, normalise_path, undecodable
 from ..operators import codes
-from ..plans.regions import all_editions, legal_districts, statistical_districts, write_legal_districts
-from ..session import work_dir
+from ..plans.regions import all_editions, legal_districts, statistical_districts, write_legal_districts, write_statistical_districts
+from ..session import code_pages, work_dir
 from ..sinks import read_csv_bom, write_csv_bom
-from ..sources import scan_code_sheet, scan_codepage_table
+from ..sources import scan_code_sheet, scan_codepage_table, undecodable_values
+from .files import writable
 from .tables import table
 
 
@@ -132,9 +136,10 @@ def codepage_table(spark, folder):
 
 
 def _write_cp949(rows, path):
-    as_bytes = rows.select(
-        *(F.decode(_encoded(F.col(c)), "ISO-8859-1").alias(c.encode("cp949").decode("latin-1")) for c in rows.columns)
-    )
+    with code_pages(rows.sparkSession):
+        as_bytes = rows.select(
+            *(F.decode(encode_codepage(F.col(c), "cp949"), "ISO-8859-1").alias(c.encode("cp949").decode("latin-1")) for c in rows.columns)
+        )
     as_bytes.write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path)
 
 
@@ -146,17 +151,62 @@ def code_list_files(spark, folder):
     return read_csv_bom(spark, f"{out}/code_sgg")
 
 
-def _encoded(col):
-    @F.pandas_udf("binary")
-    def encode(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else t.encode("cp949"))
-
-    return encode(col)
-
-
 def codepage_text(spark, folder):
+    """Korean text as bytes and back, a byte of no character behind every third customer's."""
     rows = table(spark, folder, "customer")
-    return rows.select("c_custkey", decode_codepage(_encoded(F.concat(F.lit("시장 "), "c_mktsegment")), "cp949").alias("segment"))
+    stray = F.when(F.col("c_custkey") % 3 == 0, F.lit(b"\xff")).otherwise(F.lit(b""))
+    with code_pages(spark, lossy=True):
+        raw = F.concat(encode_codepage(F.concat(F.lit("시장 "), "c_mktsegment"), "cp949"), stray)
+        return rows.select("c_custkey", decode_codepage(raw, "cp949").alias("segment")).withColumn("lost", undecodable(F.col("segment")))
+
+
+def undecodable_counts(spark, folder):
+    """A cp949 file in which the names of every fourth part hold a byte of no character."""
+    part = table(spark, folder, "part")
+    path = work_dir(spark, "codepage")
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat("p_name", F.lit("\u00ff"))).otherwise(F.col("p_name"))
+    rows = part.select(F.col("p_partkey").cast("string").alias("code"), name.alias("name"))
+    rows.write.option("header", True).option("sep", "\t").option("encoding", "ISO-8859-1").csv(path)
+    return undecodable_values(scan_codepage_table(spark, path, lossy=True))
+
+
+def sheet_files(spark, folder):
+    """Two dated sheet files with their names in row 2, and an undated one, to written tables, of which the districts are
+    read back."""
+    source, out = work_dir(spark, "sheets"), work_dir(spark, "regions")
+    _write_sheets(spark, folder, source)
+    write_statistical_districts(spark, source, out, n_columns=5)
+    rows = read_csv_bom(spark, f"{out}/code_kcad_sgg")
+    return rows.withColumn("edition_date", F.col("edition_date").cast("string"))
+
+
+SHEET_FILES = ("분류_2025.12.31.기준_1.csv", "분류_2026. 2. 1.기준_2.csv", "분류_3.csv")
+
+
+def _write_sheets(spark, folder, path):
+    """The sheet once a file, each written by one task; cells with quotes, commas and line breaks are quoted."""
+    sheet = _sheet(spark, folder)
+    rows = sheet.select(F.explode(F.array(*map(F.lit, SHEET_FILES))).alias("file"), *(F.coalesce(f"`{c}`", F.lit("#N/A")).alias(c) for c in sheet.columns))
+    names = sheet.columns
+
+    def store(batches):
+        current = sink = None
+        for batch in batches:
+            for file, *cells in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if file != current:
+                    if sink is not None:
+                        sink.close()
+                    current, sink = file, io.TextIOWrapper(writable(f"{path}/{file}"), "utf-8", newline="")
+                    out = csv.writer(sink, lineterminator="\n")
+                    out.writerow(["제목"] + [""] * (len(names) - 1))
+                    out.writerow(names)
+                out.writerow(cells)
+        if sink is not None:
+            sink.close()
+        yield pa.RecordBatch.from_pydict({"file": pa.array([], pa.string())})
+
+    dealt = rows.repartition(len(SHEET_FILES), "file").sortWithinPartitions("file")
+    dealt.mapInArrow(store, "file string").write.format("noop").mode("overwrite").save()
 
 
 def csv_round_trip(spark, folder):
@@ -246,7 +296,20 @@ QUERIES = {
     "scan_codepage_table": (
         codepage_table, """SELECT CAST(p_partkey AS VARCHAR) AS "코드", '건축물 ' || p_name AS "이름", p_type AS "구분" FROM part"""
     ),
-    "decode_codepage": (codepage_text, "SELECT c_custkey, '시장 ' || c_mktsegment AS segment FROM customer"),
+    "decode_codepage": (
+        codepage_text,
+        """SELECT c_custkey, '시장 ' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN chr(65533) ELSE '' END AS segment,
+        c_custkey % 3 = 0 AS lost FROM customer""",
+    ),
+    "undecodable_values": (
+        undecodable_counts,
+        """SELECT 'code' AS column_name, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'name', count(*) FILTER (p_partkey % 4 = 0) FROM part""",
+    ),
+    "sheet_files": (
+        sheet_files,
+        f"""WITH {SHEET_SQL} SELECT substr("법정동코드", 1, 5) AS "시군구코드", sheet.*, edition_date
+        FROM sheet, (VALUES ('20251231'), ('20260201')) AS v(edition_date) WHERE length("행정구역분류") = 5""",
+    ),
     "write_csv_bom": (csv_round_trip, DISTRICTS_SQL),
     "write_editions": (
         edition_csv,

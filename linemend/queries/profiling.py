@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import profile
 from ..session import work_dir
 from ..sinks import write_dataset
-from ..sources import lines_of_rows, pack_blocks, scan_parquet
+from ..sources import lines_of_rows, pack_blocks, scan_footers, scan_parquet
 from .tables import TABLES, table
 
 
@@ -23,7 +23,7 @@ def _frames(spark, folder):
 
 
 def row_count(spark, folder):
-    return profile.row_count(table(spark, folder, "lineitem"))
+    return profile.row_count(scan_footers(spark, f"{folder}/lineitem.parquet"))
 
 
 def column_inventory(spark, folder):
@@ -32,7 +32,8 @@ def column_inventory(spark, folder):
 
 def profile_all(spark, folder):
     """All tables and one that is not there; the first row is compared by its key."""
-    rows = profile.profile_all(_frames(spark, folder) | {"nowhere": None}, {name: [key] for name, key in FIRST.items()})
+    counted = {name: scan_footers(spark, f"{folder}/{name}.parquet") for name in TABLES}
+    rows = profile.profile_all(_frames(spark, folder) | {"nowhere": None}, {name: [key] for name, key in FIRST.items()}, counted)
     key = F.create_map(*(F.lit(x) for item in FIRST.items() for x in item))
     first = F.from_json("first_row", "map<string,string>")[F.try_element_at(key, F.col("dataset"))]
     return rows.select("dataset", "n_rows", "n_columns", F.col("first_row").isNotNull().alias("has_row"), first.alias("first_key"), "message")

@@ -8,7 +8,7 @@ from ..functions import decode_utf8_lossy, separator_count
 from ..operators import repair
 from ..operators.typed import type_records
 from ..session import work_dir
-from ..sources import lines_of_rows, pack_blocks, sample_head, scan_lines
+from ..sources import lines_of_rows, pack_blocks, scan_lines
 from .tables import (
     DOCUMENT_COLUMNS,
     DOCUMENT_SEPARATORS,
@@ -165,15 +165,6 @@ def line_endings(spark, folder):
     return outcome.select("value", "status")
 
 
-def sampled_head(spark, folder):
-    """Whether every sampled line of the first block is a line of the table."""
-    docs = table(spark, folder, "documents")
-    head = sample_head(pack_blocks(lines_of_rows(docs, F.lit("documents"), document_text(True))), 1)
-    texts = head.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("value")).filter("value <> ''")
-    known = docs.select(F.explode(F.split(document_text(True), "\n")).alias("value")).distinct()
-    return texts.join(known, "value", "left_anti").agg(F.count("*").alias("n_unknown"))
-
-
 DOCUMENTS_SQL = """
 SELECT CAST(doc_id AS DECIMAL(18,0)) AS doc_id, lang, source, replace(replace(text, '|', '/'), chr(10), ' ') AS text,
        CAST(n_chars AS DECIMAL(9,0)) AS n_chars
@@ -222,12 +213,12 @@ QUERIES = {
         f"""WITH {LINES_SQL} SELECT file, count(*) AS n_lines, count(*) FILTER (separators <> {E}) AS n_bad,
         count(*) FILTER (separators <> {E}) = 0 AS clean FROM counted GROUP BY file""",
     ),
-    "route_clean": (
+    "route_clean_frame": (
         route_clean,
         f"""SELECT CAST(doc_id AS VARCHAR) AS file, {DOCUMENT_SQL} AS value FROM documents
         WHERE NOT contains(text, chr(10)) AND NOT contains(text, '|')""",
     ),
-    "route_repair": (
+    "route_repair_frame": (
         route_repair,
         f"""WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS file, line_no, value FROM counted
         WHERE doc_id IN (SELECT doc_id FROM counted WHERE separators <> {E})""",
@@ -240,5 +231,4 @@ QUERIES = {
         """SELECT conv_id || '|' || turn || '|' || replace(replace(text, '|', '/'), chr(10), ' ') AS value, 'record' AS status
         FROM conversations""",
     ),
-    "sample_head": (sampled_head, "SELECT CAST(0 AS BIGINT) AS n_unknown FROM documents LIMIT 1"),
 }

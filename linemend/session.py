@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -30,6 +32,31 @@ def get_session(app: str = "linemend", master: str | None = None, **conf: str) -
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings that hold while a frame is put together and resolved; `__` stands for a dot."""
+    wanted = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def code_pages(spark: SparkSession, lossy: bool = False):
+    """While this holds, `decode_codepage` and `encode_codepage` resolve to the code pages of the JVM.
+
+    Bytes that are no text are an error when the query runs, or with `lossy` U+FFFD.
+    """
+    return settings(spark, spark__sql__legacy__javaCharsets="true", spark__sql__legacy__codingErrorAction=str(lossy).lower())
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the Python workers, which know the driver's import path only where they share it."""
     context = spark.sparkContext

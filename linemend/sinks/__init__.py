@@ -18,11 +18,35 @@ def finished(spark: SparkSession, path: str) -> bool:
     return fs.exists(done)
 
 
+MANIFEST = (
+    "catalog_key string, data string, rejects string, rows_in long, rows_out long, short long, suspect long, rejected long, "
+    "cast_nulls map<string,long>"
+)
+
+
+def manifest_path(out: str, key: str) -> str:
+    return f"{out}/_manifests/{key}"
+
+
+def write_manifest(spark: SparkSession, out: str, key: str, counts: dict) -> None:
+    """One row that names a dataset's data, its rejects and its counts. It is written last, so a dataset
+    that has it is whole."""
+    row = {"catalog_key": key, "data": f"{out}/{key}", "rejects": f"{out}/_rejects/{key}", **counts}
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(manifest_path(out, key))
+
+
+def read_manifests(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The manifests of finished datasets."""
+    if not keys:
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).json([manifest_path(out, key) for key in keys])
+
+
 def finished_keys(catalog: DataFrame, out: str, key: str = "catalog_key") -> DataFrame:
-    """(key) of catalog rows with completed output: one metadata call per catalog row."""
+    """(key) of catalog rows with a manifest: one metadata call per catalog row."""
     spark = catalog.sparkSession
     keys = [row[0] for row in catalog.select(key).distinct().collect()]
-    return spark.createDataFrame([(k,) for k in keys if finished(spark, f"{out}/{k}")], f"{key} string")
+    return spark.createDataFrame([(k,) for k in keys if finished(spark, manifest_path(out, k))], f"{key} string")
 
 
 def write_dataset(df: DataFrame, out: str, key: str) -> str:

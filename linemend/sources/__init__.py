@@ -1,4 +1,4 @@
-from .archives import inflate_archives, list_files, sample_head
+from .archives import inflate_archives, list_files
 from .catalog import (
     accumulate_pages,
     expected_values,
@@ -9,10 +9,13 @@ from .catalog import (
     read_download_list,
     scan_code_sheet,
     scan_codepage_table,
+    scan_footers,
     scan_pages,
     scan_parquet,
     scan_schema_descriptors,
+    undecodable_values,
 )
 from .lines import lines_of_rows, pack_blocks, scan_delimited, scan_lines
+from .zipped import sample_head, scan_archives
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -48,7 +48,7 @@ def inflate_archives(
 
                 n = 0
                 try:
-                    for text in _member_blocks(path, limit_bytes, block_bytes):
+                    for text in member_blocks(path, limit_bytes, block_bytes):
                         yield block(n // BLOCKS_PER_PART, n, text)
                         n += 1
                 except (OSError, EOFError, IndexError, zipfile.BadZipFile, zlib.error, NotImplementedError) as error:
@@ -61,7 +61,8 @@ def inflate_archives(
     return one_per_task.mapInArrow(inflate, schema)
 
 
-def _member_blocks(path: str, limit: int | None, block_bytes: int) -> Iterator[bytes]:
+def member_blocks(path: str, limit: int | None, block_bytes: int) -> Iterator[bytes]:
+    """The first member of an archive, or its first `limit` bytes, cut at line ends as it is inflated."""
     with _open(path) as raw, zipfile.ZipFile(raw) as archive, archive.open(archive.namelist()[0]) as member:
         left = limit if limit is not None else float("inf")
         rest: list[bytes] = []
@@ -88,11 +89,3 @@ def _open(path: str):
 
     store, inner = fs.FileSystem.from_uri(path)
     return store.open_input_file(inner)
-
-
-def sample_head(blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """The first blocks of each file's first split."""
-    head = blocks.filter(F.col("part") == 0)
-    first = head.groupBy("file").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
-    keep = first.select("file", F.explode(F.slice("seqs", 1, n_blocks)).alias("seq"))
-    return head.join(keep, ["file", "seq"], "left_semi").select("file", "part", "seq", "text")

@@ -1,9 +1,11 @@
+import time
 import pytest
 from decimal import Decimal
 from pyspark.sql import functions as F
 
 from linemend import functions as fn
 from linemend.operators import catalog, checks, codes, pages, profile, registry
+from linemend.operators import pages as pages_ops
 from linemend.operators.registry import ColumnSpec
 from linemend.operators.typed import apply_schema, read_as_strings, type_records
 from linemend.plans.regions import legal_districts
@@ -148,3 +150,37 @@ def test_row_count_reads_no_columns(spark, tmp_path):
     spark.range(10).selectExpr("id", "id * 2 AS b").write.parquet(str(tmp_path / "d"))
     plan = profile.row_count(spark.read.parquet(str(tmp_path / "d")))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<>" in plan
+
+
+def test_many_buttons_in_one_page(spark):
+    """10,000 buttons of each kind, in all forms of quoting: the time grows with the page."""
+    forms = (
+        """<a onclick="fnDownloadPop('01','{0}','&lt;O&amp;')">""", """<a ONCLICK = 'fnDownloadPop(&#x27;01&#x27;,&#39;{0}&#39;,&#39;O&#39;)'>""",
+        """<a onclick=fnDownloadPop(&#39;01&#39;,&#39;{0}&#39;,&#39;O&#39;)>""",
+    )
+    html = "".join(forms[i % 3].format(i) + f"""<b onclick="fnLgcptPop('a','b','이름 {i}',1)"></b>""" for i in range(10_000))
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "no buttons"), (4, "<a onclick=\"fnDownloadPop('02','x','y')\">")], "page_id int, html string")
+    begin = time.perf_counter()
+    items = pages_ops.download_items(pages)
+    rows = {(r["page_id"], r["button"]): r for r in items.collect()}
+    assert time.perf_counter() - begin < 20
+    assert len(rows) == 10_001 and rows[4, 0]["service_name"] == ""
+    for i in (0, 1, 2, 9_999):
+        assert (rows[1, i]["task_code"], rows[1, i]["service_name"]) == (str(i), f"이름 {i}")
+    calls = pages_ops.extract_call_args(pages).count()
+    assert calls == 10_001
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "regexp_extract_all" not in "".join(p.split(")")[0] for p in plan.split("lambdafunction(")[1:])
+
+
+def test_pairs_are_as_long_as_the_left_list(spark):
+    rows = spark.sql("SELECT array(1, 2, 3) AS a, array('x') AS b UNION ALL SELECT array(1), array('x', 'y') UNION ALL SELECT array(), array('x')")
+    pairs = rows.select(pages_ops.pair_by_position(F.col("a"), F.col("b")).alias("p")).collect()
+    assert sorted([[(q["left"], q["right"]) for q in r["p"]] for r in pairs]) == [[], [(1, "x")], [(1, "x"), (2, None), (3, None)]]
+
+
+def test_character_references(spark):
+    texts = ["&#39;a&#x27;&amp;#39;", "&#0;&#1114112;&#65;&#x41;", "&#12345678;&#;&#x;", "a&lt;&gt;&quot;&apos;", "&amp;amp;", "&#128512;&#44032;x", None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    read = [r[0] for r in frame.select(pages_ops._unescape(F.col("t"))).collect()]
+    assert read == ["'a'&#39;", "&#0;&#1114112;AA", "&#12345678;&#;&#x;", "a<>\"'", "&amp;", "😀가x", None, ""]

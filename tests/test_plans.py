@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from linemend.operators.registry import ColumnSpec, build_registry, dataset_columns
 from linemend.plans.catalog import build_catalog
-from linemend.plans.convert import analyze_head, convert_catalog, convert_text_files
+from linemend.plans.convert import analyze_head, convert_catalog, convert_text_files, file_verdicts, route_files
 from linemend.plans.regions import write_legal_districts, write_statistical_districts
-from linemend.sinks import finished, read_csv_bom, write_catalog, write_csv_bom, write_dataset, write_download_list, write_schema_descriptors
+
+from linemend.sinks import finished, read_csv_bom, read_manifests, write_catalog, write_csv_bom, write_dataset, write_download_list, write_schema_descriptors
+from linemend.session import settings
 from linemend.sources import read_catalog, read_download_list, scan_schema_descriptors
 
 SCHEMA = "서비스명\nx\n제공기관/제공부서\ny\n상세설명 표\n컬럼한글명\t타입\n관리_PK\tVARCHAR(10)\n이름\tVARCHAR(10)\n면적\tNUMERIC(5,2)\n"
@@ -58,8 +60,62 @@ def test_archives_to_parquet(spark, dump):
     ]
     assert [r["value"] for r in spark.read.parquet(f"{out}/_rejects/건축물대장_표제부").collect()] == ["3|a|b|c"]
 
-    again = {r["catalog_key"]: r["status"] for r in convert_catalog(spark, catalog, registry, out, base=str(dump)).collect()}
-    assert again == {"건축물대장_표제부": "skipped", "건축물대장_깨짐": "failed"}
+    again = {r["catalog_key"]: r for r in convert_catalog(spark, catalog, registry, out, base=str(dump)).collect()}
+    assert {key: r["status"] for key, r in again.items()} == {"건축물대장_표제부": "skipped", "건축물대장_깨짐": "failed"}
+    # What is skipped tells the counts of the run that made it.
+    assert again["건축물대장_표제부"].asDict() == {**good.asDict(), "status": "skipped"}
+
+
+def test_data_without_a_manifest_is_made_again(spark, dump):
+    """The run ended between the data and the manifest, or the manifest was half written."""
+    catalog, _ = build_catalog(spark, str(dump / "original"), str(dump / "schema"), "2025", "12")
+    catalog = catalog.filter("catalog_key = '건축물대장_표제부'")
+    registry = build_registry(scan_schema_descriptors(spark, str(dump / "schema")))
+    out = dump / "parquet"
+    first = convert_catalog(spark, catalog, registry, str(out)).collect()
+    (out / "_manifests" / "건축물대장_표제부" / "_SUCCESS").unlink()
+    assert finished(spark, str(out / "건축물대장_표제부"))
+    assert convert_catalog(spark, catalog, registry, str(out)).collect() == first
+    manifest = read_manifests(spark, str(out), ["건축물대장_표제부"]).first()
+    assert spark.read.parquet(manifest["data"]).count() == manifest["rows_out"] == 4
+    assert spark.read.parquet(manifest["rejects"]).count() == manifest["rejected"] == 1
+    assert read_manifests(spark, str(out), []).count() == 0
+
+
+def test_files_are_routed_without_an_exchange(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "clean.txt").write_text("1|a\n2|b\n")
+    (tmp_path / "in" / "broken.txt").write_text("3|c\nd\n")
+    clean, broken = route_files(spark, str(tmp_path / "in"), 1)
+    assert sorted(r["value"] for r in clean.collect()) == ["1|a", "2|b"] and sorted(r["value"] for r in broken.collect()) == ["3|c", "d"]
+    for side in (clean, broken):
+        plan = side._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    assert [side.count() for side in route_files(spark, str(tmp_path / "in" / "clean.txt"), 1)] == [2, 0]
+
+
+def test_reading_stops_at_the_first_bad_line(spark, tmp_path):
+    lines = [f"{i}|{'x' * 90}" for i in range(20_000)]
+    (tmp_path / "late.txt").write_text("\n".join([*lines, "bad"]))
+    (tmp_path / "early.txt").write_text("\n".join([*lines[:10], "bad", *lines]))
+    (tmp_path / "clean.txt").write_text("\n".join(lines))
+
+    def tasks(name):
+        context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+        context.setJobGroup(name, name)
+        told = file_verdicts(spark, [str(tmp_path / f"{name}.txt")], 1, workers=1).first()["clean"]
+        # The threads of the pool inherit no group: all jobs since the last look are counted.
+        jobs = [j for g in (None, name) for j in tracker.getJobIdsForGroup(g)]
+        new = [j for j in jobs if j not in seen]
+        seen.update(new)
+        return told, sum(tracker.getStageInfo(s).numTasks for j in new for s in tracker.getJobInfo(j).stageIds)
+
+    seen = set()
+    with settings(spark, spark__sql__files__maxPartitionBytes="20000", spark__sql__files__openCostInBytes="0"):
+        tasks("clean")
+        (early, few), (late, many), (clean, all_) = tasks("early"), tasks("late"), tasks("clean")
+    assert (early, late, clean) == (False, False, True)
+    assert few < many and few < all_ / 4
 
 
 def test_head_of_an_archive(spark, dump):
