@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from . import text
 
@@ -189,9 +189,11 @@ def _frequencies(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<i4").tobytes()], pa.binary()), pa.array([n.tolist()], pa.list_(pa.int64()))], ["sums", "n"])
 
     total, n = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
-    for row in sample.mapInArrow(count, "sums binary, n array<long>").toLocalIterator():
-        total += np.frombuffer(row["sums"], "<i4").reshape(2, size)
-        n += np.array(row["n"])
+    # One row of 2 MB for each of `TASKS` tasks.
+    told = sample.mapInArrow(count, "sums binary, n array<long>").toArrow()
+    for sums, counted in zip(told.column("sums"), told.column("n"), strict=True):
+        total += np.frombuffer(sums.as_buffer(), "<i4").reshape(2, size)
+        n += np.array(counted.as_py())
     return total, n
 
 
@@ -257,7 +259,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keys: dict[str,
     keys = keys or {}
     names = list(keys)
     source = docs.select(*(c.alias(name) for name, c in keys.items()), F.col(text_col).alias("_text"))
-    schema = StructType(source.schema.fields[:-1]).add("score", "double").add("predicted", "int")
+    schema = StructType(source.schema.fields[:-1]).add("score", DoubleType()).add("predicted", IntegerType())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
