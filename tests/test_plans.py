@@ -108,7 +108,8 @@ def test_reading_stops_at_the_first_bad_line(spark, tmp_path):
         jobs = [j for g in (None, name) for j in tracker.getJobIdsForGroup(g)]
         new = [j for j in jobs if j not in seen]
         seen.update(new)
-        return told, sum(tracker.getStageInfo(s).numTasks for j in new for s in tracker.getJobInfo(j).stageIds)
+        stages = [tracker.getStageInfo(s) for j in new for s in tracker.getJobInfo(j).stageIds]
+        return told, sum(stage.numTasks for stage in stages if stage is not None)
 
     seen = set()
     with settings(spark, spark__sql__files__maxPartitionBytes="20000", spark__sql__files__openCostInBytes="0"):
