@@ -55,6 +55,39 @@ def verify_codes(
     return counted.unionByName(found.select(F.inline(F.array(_row("known_values", F.col("n_found"), passed=F.col("passed"))))))
 
 
+def code_evidence(
+    sheet: DataFrame,
+    order: str,
+    level_code: str = "행정구역분류",
+    code: str = "법정동코드",
+    province: str = "시도",
+    district: str = "시군구",
+    known: tuple[str, ...] = KNOWN_DISTRICTS,
+    sampled: str = "Non-autonomous",
+    n: int = 5,
+) -> DataFrame:
+    """(check, first_at, province, district, level_code, code): the rows that a report shows beside its counts.
+
+    Every known name that was found, with the place where it stands first; the first n rows of the district level whose
+    two codes disagree, with the part of the code that is compared; and the first n of a class. Names are as many as
+    there are different ones; each sample is a top-n, of which a task keeps n rows.
+    """
+    final = sheet.filter(F.length(F.col(level_code)) == 5)
+    label = checks.district_class(F.col(province), F.col(district))
+    names = {"province": province, "district": district, "level_code": level_code}
+    found = checks.known_values(final, district, known, order).select("first_at", F.lit(None).cast("string").alias("province"), F.col("value").alias("district"))
+    unequal = checks.sample_rows(checks.code_disagreement(final, code, level_code), [order], n)
+    members = checks.category_sample(final.withColumn("class", label), "class", sampled, [order], n)
+
+    def shown(rows: DataFrame, check: str, as_code: Column) -> DataFrame:
+        return rows.select(F.lit(check).alias("check"), F.col(order).alias("first_at"), *(F.col(c).alias(name) for name, c in names.items()), as_code.alias("code"))
+
+    evidence = shown(unequal, "code_disagreement", code_prefix(F.col(code), 5)).unionByName(shown(members, sampled, F.col(code)))
+    return found.withColumn("check", F.lit("known_values")).unionByName(evidence, allowMissingColumns=True).select(
+        "check", "first_at", *names, "code"
+    )
+
+
 def _row(check: str, value: Column, expected: Column | None = None, passed: Column | None = None) -> Column:
     return F.struct(
         F.lit(check).alias("check"),

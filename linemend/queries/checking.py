@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ADMIN_CITY_PROVINCE, EXPECTED_DISTRICTS, SPECIAL_CITY
 from ..operators import checks
-from ..plans.verify import verify_codes
+from ..plans.verify import code_evidence, verify_codes
 from ..session import work_dir
 from ..sinks import write_checks
 from ..sources import expected_values
@@ -86,10 +86,20 @@ def category_sample(spark, folder):
     return checks.category_sample(_districts(spark, folder), "class", "Non-autonomous", ["c_custkey"])
 
 
+def _parts_sheet(spark, folder):
+    return _codes(spark, folder).withColumn("province", F.when(F.col("p_type") == "PROMO", ADMIN_CITY_PROVINCE).otherwise(F.col("p_type")))
+
+
 def _report(spark, folder):
-    sheet = _codes(spark, folder).withColumn("province", F.when(F.col("p_type") == "PROMO", ADMIN_CITY_PROVINCE).otherwise(F.col("p_type")))
     return verify_codes(
-        sheet, order="p_partkey", level_code="level_code", code="code", province="province", district="p_name", known=KNOWN
+        _parts_sheet(spark, folder), order="p_partkey", level_code="level_code", code="code", province="province", district="p_name", known=KNOWN
+    )
+
+
+def evidence(spark, folder):
+    """What stands beside the counts of the report."""
+    return code_evidence(
+        _parts_sheet(spark, folder), order="p_partkey", level_code="level_code", code="code", province="province", district="p_name", known=KNOWN
     )
 
 
@@ -142,6 +152,17 @@ UNION ALL SELECT category, n, expected, n = expected FROM (
   FROM (VALUES ('Autonomous', 226), ('Non-autonomous', 41), ('Special', 1)) AS v(category, expected))
 """
 
+EVIDENCE_SQL = f"""
+WITH {CODES_SQL}, final AS (
+  SELECT *, CASE WHEN p_type = 'PROMO' THEN '{ADMIN_CITY_PROVINCE}' ELSE p_type END AS province FROM codes WHERE length(level_code) = 5)
+SELECT 'known_values' AS "check", min(p_partkey) AS first_at, CAST(NULL AS VARCHAR) AS province, p_name AS district,
+  CAST(NULL AS VARCHAR) AS level_code, CAST(NULL AS VARCHAR) AS code FROM final WHERE {KNOWN_SQL} GROUP BY p_name
+UNION ALL SELECT * FROM (SELECT 'code_disagreement', p_partkey, province, p_name, level_code, substr(code, 1, 5) FROM final
+  WHERE {DISAGREES_SQL} ORDER BY p_partkey LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'Non-autonomous', p_partkey, province, p_name, level_code, code FROM final
+  WHERE contains(p_name, ' ') OR p_type = 'PROMO' ORDER BY p_partkey LIMIT 5)
+"""
+
 QUERIES = {
     "level_counts": (level_counts, f"WITH {CODES_SQL} SELECT p_type, {COUNTERS_SQL} FROM codes GROUP BY p_type"),
     "level_rows": (
@@ -182,5 +203,6 @@ QUERIES = {
         category_sample, f"WITH {DISTRICTS_SQL} SELECT * FROM districts WHERE class = 'Non-autonomous' ORDER BY c_custkey LIMIT 5"
     ),
     "verify_codes": (report, REPORT_SQL),
+    "code_evidence": (evidence, EVIDENCE_SQL),
     "write_checks": (written_report, REPORT_SQL),
 }
