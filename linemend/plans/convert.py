@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import separator_count
 from ..operators.catalog import skip_existing
 from ..operators.registry import ColumnSpec, column_specs, dataset_rows
 from ..operators.repair import (
@@ -30,7 +31,7 @@ from ..sources.lines import pack_blocks, scan_lines
 
 STATUS = (
     "catalog_key string, status string, rows_in long, rows_out long, short long, suspect long, rejected long, "
-    "cast_nulls map<string,long>, error string"
+    "cast_nulls map<string,long>, first_line_separators long, error string"
 )
 
 
@@ -61,7 +62,7 @@ def convert_catalog(
         # A pool for each dataset, so that small ones need not wait for the tasks of a large one.
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", key)
         try:
-            return {"catalog_key": key, "status": "converted", **_store(outcome.filter(F.col("file") == key), columns[key], out, key, sep, rejects.get(key, NO_REJECTS))}
+            return {"catalog_key": key, "status": "converted", **_store(outcome.filter(F.col("file") == key), columns[key], out, key, sep, rejects.get(key, NO_REJECTS), firsts.get(key))}
         except Exception as error:  # noqa: BLE001
             return _failed(key, _reason(error))
 
@@ -70,6 +71,9 @@ def convert_catalog(
         if columns:
             split = _stage_archives(spark, {key: (pending[key], len(columns[key]) - 1) for key in columns}, stage, sep)
             errors |= {row["file"]: row["error"] for row in split.filter("error IS NOT NULL").select("file", "error").collect()}
+            # The lead of a file's first block begins with its first line.
+            first_line = separator_count(F.substring_index("lead", "\n", 1), sep).cast("long").alias("n")
+            firsts = {row["file"]: row["n"] for row in split.filter("seq = 0 AND error IS NULL").select("file", first_line).collect()}
             outcome = repair_split(split.drop("error"), stage, sep, by_file=True)
             rejects = _reject_counts(outcome)
             with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -152,8 +156,9 @@ def _total(counts: dict[str, tuple[int, int]]) -> tuple[int, int]:
     return tuple(map(sum, zip(NO_REJECTS, *counts.values())))
 
 
-def _store(outcome: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str, sep: str, rejects: tuple[int, int]) -> dict:
-    """Type and write outcomes; counters are taken while the rows are written.
+def _store(outcome: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str, sep: str, rejects: tuple[int, int], first_line: int | None = None) -> dict:
+    """Type and write outcomes; counters are taken while the rows are written. `first_line` is the number of
+    separators of the first line, reported beside them.
 
     Rejects, whose numbers are given, are looked for only in the blocks that hold some, and
     written first, so that finished data always has its rejects.
@@ -185,6 +190,7 @@ def _store(outcome: DataFrame, columns: Sequence[ColumnSpec], out: str, key: str
         **{name: counts[name] for name in ("rows_out", "short", "suspect")},
         "rejected": rejected,
         "cast_nulls": {name: counts[f"null_{i}"] for i, name in enumerate(losses)},
+        "first_line_separators": first_line,
     }
     write_manifest(spark, out, key, told)
     return told

@@ -103,7 +103,7 @@ def conversion_status(spark, folder):
     second = convert_catalog(spark, catalog, registry, out).withColumn("run", F.lit(2))
     return first.unionByName(second).groupBy("run", "status").agg(
         F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"), F.sum("rejected").alias("rejected"),
-        F.sum(F.col("cast_nulls")["doc_id"]).alias("lost_ids"),
+        F.sum(F.col("cast_nulls")["doc_id"]).alias("lost_ids"), F.min("first_line_separators").alias("first_line"),
     )
 
 
@@ -167,9 +167,10 @@ QUERIES = {
         conversion_status,
         """WITH lines AS (SELECT contains(text, '|') AS bad, doc_id % 7 = 0 AS lost FROM documents),
         counts AS (SELECT count(*) AS rows_in, count(*) FILTER (NOT bad) AS rows_out, count(*) FILTER (bad) AS rejected,
-          count(*) FILTER (NOT bad AND lost) AS lost_ids FROM lines)
+          count(*) FILTER (NOT bad AND lost) AS lost_ids,
+          (SELECT CAST(length(text) - length(replace(text, '|', '')) AS BIGINT) + 4 FROM documents ORDER BY doc_id LIMIT 1) AS first_line FROM lines)
         SELECT 1 AS run, 'converted' AS status, * FROM counts UNION ALL SELECT 2, 'skipped', * FROM counts
-        UNION ALL VALUES (1, 'failed', NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL)""",
+        UNION ALL VALUES (1, 'failed', NULL, NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL, NULL)""",
     ),
     "route_clean": (
         route_clean,

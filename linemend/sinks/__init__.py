@@ -20,7 +20,7 @@ def finished(spark: SparkSession, path: str) -> bool:
 
 MANIFEST = (
     "catalog_key string, data string, rejects string, rows_in long, rows_out long, short long, suspect long, rejected long, "
-    "cast_nulls map<string,long>"
+    "cast_nulls map<string,long>, first_line_separators long"
 )
 
 

@@ -50,7 +50,7 @@ def test_archives_to_parquet(spark, dump):
     status = {r["catalog_key"]: r for r in convert_catalog(spark, catalog, registry, out, base=str(dump)).collect()}
     good, bad = status["건축물대장_표제부"], status["건축물대장_깨짐"]
     assert (good["status"], good["rows_out"], good["short"], good["rejected"]) == ("converted", 4, 1, 1)
-    assert good["cast_nulls"] == {"면적": 2}
+    assert good["cast_nulls"] == {"면적": 2} and good["first_line_separators"] == 2
     assert bad["status"] == "failed" and "zip" in bad["error"]
 
     table = spark.read.parquet(f"{out}/건축물대장_표제부")
