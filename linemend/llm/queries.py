@@ -32,6 +32,34 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return quotes.conversations(_read(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
 
 
+def quoted_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """The given conversations, whose messages quote nothing, as mail: each message quotes the one before.
+
+    Every third quotes it whole below an announcement, with the one before that nested; every third breaks
+    its lines after seven words; every third quotes its second half.
+    """
+    said = _read(spark, folder, "conversations")
+    parts = F.split(F.trim(F.col("text")), r"\s+")
+
+    def earlier(by: int) -> DataFrame:
+        return said.select("conv_id", (F.col("turn") + by).alias("turn"), F.col("text").alias(f"text_{by}"), parts.alias(f"parts_{by}"))
+
+    def marked(lines: Column, mark: str) -> Column:
+        return F.array_join(F.transform(lines, lambda line: F.concat(F.lit(mark), line)), "\n")
+
+    half = F.floor(F.size("parts_1") / 2).cast("int")
+    broken = F.transform(F.sequence(F.lit(0), F.size("parts_1") - 1, F.lit(7)), lambda i: F.array_join(F.slice("parts_1", i + 1, F.lit(7)), " "))
+    quote = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("> "), F.array_join(F.slice("parts_1", half + 1, F.size("parts_1")), " ")))
+        .when(F.col("turn") % 3 == 2, marked(broken, "> "))
+        .otherwise(F.concat_ws("\n", F.lit("On that day they wrote:"), marked(F.split("text_2", "\n"), ">> "), marked(F.split("text_1", "\n"), "> ")))
+    )
+    mail = said.join(earlier(1), ["conv_id", "turn"], "left").join(earlier(2), ["conv_id", "turn"], "left")
+    quoting = F.when(F.col("text_1").isNotNull(), quote)
+    out = quotes.conversations(mail.withColumn("text", F.concat_ws("\n", quoting, "text")))
+    return out.withColumnRenamed("conv", "conv_id")
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = substrings.remove_repeats(_read(spark, folder, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -178,8 +206,47 @@ SELECT doc_id, n_features, weight, score,
 FROM ranked
 """
 
+QUOTE_SQL = r"""
+WITH RECURSIVE said AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text, regexp_split_to_array(trim(text), '\s+') AS parts FROM conversations),
+quoted AS (
+    SELECT a.conv_id, a.turn, 1 AS level,
+        CASE WHEN a.turn % 3 = 0 THEN array_to_string(list_slice(b.parts, len(b.parts) // 2 + 1, len(b.parts)), ' ') ELSE b.text END AS passage
+    FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1
+    UNION ALL
+    SELECT a.conv_id, a.turn, 2, b.text FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn = a.turn - 2 WHERE a.turn % 3 = 1),
+worded AS (
+    SELECT conv_id, turn, level, true AS is_quote, passage AS source_text FROM quoted
+    UNION ALL SELECT conv_id, turn, 0, false, text FROM said
+    UNION ALL SELECT conv_id, turn, 0, false, line FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM said)
+        WHERE len(regexp_extract_all(lower(line), '[\p{L}\p{N}_]+')) < 5),
+words AS (SELECT *, regexp_extract_all(lower(source_text), '[\p{L}\p{N}_]+') AS w FROM worded),
+grams AS (
+    SELECT DISTINCT conv_id, turn, level, is_quote, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+first AS (SELECT conv_id, gram, min(turn) AS source FROM grams WHERE NOT is_quote GROUP BY ALL),
+sizes AS (SELECT conv_id, turn, level, count(*) AS size FROM grams WHERE is_quote GROUP BY ALL),
+votes AS (
+    SELECT g.conv_id, g.turn, g.level, source, count(*) AS n FROM grams g JOIN first f ON g.conv_id = f.conv_id AND g.gram = f.gram
+    WHERE is_quote AND source < g.turn GROUP BY ALL),
+best AS (
+    SELECT conv_id, turn, level, arg_min(source, (-n, source)) AS source FROM votes JOIN sizes USING (conv_id, turn, level)
+    WHERE 4 * n >= size GROUP BY ALL),
+told AS (
+    SELECT conv_id, turn, count(*) AS n_quoted, count(source) AS n_linked, arg_min(source, level) AS parent
+    FROM sizes LEFT JOIN best USING (conv_id, turn, level) GROUP BY ALL),
+placed AS (
+    SELECT conv_id, turn, turn AS thread, 0 AS depth FROM said LEFT JOIN told USING (conv_id, turn) WHERE parent IS NULL
+    UNION ALL
+    SELECT t.conv_id, t.turn, p.thread, p.depth + 1 FROM placed p JOIN told t ON p.conv_id = t.conv_id AND p.turn = t.parent)
+SELECT conv_id, thread, depth, turn, role, regexp_replace(regexp_replace(text, '^\s*\n', ''), '\s+$', '') AS text, parent,
+    coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
+FROM said JOIN placed USING (conv_id, turn) LEFT JOIN told USING (conv_id, turn)
+"""
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, None),
+    "quoted_conversations": (quoted_conversations, QUOTE_SQL),
     "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
     "op3_line_dedup": (op3_line_dedup, LINE_SQL),
     "op4_quality_rules": (op4_quality_rules, None),

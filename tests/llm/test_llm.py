@@ -454,6 +454,39 @@ def test_quotes(spark):
     assert quotes.conversations(frame.limit(0)).collect() == []
 
 
+def test_quotes_of_passages(spark):
+    """Wrapped anew, cut, edited, of several messages, and foreign; the earliest of equals is the source."""
+    long = "It was a bright cold day in April, and the clocks were striking thirteen"
+    other = "Call me Ishmael, some years ago, never mind how long precisely, having little or no money"
+    rows = [
+        (1, 0, "u", long),
+        (1, 1, "u", "> It was a bright cold\n> day in april and\n>the clocks were\nYes"),
+        (1, 2, "u", f"{other}\n{long}"),
+        (1, 3, "u", "> ago, never mind how long precisely\nA"),
+        (1, 4, "u", f"> {long}\n\n> {other}\nB"),
+        (1, 5, "u", "> the clocks of all the towns struck thirteen times and nobody minded it at all\nC"),
+        (1, 6, "u", "> in April and\nD"),
+        (1, 6, "u", "> in April and\nD"),
+        (1, 7, "u", "> Yes!\n> \nE"),
+        (2, 8, "u", f"> {long}\nF"),
+    ]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clashing = frame.withColumns({c: F.lit("x") for c in ("conv", "version", "hash", "size", "source", "level")})
+    got = {(r.conv, r.turn): (r.text, r.parent, r.n_quoted, r.n_linked) for r in quotes.conversations(clashing).collect()}
+    assert got == {
+        (1, 0): (long, None, 0, 0), (1, 1): ("Yes", 0, 1, 1), (1, 2): (f"{other}\n{long}", None, 0, 0), (1, 3): ("A", 2, 1, 1),
+        (1, 4): ("B", 0, 2, 2), (1, 5): ("C", None, 1, 0), (1, 6): ("D", None, 1, 0), (1, 7): ("E", 1, 1, 1), (2, 8): ("F", None, 1, 0),
+    }
+    assert quotes.conversations(clashing).count() == len(rows)
+
+
+def test_quotes_of_a_very_long_message(spark):
+    text = "\n".join(f"> line {i} of a long quote" if i % 3 else f"and own {i}" for i in range(100_000))
+    frame = spark.createDataFrame([(1, 0, "u", "line 1 of a long quote"), (1, 1, "u", text)], "conv_id long, turn long, role string, text string")
+    row = next(r for r in quotes.conversations(frame).collect() if r.turn)
+    assert (row.parent, row.n_quoted, row.text.count("\n")) == (0, 33333, 33333)
+
+
 def test_pipeline_stages(spark, docs):
     now, benchmark = docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES:
