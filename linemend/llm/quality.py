@@ -1,15 +1,17 @@
 """Quality rules whose cutoffs follow the data.
 
-Per language and source, a mergeable quantile sketch of each measure is built over all documents.
-A cutoff lies beyond the upper (or lower) quartile by a multiple of the spread of the middle half.
-Where that is next to nothing, the spread is what one occurrence makes in the group's median
-document, so the cutoff follows its length. Groups of few documents take the merged sketch of their
-language, then that of all documents, and no group's cutoff is looser than the one it would take so:
-a source of junk can't raise its own. The cutoffs, a few rows, are joined to the documents by
-language and source, and what lies beyond any of them goes.
+Per language and source, a mergeable quantile sketch of each measure is built over all documents: a
+histogram whose bins are 1/128 of their value wide, so that it is small, has a bounded relative error,
+and depends on the documents alone, not on how they are dealt to tasks. Sketches merge by adding counts.
+A cutoff lies beyond the upper (or lower) quartile by a multiple of the spread of the middle half. Where
+that is next to nothing, the spread is what one occurrence makes in the group's median document, so the
+cutoff follows its length. The cutoffs of a language are drawn towards those of all documents, and those
+of a source towards its language's, by the weight of `PRIOR` documents; no source's cutoff is looser
+than its language's, so a source of junk can't raise its own. The cutoffs, a few rows, are joined to the
+documents by language and source, and what lies beyond any of them goes.
 
 Nulls: a null text has no words and fails the base rules; a null language or source is a group of
-its own. Repeated rows are rows of their own.
+its own. Repeated rows are rows of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import work_dir
@@ -40,7 +42,10 @@ MEASURES: dict[str, tuple[str, str, int]] = {
     "mean_word_short": ("word_chars / n_words", "low", 1),
 }
 SIZES = ("n_words", "n_lines")
-MIN_GROUP = 200
+#: Bits of a measure (in millionths) that its bin keeps.
+BIN_BITS = 8
+#: Documents that the wider group's cutoffs count for.
+PRIOR = 200
 SPREADS = 3.0
 
 
@@ -110,38 +115,64 @@ def _measure(rule: str) -> Column:
     return F.col(top) / F.greatest(F.col(bottom), F.lit(1))
 
 
+def _bin(measure: Column) -> Column:
+    """The least number of a measure's bin, in millionths."""
+    micro = F.greatest(F.floor(measure * 1_000_000).cast("long"), F.lit(0))
+    bits = F.greatest(F.length(F.bin(micro)) - BIN_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", micro, bits), bits)
+
+
+def sketches(rows: DataFrame, path: str) -> DataFrame:
+    """(lang, source, measure, bin, n) of all documents, written once; their sum over any groups is the sketch of those."""
+    measures = {m: _measure(m) for m in MEASURES} | {c: F.col(c) for c in SIZES}
+    bins = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), _bin(c).alias("bin")) for m, c in measures.items()))).alias("b")
+    rows.select("lang", "source", bins).groupBy("lang", "source", "b.measure", "b.bin").agg(F.count("*").alias("n")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by.., measure, n, q25, q50, q75): the least bin up to which that share of the documents lies."""
+    group = Window.partitionBy(*by, "measure")
+    merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+    # A group has some thousand bins at most, whatever its documents.
+    ranked = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)})
+    at = [F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bin") / 1_000_000)).alias(f"q{q}") for q in (25, 50, 75)]
+    return ranked.groupBy(*by, "measure").agg(F.first("total").alias("n"), *at)
+
+
+def _limits(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by.., n, limits): the cutoff of each measure by the group's own sketch."""
+    wide = quantiles(sketch, *by).groupBy(*by).agg(
+        F.max("n").alias("n"),
+        *(F.max(F.when(F.col("measure") == m, F.struct("q25", "q50", "q75"))).alias(m) for m in [*MEASURES, *SIZES]),
+    )
+    out = []
+    for name, (formula, side, one) in MEASURES.items():
+        low, high, size = F.col(f"{name}.q25"), F.col(f"{name}.q75"), F.col(formula.split(" / ")[1] + ".q50")
+        beyond = SPREADS * F.greatest(high - low, one / F.greatest(size, F.lit(1.0)))
+        out.append((high + beyond if side == "high" else low - beyond).alias(name))
+    return wide.filter("n > 0").select(*by, "n", F.struct(*out).alias("limits"))
+
+
+def _towards(own: Column, n: Column, wider: Column, strict: bool) -> Column:
+    """Cutoffs of n documents drawn towards those of the wider group, and no looser than these if `strict`."""
+    out = []
+    for m, (_, side, _) in MEASURES.items():
+        least = (F.least if side == "high" else F.greatest)(own[m], wider[m]) if strict else own[m]
+        out.append(((n * least + PRIOR * wider[m]) / (n + PRIOR)).alias(m))
+    return F.struct(*out)
+
+
 def cutoffs(rows: DataFrame) -> DataFrame:
-    """(lang, source, one cutoff for each measure): sketches per group, merged where a group is small."""
-    spark = rows.sparkSession
-    path = work_dir(spark, "sketches")
-    measures = {m: _measure(m) for m in MEASURES} | {c: F.col(c).cast("double") for c in SIZES}
-    rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(c).alias(m) for m, c in measures.items())).write.parquet(path)
-    sketches = spark.read.parquet(path)
-
-    def merged(*by: str) -> DataFrame:
-        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in measures))
-
-    def limits(frame: DataFrame, *by: str) -> DataFrame:
-        out = []
-        for name, (formula, side, one) in MEASURES.items():
-            low, high = (F.kll_sketch_get_quantile_double(F.col(name), F.lit(q)) for q in (0.25, 0.75))
-            size = F.kll_sketch_get_quantile_double(F.col(formula.split(" / ")[1]), F.lit(0.5))
-            beyond = SPREADS * F.greatest(high - low, one / F.greatest(size, F.lit(1.0)))
-            out.append((high + beyond if side == "high" else low - beyond).alias(name))
-        return frame.select(*by, F.col("n"), F.struct(*out).alias("limits"))
-
-    own = limits(sketches, "lang", "source").alias("own")
-    language = limits(merged("lang"), "lang").alias("language")
-    joined = own.join(language, F.col("own.lang").eqNullSafe(F.col("language.lang")), "left")
+    """(lang, source, limits): one cutoff for each measure and group."""
+    sketch = sketches(rows, work_dir(rows.sparkSession, "sketches"))
     # One row of numbers; none where there are no documents.
-    every = limits(merged().filter("n > 0")).first()
+    every = _limits(sketch).first()
     overall = F.struct(*(F.lit(every["limits"][m] if every else None).cast("double").alias(m) for m in MEASURES))
-    wider = F.when(F.col("language.n") >= MIN_GROUP, F.col("language.limits")).otherwise(overall)
-    stricter = F.struct(
-        *((F.least if side == "high" else F.greatest)(F.col(f"own.limits.{m}"), wider[m]).alias(m) for m, (_, side, _) in MEASURES.items())
-    )
-    chosen = F.when(F.col("own.n") >= MIN_GROUP, stricter).otherwise(wider)
-    return joined.select(F.col("own.lang").alias("lang"), F.col("own.source").alias("source"), chosen.alias("limits"))
+    language = _limits(sketch, "lang").select("lang", _towards(F.col("limits"), F.col("n"), overall, strict=False).alias("wider"))
+    own, language = _limits(sketch, "lang", "source").alias("own"), language.alias("language")
+    joined = own.join(language, F.col("own.lang").eqNullSafe(F.col("language.lang")), "left")
+    return joined.select("own.lang", "own.source", _towards(F.col("own.limits"), F.col("own.n"), F.col("wider"), strict=True).alias("limits"))
 
 
 def base_failed() -> Column:
@@ -149,7 +180,10 @@ def base_failed() -> Column:
 
 
 def judge(rows: DataFrame) -> DataFrame:
-    """Measured rows with lang and source, plus base_failed and kept."""
+    """Measured rows with lang and source, plus base_failed and kept; texts are measured once, their counts written."""
+    path = work_dir(rows.sparkSession, "counts")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
     limits = cutoffs(rows).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "limits")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     within = [

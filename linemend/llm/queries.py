@@ -244,12 +244,73 @@ SELECT conv_id, thread, depth, turn, role, regexp_replace(regexp_replace(text, '
 FROM said JOIN placed USING (conv_id, turn) LEFT JOIN told USING (conv_id, turn)
 """
 
+QUALITY_SQL = r"""
+WITH words AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+grams AS (
+    SELECT doc_id, i, list_aggregate(list_slice(w, i, i + 7), 'string_agg', ' ') AS gram
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM words)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
+inside AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+    FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN inside USING (doc_id)),
+rated AS (
+    SELECT *, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS m0, CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS m1,
+        CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS m2, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS m3
+    FROM counted),
+micro AS (
+    SELECT lang, source, unnest([0, 1, 2, 3, 4, 5]) AS m,
+        CAST(floor(unnest([m0, m1, m2, m3, CAST(n_words AS DOUBLE), CAST(n_lines AS DOUBLE)]) * 1000000) AS BIGINT) AS v FROM rated),
+bins AS (
+    SELECT lang, source, m, CASE WHEN length(bin(v)) > 8 THEN (v >> (length(bin(v)) - 8)) << (length(bin(v)) - 8) ELSE v END AS bin FROM micro),
+grouped AS (
+    SELECT 'own' AS grp, lang, source, m, bin FROM bins
+    UNION ALL SELECT 'lang', lang, NULL, m, bin FROM bins
+    UNION ALL SELECT 'all', NULL, NULL, m, bin FROM bins),
+upto AS (
+    SELECT DISTINCT grp, lang, source, m, bin, count(*) OVER (PARTITION BY grp, lang, source, m ORDER BY bin) AS upto,
+        count(*) OVER (PARTITION BY grp, lang, source, m) AS n FROM grouped),
+quantiles AS (
+    SELECT grp, lang, source, m, max(n) AS n, CAST(min(bin) FILTER (100 * upto >= 25 * n) AS DOUBLE) / 1000000 AS q25,
+        CAST(min(bin) FILTER (100 * upto >= 50 * n) AS DOUBLE) / 1000000 AS q50, CAST(min(bin) FILTER (100 * upto >= 75 * n) AS DOUBLE) / 1000000 AS q75
+    FROM upto GROUP BY ALL),
+sized AS (
+    SELECT q.*, greatest(s.q50, 1.0::DOUBLE) AS size FROM quantiles q JOIN quantiles s
+    ON q.grp = s.grp AND q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source AND s.m = CASE q.m WHEN 1 THEN 5 ELSE 4 END
+    WHERE q.m < 4),
+cuts AS (
+    SELECT grp, lang, source, m, n, 'high' AS side, q75 + 3.0::DOUBLE * greatest(q75 - q25, CASE m WHEN 2 THEN 16 ELSE 1 END / size) AS cut FROM sized
+    UNION ALL SELECT grp, lang, source, 4, n, 'low', q25 - 3.0::DOUBLE * greatest(q75 - q25, 1 / size) FROM sized WHERE m = 3),
+wider AS (
+    SELECT l.lang, m, side, (l.n * l.cut + 200 * a.cut) / (l.n + 200) AS cut
+    FROM cuts l JOIN cuts a USING (m, side) WHERE l.grp = 'lang' AND a.grp = 'all'),
+limits AS (
+    SELECT o.lang, o.source, m, side,
+        (o.n * CASE side WHEN 'high' THEN least(o.cut, w.cut) ELSE greatest(o.cut, w.cut) END + 200 * w.cut) / (o.n + 200) AS cut
+    FROM cuts o JOIN wider w USING (m, side) WHERE o.grp = 'own' AND o.lang IS NOT DISTINCT FROM w.lang),
+flat AS (
+    SELECT lang, source, max(cut) FILTER (m = 0) AS c0, max(cut) FILTER (m = 1) AS c1, max(cut) FILTER (m = 2) AS c2,
+        max(cut) FILTER (m = 3) AS c3, max(cut) FILTER (m = 4) AS c4 FROM limits GROUP BY ALL),
+judged AS (
+    SELECT r.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+        m0 <= c0 AND m1 <= c1 AND m2 <= c2 AND m3 <= c3 AND m3 >= c4 AS within
+    FROM rated r JOIN flat f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept, n_lines FROM judged
+"""
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, None),
     "quoted_conversations": (quoted_conversations, QUOTE_SQL),
     "op2_substring_dedup": (op2_substring_dedup, SUBSTRING_SQL),
     "op3_line_dedup": (op3_line_dedup, LINE_SQL),
-    "op4_quality_rules": (op4_quality_rules, None),
+    "op4_quality_rules": (op4_quality_rules, QUALITY_SQL),
     "op5_url_filters": (op5_url_filters, None),
     "op6_toxicity": (op6_toxicity, None),
     "op7_packing": (op7_packing, None),

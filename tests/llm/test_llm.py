@@ -148,6 +148,33 @@ def test_quality_cutoffs_follow_the_data(spark):
     assert len({r["mean_word_long"] for r in found}) > 1
 
 
+def test_quality_sketches_do_not_depend_on_the_dealing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.measured(docs, "text", {c: F.col(c) for c in ("lang", "source")}).cache()
+    assert len({tuple(sorted(map(str, quality.cutoffs(rows.repartition(n)).collect()))) for n in (1, 7)}) == 1
+
+
+@pytest.mark.parametrize("n", [1, 199, 200, 201])
+def test_quality_cutoffs_move_evenly_with_the_size_of_a_group(spark, n):
+    """No size at which other cutoffs take over: each document more draws a group towards its own sketch."""
+    rows = [("en", "big", 0, 100, 5, 500, 0, 0)] * 1000 + [("en", "small", 0, 400, 5, 2000, 0, 0)] * n
+    frame = spark.createDataFrame(rows, "lang string, source string, n_symbols long, n_words long, n_lines long, word_chars long, n_dup_lines long, n_repeat_words long")
+    found = {r.source: r.limits.symbols_per_word for r in quality.cutoffs(frame).collect()}
+    wider, own = found["big"], 3 / 400
+    assert found["small"] == pytest.approx((n * own + quality.PRIOR * wider) / (n + quality.PRIOR), rel=0.01)
+
+
+def test_quality_quantiles_against_sorting(spark):
+    values = np.sort(np.random.default_rng(5).lognormal(4, 2, 3000).astype(int) + 1)
+    rows = [("en", "s", 0, int(v), 1, 5 * int(v), 0, 0) for v in values]
+    frame = spark.createDataFrame(rows, "lang string, source string, n_symbols long, n_words long, n_lines long, word_chars long, n_dup_lines long, n_repeat_words long")
+    sketch = quality.sketches(frame, quality.work_dir(spark, "sketch-test"))
+    found = quality.quantiles(sketch, "lang").filter("measure = 'n_words'").first()
+    for q in (25, 50, 75):
+        exact = values[-(-3000 * q // 100) - 1]
+        assert exact * 127 / 128 <= found[f"q{q}"] <= exact
+
+
 def test_quality_cutoffs_of_unlike_groups(spark):
     """Sources of long, short and junk documents: cutoffs follow the length, and junk gets none of its own."""
     plain, junk = "some words of plain text", "# $ % some words"
