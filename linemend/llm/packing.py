@@ -4,7 +4,9 @@ A task reads its documents once. Of a document, every full window is a sequence
 rest is placed best-fit into one of `OPEN` open windows. When none has room, the fullest is
 emitted and a new one opened, so a task holds `OPEN` counters whatever it reads. What is open at
 the end goes, as windows of known size, to a merge of the tasks' leftovers: in rounds of at most
-`OPEN * FAN_IN` windows a group, best-fit with the largest first, until one group is left.
+`OPEN * FAN_IN` windows a group, best-fit with the largest first, until one group is left. Of what a
+group has merged, the `OPEN` least full windows go on to the next round and the others stay as they
+are, so that bound holds in every round, the last one included, whatever the number of tasks.
 
 Pieces are written once to a table in the shared folder, so that a lost executor cannot bring a
 second, different numbering; the merge only moves whole windows.
@@ -107,7 +109,7 @@ def _placed(doc_ids: list, ids: np.ndarray, places: list[int], windows: Windows)
 
 
 def _merge(windows: pd.DataFrame) -> pd.DataFrame:
-    """Whole windows into fewer: (window, target, base) and the target's use."""
+    """Whole windows into fewer: (window, target, base), the target's use, and whether it goes on."""
     rows = windows.sort_values(["used", "window"], ascending=[False, True])
     bins: list[tuple[int, int]] = []
     out, total = [], {}
@@ -118,23 +120,33 @@ def _merge(windows: pd.DataFrame) -> pd.DataFrame:
         out.append((window, target, base))
         if base + used < LENGTH:
             insort(bins, (base + used, target))
-    return pd.DataFrame([(w, t, b, total[t]) for w, t, b in out], columns=["window", "target", "base", "target_used"])
+    on = {target for _, target in bins[:OPEN]}
+    return pd.DataFrame([(w, t, b, total[t], t in on) for w, t, b in out], columns=["window", "target", "base", "target_used", "on"])
 
 
-MOVES = "window long, target long, base long, target_used long"
+MOVES = "window long, target long, base long, target_used long, on boolean"
 
 
 def merged(spark: SparkSession, open_windows: DataFrame, tasks: int) -> DataFrame:
     """(window, target, base) for the leftovers (window, used) of a number of tasks."""
-    moves = open_windows.select("window", F.col("window").alias("target"), F.lit(0).cast("long").alias("base"), F.col("used").alias("target_used"))
+    moves = open_windows.select(
+        "window", F.col("window").alias("target"), F.lit(0).cast("long").alias("base"), F.col("used").alias("target_used"), F.lit(True).alias("on")
+    )
     span = 1
     while True:
         span *= FAN_IN
         group = F.shiftright(F.col("target"), TASK_BITS) / F.lit(span)
-        heads = moves.groupBy("target").agg(F.max("target_used").alias("used")).withColumn("part", F.floor(group))
+        heads = moves.filter("on").groupBy("target").agg(F.max("target_used").alias("used")).withColumn("part", F.floor(group))
         step = heads.withColumnRenamed("target", "window").groupBy("part").applyInPandas(_merge, MOVES)
-        step = step.select(F.col("window").alias("target"), F.col("target").alias("to"), F.col("base").alias("more"), F.col("target_used").alias("sum"))
-        moved = moves.join(step, "target").select("window", F.col("to").alias("target"), (F.col("base") + F.col("more")).alias("base"), F.col("sum").alias("target_used"))
+        step = step.select(F.col("window").alias("target"), F.col("target").alias("to"), F.col("base").alias("more"), F.col("target_used").alias("sum"), F.col("on").alias("further"))
+        # Windows that stay as they are have no step.
+        moved = moves.join(step, "target", "left").select(
+            "window",
+            F.coalesce("to", "target").alias("target"),
+            (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"),
+            F.coalesce("sum", "target_used").alias("target_used"),
+            F.coalesce("further", F.lit(False)).alias("on"),
+        )
         path = work_dir(spark, "moves")
         moved.write.parquet(path)
         moves = spark.read.parquet(path)

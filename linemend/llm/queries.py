@@ -305,6 +305,28 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND within AS kept, n_lines FROM judged
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+grams AS (
+    SELECT DISTINCT doc_id, list_aggregate(list_slice(w, i, i + 2), 'string_agg', ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)),
+sets AS (SELECT doc_id, count(*) AS n, sha256(string_agg(g, chr(10) ORDER BY g)) AS class FROM grams GROUP BY doc_id),
+classes AS (SELECT class, any_value(n) AS n, min(doc_id) AS least, count(*) AS copies FROM sets GROUP BY class),
+members AS (SELECT class, n, g FROM classes JOIN grams ON doc_id = least),
+pairs AS (
+    SELECT x.class AS a, y.class AS b FROM members x JOIN members y ON x.g = y.g AND x.class <> y.class AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+    GROUP BY x.class, y.class, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (SELECT class AS node, class AS peer FROM classes UNION SELECT node, b FROM reach JOIN pairs ON peer = a),
+components AS (SELECT node AS class, min(least) AS component_id FROM reach JOIN classes ON peer = class GROUP BY node),
+degrees AS (SELECT a AS class, sum(copies) AS others FROM pairs JOIN classes ON b = class GROUP BY a)
+SELECT doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+    CAST(coalesce(copies - 1, 0) + coalesce(others, 0) AS BIGINT) AS n_links, coalesce(copies, 1) AS copies
+FROM documents LEFT JOIN sets s USING (doc_id) LEFT JOIN classes USING (class) LEFT JOIN components USING (class) LEFT JOIN degrees USING (class)
+"""
+
 QUERIES = {
     "op1_chat_formatting": (op1_chat_formatting, None),
     "quoted_conversations": (quoted_conversations, QUOTE_SQL),
@@ -316,7 +338,7 @@ QUERIES = {
     "op7_packing": (op7_packing, None),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, None),
     "op9_language_id": (op9_language_id, None),
-    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, None),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, JACCARD_SQL),
     "op11_exact_top_k": (op11_exact_top_k, TOP_K_SQL),
     "op12_importance_resampling": (op12_importance_resampling, RESAMPLE_SQL),
     "op13_cross_tokenizer_alignment": (op13_cross_tokenizer_alignment, None),

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import compare
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -290,6 +291,33 @@ def test_packing_bounds_open_windows():
         assert len(windows.sizes) <= packing.OPEN
 
 
+def test_merge_passes_on_a_bounded_number_of_windows():
+    used = np.random.default_rng(3).integers(2200, 4096, packing.OPEN * packing.FAN_IN)
+    found = packing._merge(pd.DataFrame({"window": np.arange(len(used)), "used": used}))
+    on, rest = (found[found.on == flag] for flag in (True, False))
+    assert on.target.nunique() == packing.OPEN and on.target_used.max() <= rest.target_used.min()
+
+
+def test_merge_over_many_tasks(spark):
+    """Three rounds' worth of tasks: each window lies whole in one sequence, gapless from 0, in hardly more sequences than one merge of all makes."""
+    rng, tasks = np.random.default_rng(4), 64 * 64 + 5
+    rows = [((task << packing.TASK_BITS) + 7, int(n)) for task, n in enumerate(rng.integers(1, 3000, tasks))]
+    rows += [((task << packing.TASK_BITS) + 8 + i, 3000 + i) for task in range(64) for i in range(packing.OPEN)]
+    found = packing.merged(spark, spark.createDataFrame(rows, "window long, used long"), tasks).collect()
+    used, by_target = dict(rows), defaultdict(list)
+    for r in found:
+        by_target[r.target].append((r.base, used[r.window]))
+    assert sorted(r.window for r in found) == sorted(used)
+    for parts in by_target.values():
+        at = 0
+        for base, n in sorted(parts):
+            assert base == at
+            at += n
+        assert at <= packing.LENGTH
+    at_once = packing._merge(pd.DataFrame(rows, columns=["window", "used"])).target.nunique()
+    assert len(by_target) <= 1.03 * at_once
+
+
 def test_leaks_equal_brute_force(spark, docs):
     def grams(w):
         return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
