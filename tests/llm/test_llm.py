@@ -298,11 +298,16 @@ def test_merge_passes_on_a_bounded_number_of_windows():
     assert on.target.nunique() == packing.OPEN and on.target_used.max() <= rest.target_used.min()
 
 
-def test_merge_over_many_tasks(spark):
-    """Three rounds' worth of tasks: each window lies whole in one sequence, gapless from 0, in hardly more sequences than one merge of all makes."""
+@pytest.mark.parametrize(("hostile", "more"), [(False, 1.02), (True, 1.06)])
+def test_merge_over_many_tasks(spark, hostile, more):
+    """Three rounds' worth of tasks: each window lies whole in one sequence, gapless from 0.
+
+    One merge of all needs few sequences less; with all large windows in one group, which can't all go on
+    to meet the small ones of others, some more.
+    """
     rng, tasks = np.random.default_rng(4), 64 * 64 + 5
     rows = [((task << packing.TASK_BITS) + 7, int(n)) for task, n in enumerate(rng.integers(1, 3000, tasks))]
-    rows += [((task << packing.TASK_BITS) + 8 + i, 3000 + i) for task in range(64) for i in range(packing.OPEN)]
+    rows += [(((i % 64 if hostile else i) << packing.TASK_BITS) + 8 + i, 3000 + i // 64) for i in range(4096)]
     found = packing.merged(spark, spark.createDataFrame(rows, "window long, used long"), tasks).collect()
     used, by_target = dict(rows), defaultdict(list)
     for r in found:
@@ -315,7 +320,8 @@ def test_merge_over_many_tasks(spark):
             at += n
         assert at <= packing.LENGTH
     at_once = packing._merge(pd.DataFrame(rows, columns=["window", "used"])).target.nunique()
-    assert len(by_target) <= 1.03 * at_once
+    print("sequences", hostile, len(by_target), at_once)
+    assert len(by_target) <= more * at_once
 
 
 def test_leaks_equal_brute_force(spark, docs):
