@@ -21,13 +21,14 @@ compose: within each split, over ranges of splits, and over the ranges of a file
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from ..functions import after_bytes, char_class, decode_utf8_lossy, separator_count
-from ..session import work_dir
+from ..session import settings, work_dir
 
 # Line checks ------------------------------------------------------------------------
 
@@ -123,24 +124,46 @@ def stage_split(
     `by_file` only the files they ask for.
 
     Staging makes the cut points final: a lost task cannot see other blocks than the
-    ones its neighbours were matched with.
+    ones its neighbours were matched with. Without `by_file` the blocks lie in buckets by file and
+    part, so that what is known of a part comes to its blocks and no text goes to the states.
     """
-    return _written(split_blocks(blocks, expected, sep, keep), path or work_dir(blocks.sparkSession, "split"), by_file)
+    split, path = split_blocks(blocks, expected, sep, keep), path or work_dir(blocks.sparkSession, "split")
+    return _written(split, path, by_file) if by_file else _bucketed(split, path)
+
+
+#: Files that a task writes side by side; a task of more buckets sorts the rest by bucket first.
+OPEN_BUCKETS = 16
+
+
+def _bucketed(df: DataFrame, path: str) -> DataFrame:
+    """A table of the shared folder in as many buckets by (file, part) as a shuffle has partitions.
+
+    Rows are written where they are: a task holds the blocks of a few parts, so it writes a few files.
+    Only a table of the catalog can tell its buckets; the name is given back once it is read.
+    """
+    spark = df.sparkSession
+    name = f"linemend_split_{uuid.uuid4().hex}"
+    with settings(spark, spark__sql__maxConcurrentOutputFileWriters=str(OPEN_BUCKETS)):
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _block_writer(df).bucketBy(buckets, "file", "part").option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def _written(df: DataFrame, path: str, by_file: bool = False) -> DataFrame:
-    """A table in the shared folder. Rows can be large, so the writer looks at its sizes often."""
-    (
-        df.write.option("parquet.block.size", 32 << 20)
-        .option("parquet.block.size.row.check.min", 1)
-        .option("parquet.page.size.row.check.min", 1)
-        .partitionBy(*(["file"] if by_file else []))
-        .parquet(path)
-    )
+    """A table in the shared folder."""
+    _block_writer(df).partitionBy(*(["file"] if by_file else [])).parquet(path)
     # With the schema given, names of folders are not taken for numbers.
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _block_writer(df: DataFrame) -> DataFrameWriter:
+    """Rows can be large, so the writer looks at its sizes often."""
+    sizes = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+    return df.write.options(**sizes)
+
+
 def _record_pattern(expected: Column, s: str) -> Column:
     """One record, its last line end left out: up to the end of the line that holds its
     expected-th separator.
@@ -192,9 +215,9 @@ RANGE_BITS = (36, 14)
 
 
 def entry_states(split: DataFrame) -> DataFrame:
-    """(file, part, seq, entry, closes, opener, fits): pending count at the start of each block,
-    whether the block closes a record, the earlier block whose tail began the one pending, and
-    whether any record of the file ends.
+    """(file, part, fits, states) of each part: whether any record of the file ends, and of each block
+    (seq, entry, closes, opener): the pending count at its start, whether it closes a record, and
+    the earlier block whose tail began the one pending.
 
     Works on a few integers per block and is itself as small. Steps are composed upwards in a
     tree, and the states handed down again, so that no group holds all splits of a large file.
@@ -214,8 +237,11 @@ def entry_states(split: DataFrame) -> DataFrame:
     for level, bits in zip(reversed(levels), reversed(RANGE_BITS)):
         ranges = level.groupBy("file", F.expr(f"shiftright(part, {bits}) AS above")).agg(F.expr("sort_array(collect_list(struct(part, step))) AS items"))
         entries = _handed_down(ranges.withColumnRenamed("above", "part").join(entries, ["file", "part"]), _MAPPED, "b.part AS part")
-    blocks = _handed_down(parts.drop("expected").join(entries, ["file", "part"]), _STEP, "b.part AS part", "b.seq AS seq", f"{_CLOSES} AS closes")
-    return blocks.selectExpr("file", "part", "seq", "s.entry AS entry", "closes", "struct(s.open_part AS part, s.open_seq AS seq) AS opener", "fits")
+    state = """named_struct('seq', x.b.seq, 'entry', x.s.entry, 'closes', x.s.entry + x.b.lead_separators >= x.b.expected,
+      'opener', named_struct('part', x.s.open_part, 'seq', x.s.open_seq))"""
+    return parts.drop("expected").join(entries, ["file", "part"]).selectExpr(
+        "file", "part", "fits", f"transform({_before(_STEP)}, x -> {state}) AS states"
+    )
 
 
 def _composed(groups: DataFrame, step: str) -> DataFrame:
@@ -229,8 +255,12 @@ def _composed(groups: DataFrame, step: str) -> DataFrame:
 
 def _handed_down(groups: DataFrame, step: str, *columns: str) -> DataFrame:
     """The state before each item, given the state `s` before its group."""
-    before = f"transform(items, (b, i) -> struct(b, aggregate(slice(items, 1, i), s, (s, b) -> {step}) AS s))"
-    return groups.selectExpr("file", "fits", f"inline({before})").selectExpr("file", *columns, "s", "fits")
+    return groups.selectExpr("file", "fits", f"inline({_before(step)})").selectExpr("file", *columns, "s", "fits")
+
+
+def _before(step: str) -> str:
+    """Pairs of an item `b` and the state `s` before it."""
+    return f"transform(items, (b, i) -> struct(b, aggregate(slice(items, 1, i), s, (s, b) -> {step}) AS s))"
 
 
 def stage_states(split: DataFrame, path: str | None = None) -> DataFrame:
@@ -265,8 +295,12 @@ def _within(blocks: DataFrame, zone: int) -> DataFrame:
 def stage_edges(
     split: DataFrame, states: DataFrame, sep: str = "|", path: str | None = None, by_file: bool = False
 ) -> DataFrame:
-    """Write the leads, cut by what was pending, once for all kinds of records at block borders."""
-    return _written(_edges(split, states, sep), path or work_dir(split.sparkSession, "edges"), by_file)
+    """Write the leads, cut by what was pending, once for all kinds of records at block borders.
+
+    States of a part that are too many to be broadcast go to the bucket of its blocks and are hashed there.
+    """
+    with settings(split.sparkSession, spark__sql__join__preferSortMergeJoin="false"):
+        return _written(_edges(split, states, sep), path or work_dir(split.sparkSession, "edges"), by_file)
 
 
 def _edges(split: DataFrame, states: DataFrame, sep: str) -> DataFrame:
@@ -277,14 +311,16 @@ def _edges(split: DataFrame, states: DataFrame, sep: str) -> DataFrame:
     rest = after_bytes(F.col("lead"), F.octet_length("closing"))
     records = F.regexp_extract_all("rest", _record_pattern(F.col("expected"), s), F.lit(1))
     opening = F.when(F.col("synced"), F.col("tail")).otherwise(after_bytes(F.col("rest"), _taken("records")))
+    own = F.get(F.filter("states", lambda state: state["seq"] == F.col("seq")), F.lit(0))
     return (
-        split.join(states, ["file", "part", "seq"])
-        .select("file", "part", "seq", "expected", "synced", "lead", "tail", "closes", "opener", "fits", F.expr("false AS exact"),
-                F.when(F.col("closes"), closing).otherwise(F.col("lead")).alias("closing"))
+        split.join(states, ["file", "part"])
+        .withColumn("own", own)
+        .select("file", "part", "seq", "expected", "synced", "lead", "tail", "own.entry", "own.closes", "own.opener", "fits", F.expr("false AS exact"))
+        .withColumn("closing", F.when(F.col("closes"), closing).otherwise(F.col("lead")))
         .withColumn("rest", rest)
         .withColumn("records", records)
         .withColumn("open", opening)
-        .drop("synced", "lead", "tail", "rest")
+        .drop("synced", "lead", "tail", "rest", "entry")
     )
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linemend.operators import repair
+from linemend.session import settings
 from linemend.sources import lines_of_rows, pack_blocks, scan_lines
 
 
@@ -134,6 +135,29 @@ def test_no_text_leaves_its_task_but_block_edges(spark):
     assert repair.reassemble_records(split, repair.stage_edges(split, repair.stage_states(split))).count() == 20000
 
 
+@pytest.mark.parametrize("block_bytes", [100, 4000])
+def test_states_reach_blocks_without_moving_text(spark, monkeypatch, block_bytes):
+    """Where the states can't be broadcast, they go to the buckets of the staged blocks."""
+    lines = [piece for n in range(900) for piece in (f"a{n}|b", "c|d", f"e|f{n}")]
+    frame = spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1)
+    split = repair.stage_split(pack_blocks(lines_of_rows(frame, F.lit("f"), F.col("value")), block_bytes), 3)
+    states = repair.stage_states(split)
+    planned = []
+    written = repair._written
+    monkeypatch.setattr(repair, "_written", lambda df, *rest: planned.append(df) or written(df, *rest))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        edges = repair.stage_edges(split, states)
+        plan = planned[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "BroadcastHashJoin" not in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    after = plan[plan.index("Exchange") :]
+    assert len(exchanges) == 1 and "states" in after and "lead" not in after
+    outcome = repair.reassemble_records(split, edges)
+    rows = sorted(outcome.collect(), key=lambda r: (r["part"], r["seq"], r["zone"], r["rec"]))
+    assert [(r["value"], r["status"], r["suspect"]) for r in rows] == sequential(lines, 3)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("linemend_split")]
+
+
 def test_line_checks(spark):
     rows = [("f", 0, 0, "a|b|c"), ("f", 0, 1, "a|b"), ("f", 9, 0, "a"), ("g", 0, 0, "a|b|c"), ("g", 0, 1, "d|e|f")]
     lines = spark.createDataFrame(rows, "file string, part long, id long, value string")
