@@ -3,10 +3,9 @@
 1. Lexicons. From a bounded sample of labelled training documents, words and word beginnings that
    toxic texts hold more often than others become lexicon voters; a few patterns of characters are
    voters too. A voter fires on a text or keeps silent.
-2. Label model. A generative model with a hidden label: each voter fires with one probability on
-   toxic and another on other texts. Expectation maximisation estimates both from the votes, among
-   which the label of a sampled document is one of known accuracy. Voters that fire together within a label (residual correlations) share their weight, so that a
-   word and its beginning don't count twice.
+2. Label model. A generative model with a hidden label: each voter fires with a probability that depends on the
+   label and on the one other voter that it is correlated with most. Expectation maximisation estimates these
+   accuracies and correlations from the votes, among which the label of a sampled document is one.
 3. Classifier. A linear model on the presence of hashed features is trained on the posterior
    labels and scores every whole text.
 
@@ -41,8 +40,13 @@ FEATURES = 1500
 #: by chance only where this likelihood ratio statistic is reached.
 LEAN, TOLD = float(np.log(8)), 20.0
 ROUNDS = 50
-#: How often a label of the sample is taken to be right.
-GIVEN = 0.95
+#: Rounds in which the voters' forest is drawn anew; it stays as it is in the others.
+FOREST_ROUNDS = 5
+#: Voters may depend on one another from this residual correlation on.
+TIED = 0.3
+#: How often a label of the sample is taken to be right before any is compared with the votes, and the texts that this
+#: belief counts for.
+GIVEN, GIVEN_WEIGHT = 0.95, 20
 PATTERNS = ("exclamations", "mixed marks", "masked letters", "stretched letters", "capitals", "mentions")
 
 _LETTERS = np.zeros(256, bool)
@@ -97,39 +101,111 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, n_lexicon: int) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior that each text is toxic, log weight of each voter's firing).
+@dataclass(frozen=True)
+class LabelModel:
+    """What was estimated of the hidden label and its voters.
+
+    `parent` is the voter that each voter depends on besides the label, -1 where none does. `fired` has, for a silent
+    and a firing parent, the log ratio of the odds that a voter fires on toxic and on other texts.
+    """
+
+    posterior: np.ndarray
+    parent: np.ndarray
+    fired: np.ndarray
+    #: Shares of toxic and of other texts that the given label, as a voter, gets right.
+    given_right: tuple[float, float] | None
+
+
+def _dependence(x: np.ndarray, weights: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Twice the log likelihood ratio by which each pair of voters depends on one another within the labels."""
+    out = np.zeros((x.shape[1], x.shape[1]))
+    for w in weights:
+        n = w.sum() + 1e-9
+        both, one = x.T @ (w[:, None] * x), w @ x
+        for a in (one, n - one):
+            for b in (one, n - one):
+                n_a, n_b = a[:, None], b[None, :]
+                # Texts in which the voters are as `a` and `b` say, from the margins and the joint count.
+                joint = both if a is one and b is one else n_a - both if a is one else n_b - both if b is one else n - one[:, None] - one[None, :] + both
+                joint = np.maximum(joint, 0)
+                expected = np.maximum(n_a * n_b / n, 1e-12)
+                out += 2 * joint * np.log(np.maximum(joint, 1e-12) / expected)
+    # Labels that are wrong by themselves tie all voters a little; such ties are not the voters' own.
+    rest = x - sum(w[:, None] * ((w @ x) / (w.sum() + 1e-9)) for w in weights)
+    spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
+    out[(rest.T @ rest) / max(len(x), 1) / np.outer(spread, spread) <= TIED] = 0
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _forest(strength: np.ndarray, least: float) -> np.ndarray:
+    """The parent of each voter in the strongest spanning forest of edges over `least`; -1 for roots."""
+    n = len(strength)
+    parent, best, by = np.full(n, -1), np.full(n, -np.inf), np.full(n, -1)
+    left = np.ones(n, bool)
+    for _ in range(n):
+        i = int(np.argmax(np.where(left, best, -np.inf))) if (best[left] > least).any() else int(np.flatnonzero(left)[0])
+        parent[i] = by[i] if best[i] > least else -1
+        left[i] = False
+        closer = left & (strength[i] > best)
+        best[closer], by[closer] = strength[i][closer], i
+    return parent
+
+
+def _balanced(z: np.ndarray, share: float) -> np.ndarray:
+    """Posteriors of log odds `z`, moved by what makes `share` their mean."""
+    low, high = -80.0, 80.0
+    for _ in range(40):
+        middle = (low + high) / 2
+        posterior = 1 / (1 + np.exp(-np.clip(z + middle, -40, 40)))
+        low, high = (middle, high) if posterior.mean() < share else (low, middle)
+    return posterior
+
+
+def label_model(votes: np.ndarray, given: np.ndarray, n_lexicon: int, given_votes: bool = True) -> LabelModel:
+    """A hidden label and what each voter does given it and one other voter, by expectation maximisation.
 
     The first `n_lexicon` voters are lexicons, patterns follow. A silent voter says nothing, since
-    a lexicon is of one language; that all lexicons are silent does. `given`, the label of each
-    sampled text, is one more voter of known accuracy `GIVEN`: without it the hidden label may
-    settle on something else that texts have in common, such as one language's toxic texts.
-    A voter may turn out useless, but not speak for the other label.
+    a lexicon is of one language, unless the voter it depends on fires; that all lexicons are silent does. As
+    silence is left out, the share of toxic texts is held to that of the given labels, or firing would decide alone. Correlations are part of the model: voters form
+    the forest of their strongest dependences within the labels, and a voter fires with a probability for each label
+    and state of its parent, so that a word and its beginning don't count twice. `given`, the label of each
+    sampled text, is one more voter whose accuracies are estimated too, starting from `GIVEN` with the weight of
+    `GIVEN_WEIGHT` texts of either label; without `given_votes` only their share of toxic texts is used. A voter may turn out useless, but not speak for the other label.
     """
     x = votes.astype(np.float64)
     trusted = x[:, :n_lexicon].sum(axis=1)
     none = (trusted == 0).astype(np.float64)
+    first = given == 1 if given_votes else trusted > 0
+    post = np.where(first, GIVEN, 1 - GIVEN)
     prior = (given.sum() + 0.5) / (len(given) + 1)
-    base = np.log(prior / (1 - prior)) + np.where(given == 1, 1, -1) * np.log(GIVEN / (1 - GIVEN))
-    post = np.where(given == 1, GIVEN, 1 - GIVEN)
-    fired = share = np.zeros(x.shape[1])
-    for _ in range(ROUNDS):
-        on = (post @ x + 0.05) / (post.sum() + 1)
-        off = np.minimum(((1 - post) @ x + 0.05) / ((1 - post).sum() + 1), on)
-        # What the label leaves unexplained of two voters firing together.
-        rest = x - (post[:, None] * on + (1 - post)[:, None] * off)
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        together = (rest.T @ rest) / len(x) / np.outer(spread, spread)
-        np.fill_diagonal(together, 0)
-        share = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
-        fired = np.log(on / off)
-        quiet = np.log((post @ none + 0.05) / (post.sum() + 1)) - np.log(((1 - post) @ none + 0.05) / ((1 - post).sum() + 1))
-        new = 1 / (1 + np.exp(-np.clip(base + x @ (share * fired) + none * quiet, -40, 40)))
-        done = np.abs(new - post).max() < 1e-6
+    parent = np.full(x.shape[1], -1)
+    fired, right = np.zeros((2, x.shape[1])), None
+    for turn in range(ROUNDS):
+        weights = (post, 1 - post)
+        totals = [w.sum() for w in weights]
+        if turn < FOREST_ROUNDS:
+            parent = _forest(_dependence(x, weights), TOLD)
+            above = np.where(parent[None, :] >= 0, x[:, parent], 0)
+        shares = []
+        for w, n in zip(weights, totals, strict=True):
+            alone = (w @ x + 0.05) / (n + 1)
+            n_above, n_both = w @ above, w @ (x * above)
+            silent = (w @ x - n_both + alone) / (n - n_above + 1)
+            shares.append(np.stack([silent, (n_both + alone) / (n_above + 1)]))
+        fired = np.maximum(np.log(np.clip(shares[0], 1e-9, 1)) - np.log(np.clip(shares[1], 1e-9, 1)), 0)
+        quiet = np.log(np.clip(1 - shares[0][1], 1e-9, 1)) - np.log(np.clip(1 - shares[1][1], 1e-9, 1))
+        z = (x * np.where(above == 1, fired[1], fired[0]) + above * (1 - x) * quiet).sum(axis=1)
+        z += none * (np.log((post @ none + 0.05) / (totals[0] + 1)) - np.log((weights[1] @ none + 0.05) / (totals[1] + 1)))
+        if given_votes:
+            right = tuple(float((w @ (given == y) + GIVEN * GIVEN_WEIGHT) / (n + GIVEN_WEIGHT)) for w, n, y in zip(weights, totals, (1, 0), strict=True))
+            z += np.where(given == 1, np.log(right[0] / (1 - right[1])), np.log((1 - right[0]) / right[1]))
+        new = _balanced(z, prior)
+        done = turn >= FOREST_ROUNDS and np.abs(new - post).max() < 1e-6
         post = new
         if done:
             break
-    return post, share * fired
+    return LabelModel(post, parent, fired, right)
 
 
 def linear(x: np.ndarray, target: np.ndarray, l2: float = 1.0, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -232,8 +308,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return found.groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label")).select("text", "label").repartition(TASKS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE) -> Model:
-    """A model from the labelled rows that are given; hold rows out before."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE, given_votes: bool = True
+) -> Model:
+    """A model from the labelled rows that are given; hold rows out before.
+
+    Without `given_votes` labels choose the lexicons only, and the hidden label is found from the votes of lexicons and patterns.
+    """
     sample = training_sample(docs, labels, id_col, text_col, label_col, rows)
     counts, n = _frequencies(sample)
     none = Model(np.zeros(1 << BITS, np.float32), np.zeros(len(PATTERNS), np.float32), -40.0 if n[1] == 0 else 40.0)
@@ -247,8 +328,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = np.unique(np.concatenate((lexicon, np.argsort(-told, kind="stable")[:FEATURES])))
     held, given = _held(sample, chosen)
     voters = np.concatenate((np.searchsorted(chosen, lexicon), np.arange(len(chosen), held.shape[1])))
-    post, _ = label_model(held[:, voters], given, len(lexicon))
-    w, b = linear(held, post)
+    told_by = label_model(held[:, voters], given, len(lexicon), given_votes)
+    w, b = linear(held, told_by.posterior)
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w[: len(chosen)]
     return Model(weights, w[len(chosen) :], b)

@@ -12,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linemend.llm import align, crc, queries, resample, segments
+from linemend.llm import align, crc, queries, resample, segments, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -265,3 +265,34 @@ def test_fast_cut_equals_library(paths):
     texts = [" " + "".join(f"a{chr(c)}b{chr(c)}1 {chr(c)}" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) for at in range(1, 0x30000, 64)]
     slow = [e.ids for e in side.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [side.encode(t).tolist() for t in texts] == slow
+
+
+@pytest.mark.parametrize("wrong", [0.02, 0.1])
+def test_label_model_estimates_accuracies_and_correlations(wrong):
+    """Planted: six voters, three copies of the first among them, and given labels of which some are wrong."""
+    rng = np.random.default_rng(5)
+    toxic = rng.random(8000) < 0.3
+    own = rng.random((8000, 6)) < np.where(toxic[:, None], 0.6, 0.02)
+    votes = np.concatenate([own, np.repeat(own[:, :1], 3, axis=1)], axis=1)
+    given = np.where(rng.random(8000) < wrong, ~toxic, toxic).astype(int)
+    model = toxicity.label_model(votes, given, votes.shape[1])
+    # Wrong labels make the share of toxic texts that is held seem larger than it is, at the cost of the first accuracy.
+    assert abs(model.given_right[1] - (1 - wrong)) < 0.02 and -0.02 < 1 - wrong - model.given_right[0] < wrong
+    assert ((model.posterior >= 0.5) == toxic).mean() > 1 - wrong / 2
+    # The four equal voters hang together and count once: with its parent firing a copy adds nothing.
+    family = [0, 6, 7, 8]
+    tied = [v for v in family if model.parent[v] >= 0]
+    assert len(tied) == 3 and all(model.parent[v] in family for v in tied) and (model.parent[1:6] == -1).all()
+    assert all(model.fired[1, v] < 0.05 for v in tied) and (model.fired[0, 1:6] > 2).all()
+
+
+def test_label_model_without_given_votes_and_without_any_vote():
+    rng = np.random.default_rng(6)
+    toxic = rng.random(4000) < 0.3
+    votes = rng.random((4000, 8)) < np.where(toxic[:, None], 0.6, 0.02)
+    model = toxicity.label_model(votes, toxic.astype(int), 8, given_votes=False)
+    assert model.given_right is None and ((model.posterior >= 0.5) == toxic).mean() > 0.97
+    silent = toxicity.label_model(np.zeros((50, 3), bool), np.arange(50) % 2, 3)
+    assert np.isfinite(silent.posterior).all() and (silent.parent == -1).all()
+    none = toxicity.label_model(np.zeros((50, 0), bool), np.arange(50) % 2, 0)
+    assert np.isfinite(none.posterior).all()
