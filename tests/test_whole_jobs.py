@@ -23,3 +23,9 @@ def test_catalog_match_finds_each_schema(spark, customers):
     rows = ALL["catalog_match"][0](spark, customers).collect()
     assert len(rows) == 28
     assert sorted(r["schema_path"] for r in rows if r["schema_path"]) == sorted(f"C:/data/schema/schema_S_N{i}.txt" for i in WITH_SCHEMA for _ in "ab")
+
+
+def test_catalog_rows_hold_each_archive_with_a_schema(spark, customers):
+    rows = ALL["catalog_rows"][0](spark, customers).collect()
+    assert sorted(r["catalog_key"] for r in rows) == sorted(f"S_N{i}" for i in WITH_SCHEMA)
+    assert {r["schema_path"] for r in rows} == {f"schema/schema_S_N{i}.txt" for i in WITH_SCHEMA}
