@@ -29,3 +29,7 @@ def test_catalog_rows_hold_each_archive_with_a_schema(spark, customers):
     rows = ALL["catalog_rows"][0](spark, customers).collect()
     assert sorted(r["catalog_key"] for r in rows) == sorted(f"S_N{i}" for i in WITH_SCHEMA)
     assert {r["schema_path"] for r in rows} == {f"schema/schema_S_N{i}.txt" for i in WITH_SCHEMA}
+
+
+def test_catalog_count_is_of_all_archives_with_a_schema(spark, customers):
+    assert ALL["catalog_count"][0](spark, customers).first()["n_datasets"] == len(WITH_SCHEMA)
