@@ -33,3 +33,9 @@ def test_catalog_rows_hold_each_archive_with_a_schema(spark, customers):
 
 def test_catalog_count_is_of_all_archives_with_a_schema(spark, customers):
     assert ALL["catalog_count"][0](spark, customers).first()["n_datasets"] == len(WITH_SCHEMA)
+
+
+def test_catalog_unmatched_names_only_archives_without_a_schema(spark, customers):
+    rows = ALL["catalog_unmatched"][0](spark, customers).collect()
+    assert sorted((r["catalog_key"], r["issue"]) for r in rows if r["catalog_key"]) == [("S_N3", "schema not found")] * 2
+    assert sum(r["issue"] == "unexpected name" for r in rows) == 4
