@@ -2,20 +2,22 @@
 
 A page is one row and stays one row until its items are exploded, so these operators
 need no shuffle. Attribute calls are matched with JVM regular expressions. Nested markup
-is read by the standard library's parser inside an Arrow-batched function that returns
-only the labelled values and tables of a page.
+is read by the standard library's parser, a bounded part of an Arrow batch at a time; only
+the labelled values and tables of a page are returned.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import (
     DESCRIBE_CALL,
@@ -108,7 +110,12 @@ def _without_number(piece: Column) -> Column:
 
 # Nested markup -----------------------------------------------------------------------
 
-PARSED = "struct<labels:array<struct<label:string,value:string>>,tables:array<struct<heads:array<string>,rows:array<array<string>>>>>"
+PARSED = "labels array<struct<label:string,value:string>>, tables array<struct<heads:array<string>,rows:array<array<string>>>>"
+LABELS = pa.list_(pa.struct({"label": pa.string(), "value": pa.string()}))
+TABLES = pa.list_(pa.struct({"heads": pa.list_(pa.string()), "rows": pa.list_(pa.list_(pa.string()))}))
+
+# Bytes of markup parsed at once; a longer page is parsed by itself.
+PART_BYTES = 1 << 20
 
 # Elements without content, and elements whose content is not text.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,15 +204,33 @@ def _parse(html: str | None, labels: Sequence[str]) -> dict:
     return {"labels": named, "tables": tables}
 
 
-def parse_pages(pages: DataFrame, labels: Iterable[str] = (SERVICE_LABEL, PROVIDER_LABEL), keep: Sequence[str] = ()) -> DataFrame:
-    """(page_id, keep.., labels, tables): labelled values and tables of each page."""
-    wanted = tuple(labels)
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose markup, the last column, is of about PART_BYTES."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)
+    ends = pc.cumulative_sum(sizes.cast(pa.int64())).to_pylist()
+    at = 0
+    while at < len(ends):
+        to = max(bisect_right(ends, PART_BYTES + (ends[at - 1] if at else 0)), at + 1)
+        yield batch.slice(at, to - at)
+        at = to
+
 
-    @F.pandas_udf(PARSED)
-    def parse(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_parse(page, wanted) for page in html], columns=["labels", "tables"])
+def _parse_batches(batches: Iterable[pa.RecordBatch], labels: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """The columns of the batches, with labels and tables in place of the markup at their end."""
+    for batch in batches:
+        for part in _parts(batch):
+            *kept, html = part.columns
+            parsed = [_parse(page, labels) for page in html.to_pylist()]
+            found = [pa.array([page["labels"] for page in parsed], LABELS), pa.array([page["tables"] for page in parsed], TABLES)]
+            yield pa.RecordBatch.from_arrays([*kept, *found], [*part.schema.names[:-1], "labels", "tables"])
 
-    return pages.select("page_id", *keep, parse("html").alias("parsed")).select("page_id", *keep, "parsed.*")
+
+def parse_pages(pages: DataFrame, labels: Iterable[str] = (SERVICE_LABEL, PROVIDER_LABEL), keep: Sequence[str] = ()) -> DataFrame:
+    """(page_id, keep.., labels, tables): labelled values and tables of each page, parsed once."""
+    wanted = tuple(labels)
+    rows = pages.select("page_id", *keep, "html")
+    schema = StructType([*rows.schema.fields[:-1], *StructType.fromDDL(PARSED)])
+    return rows.mapInArrow(lambda batches: _parse_batches(batches, wanted), schema)
 
 
 def labelled_value(parsed: DataFrame, label: str) -> Column:

@@ -1,4 +1,5 @@
 import time
+import pyarrow as pa
 import pytest
 from decimal import Decimal
 from pyspark.sql import functions as F
@@ -184,3 +185,23 @@ def test_character_references(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     read = [r[0] for r in frame.select(pages_ops._unescape(F.col("t"))).collect()]
     assert read == ["'a'&#39;", "&#0;&#1114112;AA", "&#12345678;&#;&#x;", "a<>\"'", "&amp;", "😀가x", None, ""]
+
+
+def test_pages_are_parsed_once(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE)], "page_id long, url string, html string")
+    plan = pages.schema_pages(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+
+
+def test_pages_are_parsed_in_parts(spark):
+    """Pages of less than a part, of several parts and without markup, more than a part to a batch."""
+    long = PAGE + "x" * (2 * pages.PART_BYTES)
+    htmls = [PAGE + "y" * 100_000] * 25 + [long, None, "", long, PAGE]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(htmls))), "html": htmls})
+    parts = list(pages._parts(batch))
+    assert [i for part in parts for i in part.column(0).to_pylist()] == list(range(len(htmls)))
+    assert all(part.num_rows == 1 or sum(len((html or "").encode()) for html in part.column(1).to_pylist()) <= pages.PART_BYTES for part in parts)
+    frame = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").coalesce(1)
+    found = pages.schema_pages(frame).orderBy("page_id").collect()
+    assert [r["page_id"] for r in found] == [*range(26), 28, 29]
+    assert {tuple(r["schema_rows"]) for r in found} == {("컬럼한글명\t타입", "가 나\tNUMERIC(5,2)")}
