@@ -11,6 +11,7 @@ from linemend.operators.registry import ColumnSpec
 from linemend.operators.typed import apply_schema, read_as_strings, type_records
 from linemend.plans.regions import legal_districts
 from linemend.plans.verify import verify_codes
+from linemend.sinks import descriptor_texts
 
 HEADER = "서비스명\n개요\n제공기관/제공부서\n부서\n상세설명 표\n"
 
@@ -205,3 +206,11 @@ def test_pages_are_parsed_in_parts(spark):
     found = pages.schema_pages(frame).orderBy("page_id").collect()
     assert [r["page_id"] for r in found] == [*range(26), 28, 29]
     assert {tuple(r["schema_rows"]) for r in found} == {("컬럼한글명\t타입", "가 나\tNUMERIC(5,2)")}
+
+
+def test_registry_of_pages_parses_them_once(spark):
+    rows = spark.createDataFrame([(1, "c", PAGE)], "page_id long, category string, html string")
+    found = registry.build_registry(descriptor_texts(pages.schema_pages(rows, keep=["category"]), "category"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+    assert [(r["column_name"], r["precision"], r["scale"]) for r in found.collect()] == [("가 나", 5, 2)]
