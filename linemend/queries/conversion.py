@@ -172,7 +172,7 @@ QUERIES = {
         SELECT 1 AS run, 'converted' AS status, * FROM counts UNION ALL SELECT 2, 'skipped', * FROM counts
         UNION ALL VALUES (1, 'failed', NULL, NULL, NULL, NULL, NULL), (2, 'failed', NULL, NULL, NULL, NULL, NULL)""",
     ),
-    "route_clean": (
+    "route_clean_files": (
         route_clean,
         f"SELECT {PLAIN_SQL} AS value FROM documents WHERE NOT contains(text, chr(10))",
     ),

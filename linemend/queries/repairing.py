@@ -171,6 +171,9 @@ SELECT CAST(doc_id AS DECIMAL(18,0)) AS doc_id, lang, source, replace(replace(te
 FROM documents
 """
 
+ROUTE_CLEAN_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS file, {DOCUMENT_SQL} AS value FROM documents
+        WHERE NOT contains(text, chr(10)) AND NOT contains(text, '|')"""
+
 QUERIES = {
     "repair_documents": (repair_documents, DOCUMENTS_SQL),
     "repair_text_files": (repair_text_files, DOCUMENTS_SQL),
@@ -213,11 +216,8 @@ QUERIES = {
         f"""WITH {LINES_SQL} SELECT file, count(*) AS n_lines, count(*) FILTER (separators <> {E}) AS n_bad,
         count(*) FILTER (separators <> {E}) = 0 AS clean FROM counted GROUP BY file""",
     ),
-    "route_clean_frame": (
-        route_clean,
-        f"""SELECT CAST(doc_id AS VARCHAR) AS file, {DOCUMENT_SQL} AS value FROM documents
-        WHERE NOT contains(text, chr(10)) AND NOT contains(text, '|')""",
-    ),
+    "route_clean": (route_clean, ROUTE_CLEAN_SQL),
+    "route_clean_frame": (route_clean, ROUTE_CLEAN_SQL),
     "route_repair_frame": (
         route_repair,
         f"""WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS file, line_no, value FROM counted

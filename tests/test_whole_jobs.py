@@ -39,3 +39,16 @@ def test_catalog_unmatched_names_only_archives_without_a_schema(spark, customers
     rows = ALL["catalog_unmatched"][0](spark, customers).collect()
     assert sorted((r["catalog_key"], r["issue"]) for r in rows if r["catalog_key"]) == [("S_N3", "schema not found")] * 2
     assert sum(r["issue"] == "unexpected name" for r in rows) == 4
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    """A clean document, and documents with a line break, with a pipe and with both."""
+    path = tmp_path_factory.mktemp("documents")
+    rows = [(1, "a", "en", "s", 1), (2, "a\nb", "en", "s", 3), (3, "a|b", "en", "s", 3), (4, "a|\nb", "en", "s", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_route_clean_judges_each_document(spark, documents):
+    assert [r.asDict() for r in ALL["route_clean"][0](spark, documents).collect()] == [{"file": "1", "value": "1|en|s|a|1"}]
