@@ -176,7 +176,7 @@ QUERIES = {
         route_clean,
         f"SELECT {PLAIN_SQL} AS value FROM documents WHERE NOT contains(text, chr(10))",
     ),
-    "route_repair": (
+    "route_repair_files": (
         route_repair,
         f"SELECT unnest(string_split({PLAIN_SQL}, chr(10))) AS value FROM documents WHERE contains(text, chr(10))",
     ),

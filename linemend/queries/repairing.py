@@ -174,6 +174,9 @@ FROM documents
 ROUTE_CLEAN_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS file, {DOCUMENT_SQL} AS value FROM documents
         WHERE NOT contains(text, chr(10)) AND NOT contains(text, '|')"""
 
+ROUTE_REPAIR_SQL = f"""WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS file, line_no, value FROM counted
+        WHERE doc_id IN (SELECT doc_id FROM counted WHERE separators <> {E})"""
+
 QUERIES = {
     "repair_documents": (repair_documents, DOCUMENTS_SQL),
     "repair_text_files": (repair_text_files, DOCUMENTS_SQL),
@@ -218,11 +221,8 @@ QUERIES = {
     ),
     "route_clean": (route_clean, ROUTE_CLEAN_SQL),
     "route_clean_frame": (route_clean, ROUTE_CLEAN_SQL),
-    "route_repair_frame": (
-        route_repair,
-        f"""WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS file, line_no, value FROM counted
-        WHERE doc_id IN (SELECT doc_id FROM counted WHERE separators <> {E})""",
-    ),
+    "route_repair": (route_repair, ROUTE_REPAIR_SQL),
+    "route_repair_frame": (route_repair, ROUTE_REPAIR_SQL),
     "decode_utf8_lossy": (
         lossy_decode, "SELECT doc_id, text || chr(65533) || chr(65533) || lang AS text, false AS was_valid FROM documents"
     ),

@@ -52,3 +52,10 @@ def documents(spark, tmp_path_factory):
 
 def test_route_clean_judges_each_document(spark, documents):
     assert [r.asDict() for r in ALL["route_clean"][0](spark, documents).collect()] == [{"file": "1", "value": "1|en|s|a|1"}]
+
+
+def test_route_repair_names_file_and_line(spark, documents):
+    rows = ALL["route_repair"][0](spark, documents).collect()
+    assert sorted((r["file"], r["line_no"], r["value"]) for r in rows) == [
+        ("2", 0, "2|en|s|a"), ("2", 1, "b|3"), ("3", 0, "3|en|s|a|b|3"), ("4", 0, "4|en|s|a|"), ("4", 1, "b|4"),
+    ]
