@@ -214,3 +214,15 @@ def test_registry_of_pages_parses_them_once(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
     assert [(r["column_name"], r["precision"], r["scale"]) for r in found.collect()] == [("가 나", 5, 2)]
+
+
+def test_schema_tables_come_in_batches_of_parts(spark):
+    """A batch of 40 pages of 100 KB is parsed, and handed on, in at least four parts; the rows are whole."""
+    frame = spark.createDataFrame([(i, PAGE + "z" * 100_000) for i in range(40)], "page_id long, html string").coalesce(1)
+    parsed = pages.parse_pages(frame)
+    rows = parsed.select("page_id", F.posexplode(pages.schema_table()).alias("row_no", "row")).collect()
+    assert sorted((r["page_id"], r["row_no"]) for r in rows) == [(i, j) for i in range(40) for j in range(2)]
+    assert {r["row"] for r in rows} == {"컬럼한글명\t타입", "가 나\tNUMERIC(5,2)"}
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "html": [PAGE + "z" * 100_000] * 40})
+    parts = [part.num_rows for part in pages._parse_batches([batch], ("서비스명",))]
+    assert sum(parts) == 40 and len(parts) >= 4 and max(parts) <= 10
