@@ -1,5 +1,6 @@
 """Queries take all rows of their tables, on small tables that hold each case."""
 
+import duckdb
 import pytest
 
 from linemend.queries import ALL
@@ -35,6 +36,13 @@ def test_catalog_count_is_of_all_archives_with_a_schema(spark, customers):
     assert ALL["catalog_count"][0](spark, customers).first()["n_datasets"] == len(WITH_SCHEMA)
 
 
+def test_sql_of_catalog_count_is_of_all_archives_with_a_schema(customers):
+    connection = duckdb.connect()
+    for name in ("customer", "orders"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{customers}/{name}.parquet/*.parquet'")
+    assert connection.execute(ALL["catalog_count"][1]).fetchall() == [(len(WITH_SCHEMA),)]
+
+
 def test_catalog_unmatched_names_only_archives_without_a_schema(spark, customers):
     rows = ALL["catalog_unmatched"][0](spark, customers).collect()
     assert sorted((r["catalog_key"], r["issue"]) for r in rows if r["catalog_key"]) == [("S_N3", "schema not found")] * 2
