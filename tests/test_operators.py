@@ -11,6 +11,7 @@ from linemend.operators.registry import ColumnSpec
 from linemend.operators.typed import apply_schema, read_as_strings, type_records
 from linemend.plans.regions import legal_districts
 from linemend.plans.verify import verify_codes
+from linemend.queries import ALL
 from linemend.sinks import descriptor_texts
 
 HEADER = "서비스명\n개요\n제공기관/제공부서\n부서\n상세설명 표\n"
@@ -216,6 +217,12 @@ def test_registry_of_pages_parses_them_once(spark):
     assert [(r["column_name"], r["precision"], r["scale"]) for r in found.collect()] == [("가 나", 5, 2)]
 
 
+def test_query_of_page_registry_parses_pages_once(spark):
+    """With the filters of the query, which must not be pushed into a second parse."""
+    plan = ALL["page_registry"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
+
+
 def test_schema_tables_come_in_batches_of_parts(spark):
     """A batch of 40 pages of 100 KB is parsed, and handed on, in at least four parts; the rows are whole."""
     frame = spark.createDataFrame([(i, PAGE + "z" * 100_000) for i in range(40)], "page_id long, html string").coalesce(1)
