@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 import pyarrow as pa
 import pytest
 from decimal import Decimal
@@ -233,3 +234,19 @@ def test_schema_tables_come_in_batches_of_parts(spark):
     batch = pa.RecordBatch.from_pydict({"page_id": list(range(40)), "html": [PAGE + "z" * 100_000] * 40})
     parts = [part.num_rows for part in pages._parse_batches([batch], ("서비스명",))]
     assert sum(parts) == 40 and len(parts) >= 4 and max(parts) <= 10
+
+
+def test_memory_of_parsing_does_not_grow_with_the_batch():
+    """Python objects held for a batch of four times the pages are those of a part, not of the batch."""
+    page = PAGE + "<table><tr><td>" + "z" * 10_000 + "</td></tr></table>"
+
+    def peak(n):
+        batch = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "html": [page] * n})
+        tracemalloc.start()
+        try:
+            assert sum(part.num_rows for part in pages._parse_batches([batch], ("서비스명",))) == n
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(2000) < 1.3 * peak(500)
